@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, exact_dedup, sharding
+from quillspark.llm import bpe, exact_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_byte_shards": sharding.op4,
+    "op7_quality_rules": quality.op7,
+    "op10_toxicity_fm": toxicity.op10,
 }
 
 ORACLE_SQL = {
