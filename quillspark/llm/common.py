@@ -51,3 +51,17 @@ def whole(text: str = "text"):
 def spread(df: DataFrame, floor: int = 1) -> int:
     """Number of shuffle partitions of the session, at least ``floor``."""
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(rid, doc_id, text) with a long ``rid`` that is unique and the same in every scan.
+
+    The id itself where it is an integer, never null and never repeated; else
+    the rows are numbered in input order and written once.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
+    if docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long"):
+        odd = docs.groupBy(F.col(doc_id).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or k is null")
+        if odd.isEmpty():
+            return rows.select(F.col("doc_id").cast("long").alias("rid"), "doc_id", "text")
+    return stage(rows.withColumn("rid", F.monotonically_increasing_id())).select("rid", "doc_id", "text")

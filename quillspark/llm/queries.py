@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, exact_dedup, quality, sharding, toxicity
+from quillspark.llm import bpe, exact_dedup, quality, sharding, string_dedup, toxicity
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1,
+    "op2_suffix_dedup": string_dedup.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_byte_shards": sharding.op4,
     "op7_quality_rules": quality.op7,
