@@ -1,0 +1,321 @@
+"""Exact Jaccard self-join of documents on word n-grams, by vertical partitioning.
+
+All n-grams have one global order: by hash, with those that very many
+documents hold moved to its end.  Two sets as similar as asked for share an
+n-gram among the first few of that order (the prefix), so only documents
+that meet there are compared.  A pair first has to pass an exact bound from
+parity bitmaps.  Then the global order is cut into fragments, the overlap of
+the pair is counted in each fragment separately, and the counts are summed
+per pair.
+
+Equal sets are one class and compared once.  In a group of documents too
+large to list all its pairs, a few leaders at a time are compared with the
+rest, and members already known to be connected are not compared again; the
+rounds end when no pair is left that could join two components.  So no link
+between components is lost, and a group of n near copies costs about n pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quillspark.llm.anchors import LOT, batch, gram_hashes, lots, mixed, rows_of
+from quillspark.llm.common import keyed, spread, stage
+from quillspark.llm.components import components
+from quillspark.llm.passage_dedup import WordHasher
+
+#: Words of an n-gram and the similarity, in hundredths.
+WORDS, SIMILAR = 5, 75
+#: A group of this many documents at the most is compared pair by pair.
+GROUP = 40
+#: Frequent n-grams that are moved to the end of the order, at the most: 8 bytes each are broadcast.
+FREQUENT = 1_000_000
+#: One n-gram in so many is counted to find frequent passages; n-grams near a frequent one are then counted all.
+SAMPLE, NEAR = 8, 16
+#: Leaders of a large group in a round, and fragments of the order.
+LEADERS, FRAGMENTS = 4, 16
+
+
+class Shingler:
+    """n-grams of a text: lower-cased A-Z, words ``[^\\x20\\x09-\\x0D]+``; a shorter text is one n-gram."""
+
+    def __init__(self, words: int = WORDS):
+        self.words, self.hasher = words, WordHasher()
+
+    def sequence(self, body: bytes) -> np.ndarray:
+        """Hashes in text order, with repeats."""
+        codes = self.hasher.of(body.lower().split())
+        if not len(codes):
+            return codes
+        return gram_hashes(codes, self.words) if len(codes) >= self.words else mixed(gram_hashes(codes, len(codes)) + np.uint64(len(codes)))
+
+    def set(self, body: bytes) -> np.ndarray:
+        return np.unique(self.sequence(body))
+
+
+def prefix_length(n: int, similar: int = SIMILAR) -> int:
+    """How many first n-grams surely hold slack(n) + 1 of those shared with any similar set of no fewer than n * similar / 100."""
+    return n - -(-n * similar // 100) + 1
+
+
+def slack(n: int) -> int:
+    return 2 + n // 32
+
+
+def parity_bits(s: np.ndarray) -> bytes:
+    """Parity of the n-grams in each cell of a bitmap of about one bit an n-gram; two sets differ in at least as many n-grams as bits."""
+    size = max(64, 1 << int(len(s)).bit_length())
+    cells = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of n-grams that only one of two sets has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), 0) if len(x) > len(y) else x
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, sid, n, bits) of each document, and n-grams that are frequent among the sampled ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"rid": pa.int64(), "sid": pa.int64(), "n": pa.int64(), "bits": pa.binary()}
+        shingler = Shingler(words)
+        for lot in lots(rows_of(batches), lambda r: len(r[1])):
+            rows, sampled = [], []
+            for rid, body in lot:
+                s = shingler.set(body)
+                sampled.append(s[s % np.uint64(SAMPLE) == 0])
+                rows.append((rid, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), len(s), parity_bits(s)))
+            yield batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
+            token, n = np.unique(np.concatenate(sampled), return_counts=True)
+            yield batch({"rid": [None] * len(token), "sid": token.view(np.int64), "n": n, "bits": [None] * len(token)}, types)
+
+    both = stage(docs.mapInArrow(run, "rid long, sid long, n long, bits binary"))
+    return both.filter("rid is not null"), both.filter("rid is null").select(F.col("sid").alias("token"), "n")
+
+
+def _frequent(counts: DataFrame, group: int) -> np.ndarray:
+    """The most frequent n-grams with more than ``group`` occurrences, FREQUENT at the most, in order."""
+    often = counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > group).orderBy(F.desc("n"), "token").limit(FREQUENT)
+    return np.sort(often.select("token").toArrow()["token"].to_numpy().view(np.uint64))
+
+
+def _holds(ordered: np.ndarray, s: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(s), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)] == s
+
+
+def _near_frequent(docs: DataFrame, sampled: np.ndarray, words: int) -> DataFrame:
+    """Counts of all n-grams within NEAR places of a frequent sampled one."""
+    shared = docs.sparkSession.sparkContext.broadcast(sampled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for lot in lots(rows_of(batches), lambda r: len(r[1])):
+            found = []
+            for _, body in lot:
+                s = shingler.sequence(body)
+                at = np.flatnonzero(_holds(shared.value, s))
+                if len(at):
+                    near = np.unique((at[:, None] + np.arange(-NEAR, NEAR + 1)).ravel())
+                    found.append(np.unique(s[near[(near >= 0) & (near < len(s))]]))
+            if found:
+                token, n = np.unique(np.concatenate(found), return_counts=True)
+                yield batch({"token": token.view(np.int64), "n": n}, {"token": pa.int64(), "n": pa.int64()})
+
+    return docs.mapInArrow(run, "token long, n long")
+
+
+def _meetings(docs: DataFrame, frequent: np.ndarray, words: int, similar: int, group: int) -> DataFrame:
+    """(token, x, y): pairs of sets that share a prefix n-gram; for large groups (token, x, null), its members."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"place": pa.int64(), "token": pa.int64(), "sid": pa.int64(), "often": pa.bool_()}
+        shingler = Shingler(words)
+        for lot in lots(rows_of(batches), lambda r: len(r[1])):
+            tokens, sids, flags, seen = [], [], [], set()
+            for _, body in lot:
+                s = shingler.set(body)
+                sid = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                if not len(s) or sid in seen:
+                    continue
+                seen.add(sid)
+                often = _holds(shared.value, s)
+                order = np.concatenate([s[~often], s[often]])[: prefix_length(len(s), similar) + slack(len(s))]
+                tokens.append(order)
+                sids.append(np.full(len(order), sid, np.int64))
+                flags.append(np.arange(len(order)) >= len(s) - int(often.sum()))
+            if not tokens:
+                continue
+            token, sid, often = np.concatenate(tokens).view(np.int64), np.concatenate(sids), np.concatenate(flags)
+            # Holders of a frequent n-gram do not have to meet in one task; they are dealt out evenly.
+            place = np.where(often, mixed((token ^ sid).view(np.uint64)).view(np.int64), token)
+            for at in range(0, len(token), LOT):
+                part = slice(at, at + LOT)
+                yield batch({"place": place[part], "token": token[part], "sid": sid[part], "often": often[part]}, types)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"token": pa.int64(), "x": pa.int64(), "y": pa.int64()}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            token, sid, often = b["token"].to_numpy(), b["sid"].to_numpy(), b["often"].to_numpy(zero_copy_only=False)
+            if often.any():
+                yield batch({"token": token[often], "x": sid[often], "y": pa.nulls(int(often.sum()), pa.int64())}, types)
+            held.append((token[~often], sid[~often]))
+        if not held:
+            return
+        token, sid = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        order = np.lexsort([sid, token])
+        token, sid = token[order], sid[order]
+        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])]) if len(token) else np.zeros(0, bool)
+        token, sid = token[fresh], sid[fresh]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(token)))
+        large = np.repeat(size > group, size)
+        if large.any():
+            yield batch({"token": token[large], "x": sid[large], "y": pa.nulls(int(large.sum()), pa.int64())}, types)
+        xs, ys = [], []
+        for step in range(1, group):
+            at = first[(size > step) & (size <= group)]
+            count = size[(size > step) & (size <= group)] - step
+            if not len(at):
+                break
+            left = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            xs.append(sid[left])
+            ys.append(sid[left + step])
+        if xs:
+            pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
+            for at in range(0, len(pairs), LOT):
+                p = pairs[at : at + LOT]
+                yield batch({"token": pa.nulls(len(p), pa.int64()), "x": np.ascontiguousarray(p[:, 0]), "y": np.ascontiguousarray(p[:, 1])}, types)
+
+    posts = docs.mapInArrow(posted, "place long, token long, sid long, often boolean")
+    return stage(posts.repartition(spread(docs), "place").mapInArrow(met, "token long, x long, y long"))
+
+
+class _Verifier:
+    """Decides pairs of sets."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, similar: int):
+        self.docs, self.classes, self.words, self.similar = docs, classes, words, similar
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that the bounds on size and difference leave."""
+        similar = self.similar
+        one = lambda side: self.classes.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}")).hint("merge")
+        sized = pairs.join(one("x"), "x").join(one("y"), "y")
+        sized = sized.filter((F.col("nx") * 100 >= F.col("ny") * similar) & (F.col("ny") * 100 >= F.col("nx") * similar))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                # |A or B| - |A and B| <= (|A| + |B|) * (100 - s) / (100 + s)
+                keep = [least_difference(p, q) * (100 + similar) <= (m + n) * (100 - similar) for p, q, m, n in zip(*(b[c].to_pylist() for c in ("bx", "by", "nx", "ny")), strict=True)]
+                yield b.select(["x", "y", "nx", "ny"]).filter(pa.array(keep, pa.bool_()))
+
+        return sized.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(run, "x long, y long, nx long, ny long")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar, by overlaps counted in each fragment of the order."""
+        likely = stage(self.likely(pairs))
+        wanted = likely.select(F.col("x").alias("sid")).union(likely.select(F.col("y").alias("sid"))).distinct()
+        rids = self.classes.join(wanted.hint("merge"), "sid").select("sid", "rid")
+        texts = self.docs.join(rids.hint("merge"), "rid").select("sid", "body")
+        words = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            types = {"sid": pa.int64(), "part": pa.int32(), "grams": pa.list_(pa.int64())}
+            shingler = Shingler(words)
+            cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64)) * np.uint64((1 << 64) // FRAGMENTS)
+            for lot in lots(rows_of(batches), lambda r: len(r[1])):
+                rows = []
+                for sid, body in lot:
+                    s = shingler.set(body)
+                    rows += [(sid, k, p.view(np.int64)) for k, p in enumerate(np.split(s, np.searchsorted(s, cuts))) if len(p)]
+                yield batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
+
+        fragments = stage(texts.mapInArrow(run, "sid long, part int, grams array<long>"))
+        one = lambda side: fragments.select(F.col("sid").alias(side), "part", F.col("grams").alias(f"g{side}")).hint("merge")
+        partial = likely.join(one("x"), "x").join(one("y"), ["y", "part"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("gx", "gy")).cast("long").alias("shared"))
+        summed = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("shared").alias("o"))
+        return summed.filter(F.col("o") * 100 >= (F.col("nx") + F.col("ny") - F.col("o")) * self.similar).select("x", "y")
+
+
+def _large_groups(members: DataFrame, links: DataFrame, verify: _Verifier) -> DataFrame:
+    """All links needed to connect what is similar within large groups.
+
+    A member is spent once it was a leader, that is, was compared with its
+    whole group.  A group is done when its members that are not spent lie in
+    one component.
+    """
+    members = stage(members.withColumn("spent", F.lit(False)))
+    while True:
+        labels = components(links)
+        now = members.join(labels.withColumnRenamed("x", "sid").hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        now = stage(now)
+        left = now.filter("not spent").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
+        now = now.join(left.hint("merge"), "token")
+        # Leaders are found by aggregation: the least of each of a few random classes of a group.
+        turn = F.pmod(F.xxhash64("sid"), F.lit(LEADERS))
+        leaders = stage(now.filter("not spent").groupBy("token", turn.alias("turn")).agg(F.min("sid").alias("x")).select("token", "x"))
+        if leaders.isEmpty():
+            return links
+        lead = leaders.join(now.select("token", F.col("sid").alias("x"), F.col("label").alias("lx")).hint("merge"), ["token", "x"])
+        pairs = now.select("token", F.col("sid").alias("y"), F.col("label").alias("ly")).join(lead.hint("merge"), "token").filter("x != y and lx != ly")
+        pairs = stage(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        links = stage(links.unionByName(verify.links(pairs)))
+        spent = leaders.select("token", F.col("x").alias("sid"), F.lit(True).alias("led"))
+        members = stage(now.select("token", "sid", "spent").join(spent.hint("merge"), ["token", "sid"], "left").select("token", "sid", (F.col("spent") | F.coalesce("led", F.lit(False))).alias("spent")))
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id.
+
+    Documents are linked when 100 * intersection >= similar * union of their
+    sets of ``words``-word n-grams; ``component_id`` is the least id reachable
+    by links, itself included.  With fewer words the whole sequence is the one
+    n-gram; without words or text the set is empty and linked with nothing,
+    not even with another empty one.  Rows with equal texts are linked.  Null
+    ids take part and count as largest.  An empty table gives no rows.
+    Columns other than the two are not read.
+    """
+    rows = keyed(docs, doc_id, text)
+    bodies = rows.select("rid", F.col("text").cast("binary").alias("body"))
+    sets, sampled = _sets(bodies, words)
+    frequent = _frequent(sampled, group)
+    if len(frequent):
+        frequent = np.union1d(frequent, _frequent(_near_frequent(bodies, frequent, words), group))
+    met = _meetings(bodies, frequent, words, similar, group)
+
+    first = sets.filter("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"))
+    classes = stage(first.join(sets.select("rid", "n", "bits").hint("merge"), "rid"))
+    verify = _Verifier(bodies, classes, words, similar)
+    links = stage(verify.links(met.filter("token is null").select("x", "y").distinct()))
+
+    members = met.filter("token is not null").select("token", F.col("x").alias("sid")).distinct()
+    # A document that holds no more n-grams of large groups than its prefix has to spare meets all its like elsewhere.
+    spare = F.lit(2) + F.floor(F.floor(F.col("n") * similar / 100) / 32)
+    heavy = members.groupBy("sid").agg(F.count(F.lit(1)).alias("k")).join(classes.select("sid", "n").hint("merge"), "sid").filter(F.col("k") > spare).select("sid")
+    members = stage(members.join(heavy.hint("merge"), "sid"))
+    links = _large_groups(members, links, verify)
+
+    labels = components(links)
+    grouped = classes.select("sid", F.col("rid").alias("own")).join(labels.withColumnRenamed("x", "sid").hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    ids = rows.select("rid", "doc_id").join(sets.select("rid", "sid", "n").hint("merge"), "rid")
+    ids = stage(ids.join(grouped.hint("merge"), "sid", "left").select("rid", "doc_id", "n", "label"))
+    least = ids.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return ids.join(least.hint("merge"), "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, exact_dedup, passage_dedup, quality, sharding, string_dedup, toxicity
+from quillspark.llm import bpe, exact_dedup, jaccard_join, passage_dedup, quality, sharding, string_dedup, toxicity
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3,
     "op4_byte_shards": sharding.op4,
     "op7_quality_rules": quality.op7,
+    "op8_jaccard_join": jaccard_join.op8,
     "op9_passage_dedup": passage_dedup.op9,
     "op10_toxicity_fm": toxicity.op10,
 }
