@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, exact_dedup, jaccard_join, passage_dedup, quality, sharding, string_dedup, toxicity
+from quillspark.llm import bpe, decontaminate, exact_dedup, jaccard_join, passage_dedup, quality, sharding, string_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1,
     "op2_suffix_dedup": string_dedup.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_byte_shards": sharding.op4,
+    "op5_decontamination": decontaminate.op5,
+    "op6_token_counts": token_counts.op6,
     "op7_quality_rules": quality.op7,
     "op8_jaccard_join": jaccard_join.op8,
     "op9_passage_dedup": passage_dedup.op9,
