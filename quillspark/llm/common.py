@@ -65,3 +65,19 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         if odd.isEmpty():
             return rows.select(F.col("doc_id").cast("long").alias("rid"), "doc_id", "text")
     return stage(rows.withColumn("rid", F.monotonically_increasing_id())).select("rid", "doc_id", "text")
+
+
+def numbered(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """All columns of ``docs`` and a long row number under a free name, the same in every scan.
+
+    The number is the id where that is an integer, never null and never
+    repeated; else rows are numbered in input order and written once.
+    """
+    name = "row_number"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    if docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long"):
+        odd = docs.groupBy(F.col(doc_id).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or k is null")
+        if odd.isEmpty():
+            return docs.withColumn(name, F.col(doc_id).cast("long")), name
+    return stage(docs.withColumn(name, F.monotonically_increasing_id())), name
