@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillspark.operators import filters  # noqa: F401  (modules register their queries)
+from quillspark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
