@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quillspark.operators import analytics, filters, grading, ranking, similarity  # noqa: F401  (modules register their queries)
+from quillspark.operators import analytics, filters, grading, ranking, similarity, text  # noqa: F401  (modules register their queries)
 from quillspark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
