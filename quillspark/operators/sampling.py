@@ -130,7 +130,7 @@ def false_answers(t, spark):
 
 
 def difficulty_mix(n: int, asked: dict[str, int] | None) -> dict[str, int]:
-    """Counts by difficulty code that add up to ``n``: kept if they do, scaled with the difference on TH if not, 30/30/30/10 without any."""
+    """Counts by difficulty code for ``n``: kept if they add up, else scaled, with the difference on TH but not below 0 there; 30/30/30/10 without any."""
     mix = {d: max(int((asked or {}).get(d) or 0), 0) for d in S.DIFFICULTIES}
     if not sum(mix.values()):
         part = max(1, round(0.3 * n))
