@@ -9,6 +9,8 @@ another look.  Symbols are 64-bit numbers: bytes, or hashes of words.
 
 from __future__ import annotations
 
+import functools
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.common import stage
 
-#: Symbols worked on at a time.
-LOT = 1 << 20
+#: Symbols worked on at a time; running sums over so many stay in a processor's cache.
+LOT = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -47,6 +49,25 @@ def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     return mixed((sums[k:] - sums[:-k]) * _table(_INVERSE, n - k + 1))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_codes(bodies: list[bytes]) -> list[np.ndarray]:
+    """64-bit numbers of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 texts, all at once from running sums over their bytes."""
+    if not bodies:
+        return []
+    blob = np.frombuffer(b" ".join([*bodies, b""]), np.uint8)
+    n = len(blob)
+    space = _SPACE[blob]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * _table(_BASE, n))])
+    codes = mixed((sums[ends] - sums[starts]) * _table(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+    edges = np.searchsorted(starts, np.cumsum([len(b) + 1 for b in bodies]))
+    return np.split(codes, edges[:-1])
+
+
 def least_of_next(h: np.ndarray, w: int) -> np.ndarray:
     """Least of each w neighbours."""
     span = 1
@@ -92,6 +113,20 @@ def lots(items: Iterable, size: Callable) -> Iterator[list]:
         yield lot
 
 
+def steady(run: Callable) -> Callable:
+    """A batch function that runs without the garbage collector: its many short lists hold no cycles."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return wrapped
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples."""
     for b in batches:
@@ -102,7 +137,7 @@ def batch(arrays: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(arrays[n], t) for n, t in types.items()], names=list(types))
 
 
-def repeated_spans(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], gram: int, window: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, symbols: Callable[[list[bytes]], list[np.ndarray]], gram: int, window: int) -> DataFrame:
     """(rid, body) -> (rid, spans): the segments whose anchor occurs more than once anywhere.
 
     Anchors are counted within each task before they are moved, so a frequent
@@ -111,17 +146,21 @@ def repeated_spans(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], gram
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in lots(rows_of(batches), lambda r: len(r[1])):
-            *_, key, twice = segments([symbols(b) for _, b in lot], gram, window)
+            *_, key, twice = segments(symbols([b for _, b in lot]), gram, window)
             key, at = np.unique(key, return_inverse=True)
             yield batch({"key": key.view(np.int64), "n": np.bincount(at, 1 + twice, len(key)).astype(np.int64)}, {"key": pa.int64(), "n": pa.int64()})
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in lots(rows_of(batches), lambda r: len(r[1])):
-            doc, s, n, key, twice = segments([symbols(b) for _, b in lot], gram, window)
+            doc, s, n, key, twice = segments(symbols([b for _, b in lot]), gram, window)
             rid = np.array([r for r, _ in lot], np.int64)
-            yield batch({"rid": rid[doc], "s": s, "n": n, "key": key.view(np.int64), "twice": twice}, {"rid": pa.int64(), "s": pa.int32(), "n": pa.int32(), "key": pa.int64(), "twice": pa.bool_()})
+            at = (s.astype(np.int64) << 32) | (n.astype(np.int64) << 1) | twice
+            yield batch({"rid": rid[doc], "at": at, "key": key.view(np.int64)}, {"rid": pa.int64(), "at": pa.int64(), "key": pa.int64()})
 
     given = docs.select("rid", "body")
-    often = stage(given.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key"))
-    spans = given.mapInArrow(listed, "rid long, s int, n int, key long, twice boolean").join(often.hint("merge"), "key")
-    return spans.groupBy("rid").agg(F.collect_list(F.struct("s", "n", "key", "twice")).alias("spans"))
+    often = stage(given.mapInArrow(steady(counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key"))
+    # First window, number of windows and the mark travel in one long.
+    spans = given.mapInArrow(steady(listed), "rid long, at long, key long").join(often.hint("merge"), "key")
+    at = F.col("at")
+    span = F.struct(F.shiftright(at, 32).cast("int").alias("s"), F.shiftright(at, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("n"), "key", (at.bitwiseAND(F.lit(1)) == 1).alias("twice"))
+    return spans.groupBy("rid").agg(F.collect_list(span).alias("spans"))

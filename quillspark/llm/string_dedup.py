@@ -20,14 +20,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm.anchors import batch, lots, repeated_spans, rows_of
+from quillspark.llm.anchors import batch, lots, repeated_spans, rows_of, steady
 from quillspark.llm.bwt import repeated_runs
 from quillspark.llm.common import keyed, spread, stage
 
 #: Length of a repeated string, and of the grams whose least hash is the anchor.
-LENGTH, GRAM = 200, 40
+LENGTH, GRAM = 200, 100
 #: More different segments of one anchor than this are counted window by window.
-GROUP = 500
+GROUP = 4000
 #: Bytes of segments transformed at a time.
 LOT = 1 << 20
 
@@ -36,11 +36,8 @@ def _bytes(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.uint8)
 
 
-def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive numbers."""
-    starts = np.unique(starts)
-    gap = np.flatnonzero(np.diff(starts) > 1)
-    return starts[np.concatenate([[0], gap + 1])], starts[np.concatenate([gap, [len(starts) - 1]])]
+def _symbols(bodies: list[bytes]) -> list[np.ndarray]:
+    return [_bytes(b) for b in bodies]
 
 
 _SPANS = {"rid": pa.int64(), "a": pa.int64(), "e": pa.int64()}
@@ -51,21 +48,20 @@ def _transformed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[tuple]) -> pa.RecordBatch:
             sizes = np.array([len(r[4]) + 1 for r in rows])
-            text = np.concatenate([np.append(_bytes(r[4]).astype(np.int16), np.int16(-1)) for r in rows])
-            at, _ = repeated_runs(text, length)
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            offs = np.cumsum(sizes) - sizes
-            out: dict[str, list] = {n: [] for n in _SPANS}
-            at = np.sort(at)
-            cut = np.flatnonzero(np.diff(owner[at])) + 1
-            for part in np.split(at, cut) if len(at) else []:
-                _, rid, s, weight, _ = rows[owner[part[0]]]
-                if weight == 1:  # a segment met more often is removed as a whole already
-                    lo, hi = _runs(part - offs[owner[part[0]]] + s)
-                    out["rid"] += [rid] * len(lo)
-                    out["a"] += lo.tolist()
-                    out["e"] += (hi + length).tolist()
-            return batch(out, _SPANS)
+            text = _bytes(b"\xff".join([*(r[4] for r in rows), b""])).astype(np.int16)
+            text[text == 255] = -1  # a byte that UTF-8 never has
+            at = np.sort(repeated_runs(text, length)[0])
+            owner = np.repeat(np.arange(len(rows)), sizes)[at]
+            # a segment met more often than once is removed as a whole already
+            alone = np.array([r[3] == 1 for r in rows])[owner]
+            at, owner = at[alone], owner[alone]
+            if not len(at):
+                return batch({n: [] for n in _SPANS}, _SPANS)
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(owner) > 0)]))
+            last = np.append(first[1:], len(at)) - 1
+            shift = np.array([r[2] for r in rows], np.int64) - (np.cumsum(sizes) - sizes)
+            rid = np.array([r[1] for r in rows], np.int64)
+            return batch({"rid": rid[owner[first]], "a": at[first] + shift[owner[first]], "e": at[last] + shift[owner[first]] + length}, _SPANS)
 
         rows, held, key = [], 0, None
         for row in rows_of(batches):
@@ -87,7 +83,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     ``body`` and ``spans`` are null where nothing can be removed, and ``sha``
     is null where something may be.
     """
-    spans = repeated_spans(docs, _bytes, gram, length)
+    spans = repeated_spans(docs, _symbols, gram, length)
     whole_sha = F.sha2(F.col("body"), 256)
     # The one pass that moves all texts; those without a repeated anchor are done after it.
     table = stage(
@@ -103,7 +99,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             rows = [(rid, x["s"], x["n"], x["key"], x["twice"], xxhash.xxh3_128_digest(body[x["s"] : x["s"] + x["n"] + length - 1])) for rid, body, spans in lot for x in spans]
             yield batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
 
-    segs = held.mapInArrow(named, "rid long, s int, n int, key long, twice boolean, g binary")
+    segs = held.mapInArrow(steady(named), "rid long, s int, n int, key long, twice boolean, g binary")
     met = segs.groupBy("g").agg(F.count(F.lit(1)).alias("times"), F.min("rid").alias("rep")).filter("times > 1")
     # weight 2: the copy that stands for equal segments; 0: the other copies
     marked = segs.join(met.hint("merge"), "g", "left").select("rid", "s", "n", "key", "twice", F.when(F.col("times").isNull(), 1).when(F.col("rep") == F.col("rid"), 2).otherwise(0).alias("weight"))
@@ -121,9 +117,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             if rows:
                 yield batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
 
-    groups = asked.mapInArrow(cut_out, "key long, rid long, s int, weight int, body binary")
+    groups = asked.mapInArrow(steady(cut_out), "key long, rid long, s int, weight int, body binary")
     ordered = groups.repartition(spread(docs), "key").sortWithinPartitions("key")
-    by_transform = ordered.mapInArrow(_transformed(length), _SPANS_SQL)
+    by_transform = ordered.mapInArrow(steady(_transformed(length)), _SPANS_SQL)
 
     hot = asked.filter(F.exists("asked", lambda x: x["hot"]))
 
@@ -148,8 +144,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
 
         return run
 
-    counted = hot.mapInArrow(prints(False), "f binary, n long").groupBy("f").agg(F.sum("n").alias("n")).filter("n > 1").select("f")
-    by_print = hot.mapInArrow(prints(True), "f binary, rid long, p int").join(counted.hint("merge"), "f").select("rid", F.col("p").cast("long").alias("a"), (F.col("p") + length).cast("long").alias("e"))
+    counted = hot.mapInArrow(steady(prints(False)), "f binary, n long").groupBy("f").agg(F.sum("n").alias("n")).filter("n > 1").select("f")
+    by_print = hot.mapInArrow(steady(prints(True)), "f binary, rid long, p int").join(counted.hint("merge"), "f").select("rid", F.col("p").cast("long").alias("a"), (F.col("p") + length).cast("long").alias("e"))
     copies = marked.filter("weight != 1").select("rid", F.col("s").cast("long").alias("a"), (F.col("s") + F.col("n") + (length - 1)).cast("long").alias("e"))
     removed = copies.unionByName(by_transform).unionByName(by_print).groupBy("rid").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
     return table.drop("spans").join(removed.hint("merge"), "rid", "left")
@@ -194,7 +190,7 @@ def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, doc_id: str = "
                 out.append((rid, n, sum(e - a for a, e in runs), len(runs), (sha or hashlib.sha256(rest).hexdigest()) if digests else rest))
             yield batch(dict(zip(types, zip(*out, strict=True), strict=True)), types)
 
-    done = found.select("rid", "n_bytes", "sha", "body", "spans").mapInArrow(keep, f"rid long, n_bytes long, n_removed long, n_spans long, {last[0]} {'string' if digests else 'binary'}")
+    done = found.select("rid", "n_bytes", "sha", "body", "spans").mapInArrow(steady(keep), f"rid long, n_bytes long, n_removed long, n_spans long, {last[0]} {'string' if digests else 'binary'}")
     if not digests:
         whole = bodies.join(done.filter("kept is null").select("rid"), "rid", "left_semi").select("rid", F.col("body").alias("text_body"))
         done = done.join(whole, "rid", "left").withColumn("kept", F.coalesce("kept", "text_body")).drop("text_body")
