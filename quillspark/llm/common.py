@@ -29,6 +29,8 @@ def stage(df: DataFrame) -> DataFrame:
 
     Cuts the lineage, so that a lost executor costs no recomputation and
     every reader sees the same rows.  The table goes when the session ends.
+    Nothing needs the shuffle files behind it any more; Spark removes them
+    once the driver has collected their handles, so that is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -36,6 +38,7 @@ def stage(df: DataFrame) -> DataFrame:
     jvm, jsc = spark._jvm, spark.sparkContext._jsc
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(target)
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,44 +19,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm.anchors import batch, gram_hashes, lots, repeated_spans, rows_of
+from quillspark.llm.anchors import batch, gram_hashes, lots, repeated_spans, rows_of, steady, word_codes
 from quillspark.llm.common import keyed, spread, stage
 
 #: Words of a window, words of the grams whose least hash is the anchor, words of the two shorter prefixes.
-WINDOW, GRAM, PREFIXES = 13, 6, (4, 8)
+WINDOW, GRAM, PREFIXES = 13, 5, (4, 8)
 #: Suffixes of one group at the most.
 GROUP = 2000
 #: Suffixes sorted at a time.
 LOT = 200_000
-MEMO = 400_000
-
-
-class WordHasher:
-    """64-bit numbers of the words ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8."""
-
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
-class _Symbols:
-    """Word numbers of a text; one memo for each worker's copy of the function."""
-
-    def __init__(self):
-        self.hasher = None
-
-    def __call__(self, body: bytes) -> np.ndarray:
-        self.hasher = self.hasher or WordHasher()
-        return self.hasher.of(body.split())  # bytes.split() splits at exactly these white spaces
 
 
 _SPANS = {"rid": pa.int64(), "a": pa.int64(), "e": pa.int64()}
@@ -110,32 +84,28 @@ def _trees(window: int):
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, prefixes: tuple[int, int] = PREFIXES, group: int = GROUP) -> DataFrame:
     """(rid, body binary) -> (rid, n_words, sha, body, spans), as ``string_dedup.repeated_bytes``, in words."""
-    symbols = _Symbols()
-    spans = repeated_spans(docs, symbols, gram, window)
+    spans = repeated_spans(docs, word_codes, gram, window)
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"rid": pa.int64(), "n_words": pa.int64(), "sha": pa.string(), "body": pa.binary(), "spans": kind}
-        for lot in lots(rows_of(batches), lambda r: len(r[1])):
-            split = [(rid, body, spans, body.split()) for rid, body, spans in lot]
-            rows = [(rid, len(w), None if spans else hashlib.sha256(b" ".join(w)).hexdigest(), body if spans else None, spans) for rid, body, spans, w in split]
-            yield batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
-
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("twice", pa.bool_())]))
-    span = "array<struct<s int, n int, key long, twice boolean>>"
-    # The one pass that moves all texts; those without a repeated anchor are done after it.
-    table = stage(docs.join(spans.hint("merge"), "rid", "left").select("rid", "body", "spans").mapInArrow(settled, f"rid long, n_words long, sha string, body binary, spans {span}"))
-    held = table.filter("spans is not null").select("rid", "body", "spans")
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"rid": pa.int64(), "s": pa.int32(), "n": pa.int32(), "key": pa.int64(), "g": pa.binary()}
+        pack = zstandard.ZstdCompressor(level=1).compress
         for lot in lots(rows_of(batches), lambda r: len(r[1])):
             rows = []
-            for rid, body, spans in lot:
-                words = body.split()
-                rows += [(rid, x["s"], x["n"], x["key"], xxhash.xxh3_128_digest(b" ".join(words[x["s"] : x["s"] + x["n"] + window - 1]))) for x in spans]
+            for (rid, body, spans), codes in zip(lot, word_codes([b for _, b, _ in lot]), strict=True):
+                if not spans:
+                    rows.append((rid, len(codes), hashlib.sha256(b" ".join(body.split())).hexdigest(), None, None))
+                    continue
+                for x in spans:
+                    x["g"] = xxhash.xxh3_128_digest(codes[x["s"] : x["s"] + x["n"] + window - 1])
+                rows.append((rid, len(codes), None, pack(body), spans))
             yield batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
 
-    segs = held.mapInArrow(named, "rid long, s int, n int, key long, g binary")
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("g", pa.binary())]))
+    span = "array<struct<s int, n int, key long, g binary>>"
+    # The one pass that moves all texts; those without a repeated anchor are done after it, the others go on compressed.
+    table = stage(docs.join(spans.hint("merge"), "rid", "left").select("rid", "body", "spans").mapInArrow(steady(settled), f"rid long, n_words long, sha string, body binary, spans {span}"))
+    held = table.filter("spans is not null").select("rid", "body", "spans")
+    segs = held.select("rid", F.explode("spans").alias("x")).select("rid", "x.s", "x.n", "x.key", "x.g")
     met = segs.groupBy("g").agg(F.min("rid").alias("least"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     marked = stage(segs.join(met.hint("merge"), "g", "left").select("rid", "s", "n", "key", F.coalesce(F.col("rid") > F.col("least"), F.lit(False)).alias("gone")))
     live = marked.filter("not gone")
@@ -145,10 +115,11 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pref
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"a": pa.int64(), "b": pa.int64(), "c": pa.int64(), "rid": pa.int64(), "p": pa.int32()}
         cuts = (0, *prefixes, window)
+        unpack = zstandard.ZstdDecompressor().decompress
         for lot in lots(rows_of(batches), lambda r: len(r[1])):
             out: dict[str, list] = {n: [] for n in types}
-            for rid, body, asked in lot:
-                codes = symbols(body)
+            codes_of = word_codes([unpack(body) for _, body, _ in lot])
+            for (rid, _, asked), codes in zip(lot, codes_of, strict=True):
                 at = np.unique(np.concatenate([np.arange(x["s"], x["s"] + x["n"]) for x in asked]))
                 for name, lo, hi in zip("abc", cuts[:-1], cuts[1:], strict=True):
                     out[name].append(gram_hashes(codes, hi - lo)[at + lo].view(np.int64))
@@ -156,7 +127,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pref
                 out["p"].append(at.astype(np.int32))
             yield batch({n: np.concatenate(v) for n, v in out.items()}, types)
 
-    rows = stage(held.select("rid", "body").join(asked.hint("merge"), "rid").mapInArrow(suffixes, "a long, b long, c long, rid long, p int"))
+    rows = stage(held.select("rid", "body").join(asked.hint("merge"), "rid").mapInArrow(steady(suffixes), "a long, b long, c long, rid long, p int"))
     # A prefix is made longer where too many suffixes share it.
     wide = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("a")
     wider = rows.join(wide.hint("merge"), "a").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -167,7 +138,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pref
     small = placed.filter("deeper is null").withColumn("group", F.xxhash64("a")).select("group", "a", "b", "c", "rid", "p")
     middle = second.filter("not whole").withColumn("group", F.xxhash64("a", "b")).select("group", "a", "b", "c", "rid", "p")
     trees = small.unionByName(middle).repartition(spread(docs), "group").sortWithinPartitions("group")
-    by_tree = trees.mapInArrow(_trees(window), _SPANS_SQL)
+    by_tree = trees.mapInArrow(steady(_trees(window)), _SPANS_SQL)
     full = second.filter("whole").select("a", "b", "c", "rid", "p")
     least = full.groupBy("a", "b", "c").agg(F.min("rid").alias("least"))
     by_node = full.join(least.hint("merge"), ["a", "b", "c"]).filter("rid > least").select("rid", F.col("p").cast("long").alias("a"), (F.col("p") + window).cast("long").alias("e"))
@@ -192,16 +163,19 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, doc_id: str =
     bodies = rows.select("rid", F.col("text").cast("binary").alias("body"))
     found = repeated_words(bodies, window, gram, group=group)
     if not digests:  # the texts of settled documents come back
-        found = found.join(bodies.withColumnRenamed("body", "all"), "rid").withColumn("body", F.coalesce("body", "all")).drop("all")
+        found = found.join(bodies.withColumnRenamed("body", "whole"), "rid")
+    else:
+        found = found.withColumn("whole", F.lit(None).cast("binary"))
     last = ("kept_sha256", pa.string()) if digests else ("kept", pa.string())
     types = {"rid": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), last[0]: last[1]}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for lot in lots(rows_of(batches), lambda r: r[1]):
             out = []
-            for rid, n, sha, body, spans in lot:
+            for rid, n, sha, body, spans, whole in lot:
                 runs, at, kept = merged(spans), 0, []
-                words = body.split() if body is not None else []
+                words = unpack(body).split() if body is not None else (whole or b"").split()
                 for a, e in runs:
                     kept += words[at:a]
                     at = e
@@ -209,7 +183,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, doc_id: str =
                 out.append((rid, n, sum(e - a for a, e in runs), (sha or hashlib.sha256(rest).hexdigest()) if digests else rest.decode()))
             yield batch(dict(zip(types, zip(*out, strict=True), strict=True)), types)
 
-    done = found.select("rid", "n_words", "sha", "body", "spans").mapInArrow(keep, f"rid long, n_words long, n_removed long, {last[0]} string")
+    done = found.select("rid", "n_words", "sha", "body", "spans", "whole").mapInArrow(steady(keep), f"rid long, n_words long, n_removed long, {last[0]} string")
     return done.join(rows.select("rid", "doc_id"), "rid").select("doc_id", "n_words", "n_removed", last[0])
 
 
