@@ -9,10 +9,9 @@ the pair is counted in each fragment separately, and the counts are summed
 per pair.
 
 Equal sets are one class and compared once.  In a group of documents too
-large to list all its pairs, a few leaders at a time are compared with the
-rest, and members already known to be connected are not compared again; the
-rounds end when no pair is left that could join two components.  So no link
-between components is lost, and a group of n near copies costs about n pairs.
+large to list all its pairs, leaders are compared with the rest first; then
+only pairs that could still join two components are looked at, block by block
+against the bitmap bound.  No link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,10 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm.anchors import LOT, batch, gram_hashes, lots, mixed, rows_of
+from quillspark.llm.anchors import LOT, batch, gram_hashes, lots, mixed, rows_of, steady, word_codes
 from quillspark.llm.common import keyed, spread, stage
 from quillspark.llm.components import components
-from quillspark.llm.passage_dedup import WordHasher
 
 #: Words of an n-gram and the similarity, in hundredths.
 WORDS, SIMILAR = 5, 75
@@ -37,30 +35,42 @@ GROUP = 40
 FREQUENT = 1_000_000
 #: One n-gram in so many is counted to find frequent passages; n-grams near a frequent one are then counted all.
 SAMPLE, NEAR = 8, 16
-#: Leaders of a large group in a round, and fragments of the order.
-LEADERS, FRAGMENTS = 4, 16
+#: n-grams whose groups are paired at a time in a task.
+BLOCK = 20_000
+#: Least bits of a parity bitmap; leaders of a large group; its members compared in one task; fragments of the order.
+CELLS, LEADERS, SQUARE, FRAGMENTS = 1024, 8, 1024, 4
 
 
 class Shingler:
     """n-grams of a text: lower-cased A-Z, words ``[^\\x20\\x09-\\x0D]+``; a shorter text is one n-gram."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.hasher = words, WordHasher()
-
-    def sequence(self, body: bytes) -> np.ndarray:
-        """Hashes in text order, with repeats."""
-        codes = self.hasher.of(body.lower().split())
-        if not len(codes):
-            return codes
-        return gram_hashes(codes, self.words) if len(codes) >= self.words else mixed(gram_hashes(codes, len(codes)) + np.uint64(len(codes)))
+        self.words = words
+
+    def sequences(self, bodies: list[bytes]) -> list[np.ndarray]:
+        """Hashes in text order, with repeats, of each text."""
+        k = self.words
+        codes = word_codes([b.lower() for b in bodies])
+        hashed = gram_hashes(np.concatenate(codes), k) if codes else None
+        out, at = [], 0
+        for c in codes:
+            n = len(c)
+            out.append(hashed[at : at + n - k + 1] if n >= k else mixed(gram_hashes(c, n) + np.uint64(n)) if n else c)
+            at += n
+        return out
+
+    def sets(self, bodies: list[bytes]) -> list[np.ndarray]:
+        return [np.unique(s) for s in self.sequences(bodies)]
+
+
+def probe_length(n: int, similar: int = SIMILAR) -> int:
+    """How many first n-grams surely hold one that is shared with any similar set of no more n-grams."""
+    return n - -(-n * similar // 100) + 1
 
-    def set(self, body: bytes) -> np.ndarray:
-        return np.unique(self.sequence(body))
 
-
-def prefix_length(n: int, similar: int = SIMILAR) -> int:
-    """How many first n-grams surely hold slack(n) + 1 of those shared with any similar set of no fewer than n * similar / 100."""
-    return n - -(-n * similar // 100) + 1
+def index_length(n: int, similar: int = SIMILAR) -> int:
+    """The same for similar sets of no fewer n-grams: they share at least 2s / (100 + s) of n."""
+    return n - -(-2 * n * similar // (100 + similar)) + 1
 
 
 def slack(n: int) -> int:
@@ -68,8 +78,8 @@ def slack(n: int) -> int:
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    """Parity of the n-grams in each cell of a bitmap of about one bit an n-gram; two sets differ in at least as many n-grams as bits."""
-    size = max(64, 1 << int(len(s)).bit_length())
+    """Parity of the n-grams in each cell of a bitmap of two to four bits an n-gram; two sets differ in at least as many n-grams as bits."""
+    size = max(CELLS, 2 << int(len(s)).bit_length())
     cells = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
 
@@ -91,15 +101,14 @@ def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
         shingler = Shingler(words)
         for lot in lots(rows_of(batches), lambda r: len(r[1])):
             rows, sampled = [], []
-            for rid, body in lot:
-                s = shingler.set(body)
+            for (rid, _), s in zip(lot, shingler.sets([b for _, b in lot]), strict=True):
                 sampled.append(s[s % np.uint64(SAMPLE) == 0])
                 rows.append((rid, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), len(s), parity_bits(s)))
             yield batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
             token, n = np.unique(np.concatenate(sampled), return_counts=True)
             yield batch({"rid": [None] * len(token), "sid": token.view(np.int64), "n": n, "bits": [None] * len(token)}, types)
 
-    both = stage(docs.mapInArrow(run, "rid long, sid long, n long, bits binary"))
+    both = stage(docs.mapInArrow(steady(run), "rid long, sid long, n long, bits binary"))
     return both.filter("rid is not null"), both.filter("rid is null").select(F.col("sid").alias("token"), "n")
 
 
@@ -123,8 +132,7 @@ def _near_frequent(docs: DataFrame, sampled: np.ndarray, words: int) -> DataFram
         shingler = Shingler(words)
         for lot in lots(rows_of(batches), lambda r: len(r[1])):
             found = []
-            for _, body in lot:
-                s = shingler.sequence(body)
+            for s in shingler.sequences([b for _, b in lot]):
                 at = np.flatnonzero(_holds(shared.value, s))
                 if len(at):
                     near = np.unique((at[:, None] + np.arange(-NEAR, NEAR + 1)).ravel())
@@ -133,75 +141,85 @@ def _near_frequent(docs: DataFrame, sampled: np.ndarray, words: int) -> DataFram
                 token, n = np.unique(np.concatenate(found), return_counts=True)
                 yield batch({"token": token.view(np.int64), "n": n}, {"token": pa.int64(), "n": pa.int64()})
 
-    return docs.mapInArrow(run, "token long, n long")
+    return docs.mapInArrow(steady(run), "token long, n long")
 
 
 def _meetings(docs: DataFrame, frequent: np.ndarray, words: int, similar: int, group: int) -> DataFrame:
-    """(token, x, y): pairs of sets that share a prefix n-gram; for large groups (token, x, null), its members."""
+    """(token, x, y, n, pos): pairs of sets that share a prefix n-gram; for large groups the members x with y null.
+
+    Of a pair, the set that comes first by size and name must hold the n-gram
+    among its fewer index n-grams, the other among its probe ones, and what
+    either holds from there on (``n - pos``) must suffice for the overlap.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"place": pa.int64(), "token": pa.int64(), "sid": pa.int64(), "often": pa.bool_()}
+        types = {"place": pa.int64(), "token": pa.int64(), "sid": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "often": pa.bool_()}
         shingler = Shingler(words)
         for lot in lots(rows_of(batches), lambda r: len(r[1])):
-            tokens, sids, flags, seen = [], [], [], set()
-            for _, body in lot:
-                s = shingler.set(body)
-                sid = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                if not len(s) or sid in seen:
+            parts, seen = [], set()
+            for s in shingler.sets([b for _, b in lot]):
+                sid, n = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), len(s)
+                if not n or sid in seen:
                     continue
                 seen.add(sid)
                 often = _holds(shared.value, s)
-                order = np.concatenate([s[~often], s[often]])[: prefix_length(len(s), similar) + slack(len(s))]
-                tokens.append(order)
-                sids.append(np.full(len(order), sid, np.int64))
-                flags.append(np.arange(len(order)) >= len(s) - int(often.sum()))
-            if not tokens:
+                order = np.concatenate([s[~often], s[often]])[: probe_length(n, similar) + slack(n)]
+                at = np.arange(len(order))
+                parts.append((order, np.full(len(order), sid, np.int64), np.full(len(order), n, np.int32), at.astype(np.int32), at >= n - int(often.sum())))
+            if not parts:
                 continue
-            token, sid, often = np.concatenate(tokens).view(np.int64), np.concatenate(sids), np.concatenate(flags)
+            token, sid, n, pos, often = (np.concatenate(c) for c in zip(*parts, strict=True))
             # Holders of a frequent n-gram do not have to meet in one task; they are dealt out evenly.
-            place = np.where(often, mixed((token ^ sid).view(np.uint64)).view(np.int64), token)
+            place = np.where(often, mixed(token ^ sid.view(np.uint64)), token).view(np.int64)
+            columns = {"place": place, "token": token.view(np.int64), "sid": sid, "n": n, "pos": pos, "often": often}
             for at in range(0, len(token), LOT):
-                part = slice(at, at + LOT)
-                yield batch({"place": place[part], "token": token[part], "sid": sid[part], "often": often[part]}, types)
+                yield batch({k: v[at : at + LOT] for k, v in columns.items()}, types)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"token": pa.int64(), "x": pa.int64(), "y": pa.int64()}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        types = {"token": pa.int64(), "x": pa.int64(), "y": pa.int64(), "n": pa.int32(), "pos": pa.int32()}
+        held: list[list[np.ndarray]] = []
+
+        def members(token, sid, n, pos) -> pa.RecordBatch:
+            return batch({"token": token, "x": sid, "y": pa.nulls(len(sid), pa.int64()), "n": n, "pos": pos}, types)
+
         for b in batches:
-            token, sid, often = b["token"].to_numpy(), b["sid"].to_numpy(), b["often"].to_numpy(zero_copy_only=False)
+            token, sid, n, pos, often = (b[c].to_numpy(zero_copy_only=False) for c in ("token", "sid", "n", "pos", "often"))
             if often.any():
-                yield batch({"token": token[often], "x": sid[often], "y": pa.nulls(int(often.sum()), pa.int64())}, types)
-            held.append((token[~often], sid[~often]))
-        if not held:
+                yield members(token[often], sid[often], n[often], pos[often])
+            held.append([c[~often] for c in (token, sid, n, pos)])
+        if not held or not sum(len(h[0]) for h in held):
             return
-        token, sid = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        order = np.lexsort([sid, token])
-        token, sid = token[order], sid[order]
-        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])]) if len(token) else np.zeros(0, bool)
-        token, sid = token[fresh], sid[fresh]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(token)))
+        token, sid, n, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort([sid, n, token])
+        token, sid, n, pos = token[order], sid[order], n[order].astype(np.int64), pos[order]
+        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
+        token, sid, n, pos = token[fresh], sid[fresh], n[fresh], pos[fresh]
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(start, len(token)))
         large = np.repeat(size > group, size)
         if large.any():
-            yield batch({"token": token[large], "x": sid[large], "y": pa.nulls(int(large.sum()), pa.int64())}, types)
-        xs, ys = [], []
-        for step in range(1, group):
-            at = first[(size > step) & (size <= group)]
-            count = size[(size > step) & (size <= group)] - step
-            if not len(at):
-                break
-            left = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            xs.append(sid[left])
-            ys.append(sid[left + step])
-        if xs:
-            pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
-            for at in range(0, len(pairs), LOT):
-                p = pairs[at : at + LOT]
-                yield batch({"token": pa.nulls(len(p), pa.int64()), "x": np.ascontiguousarray(p[:, 0]), "y": np.ascontiguousarray(p[:, 1])}, types)
-
-    posts = docs.mapInArrow(posted, "place long, token long, sid long, often boolean")
-    return stage(posts.repartition(spread(docs), "place").mapInArrow(met, "token long, x long, y long"))
+            yield members(token[large], sid[large], n[large], pos[large])
+        none = lambda k, kind: pa.nulls(k, kind)
+        for lo in range(0, len(start), BLOCK):
+            starts, sizes, found = start[lo : lo + BLOCK], size[lo : lo + BLOCK], []
+            for step in range(1, group):
+                wide = (sizes > step) & (sizes <= group)
+                at, count = starts[wide], sizes[wide] - step
+                if not len(at):
+                    break
+                left = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                right = left + step
+                need = -(-similar * (n[left] + n[right]) // (100 + similar))
+                fits = (n[left] * 100 >= n[right] * similar) & (np.minimum(n[left] - pos[left], n[right] - pos[right]) + slack(n[left]) >= need)
+                found.append(np.stack([sid[left[fits]], sid[right[fits]]], 1))
+            if found and sum(map(len, found)):
+                p = np.ascontiguousarray(np.unique(np.concatenate(found), axis=0).T)
+                k = p.shape[1]
+                yield batch({"token": none(k, pa.int64()), "x": p[0], "y": p[1], "n": none(k, pa.int32()), "pos": none(k, pa.int32())}, types)
+
+    posts = docs.mapInArrow(steady(posted), "place long, token long, sid long, n int, pos int, often boolean")
+    return stage(posts.repartition(spread(docs), "place").drop("place").mapInArrow(steady(met), "token long, x long, y long, n int, pos int"))
 
 
 class _Verifier:
@@ -220,14 +238,37 @@ class _Verifier:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 # |A or B| - |A and B| <= (|A| + |B|) * (100 - s) / (100 + s)
-                keep = [least_difference(p, q) * (100 + similar) <= (m + n) * (100 - similar) for p, q, m, n in zip(*(b[c].to_pylist() for c in ("bx", "by", "nx", "ny")), strict=True)]
-                yield b.select(["x", "y", "nx", "ny"]).filter(pa.array(keep, pa.bool_()))
-
-        return sized.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(run, "x long, y long, nx long, ny long")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
+                differ = [least_difference(p, q) for p, q in zip(b["bx"].to_pylist(), b["by"].to_pylist(), strict=True)]
+                keep = [d * (100 + similar) <= (m + n) * (100 - similar) for d, m, n in zip(differ, b["nx"].to_pylist(), b["ny"].to_pylist(), strict=True)]
+                yield b.select(["x", "y", "nx", "ny"]).append_column("differ", pa.array(differ, pa.int32())).filter(pa.array(keep, pa.bool_()))
+
+        return sized.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(steady(run), "x long, y long, nx long, ny long, differ int")
+
+    def connect(self, pairs: DataFrame, links: DataFrame | None = None) -> DataFrame:
+        """``links`` and what connects the same sets as all similar ones among ``pairs`` would.
+
+        First the likeliest partner of each set is tried, twice; then all
+        pairs that would still join two components.
+        """
+        open_ = stage(self.likely(pairs))
+        for last in (False, False, True):
+            if links is not None:
+                side = lambda c: components(links).select(F.col("x").alias(c), F.col("label").alias(f"l{c}"))  # noqa: B023, E731
+                labels = stage(side("x"))
+                open_ = open_.join(labels.hint("merge"), "x", "left").join(labels.select(F.col("x").alias("y"), F.col("lx").alias("ly")).hint("merge"), "y", "left")
+                open_ = stage(open_.filter(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y", "nx", "ny", "differ"))
+            if open_.isEmpty():
+                break
+            tried = open_ if last else open_.groupBy("y").agg(F.min_by(F.struct("x", "nx", "ny", "differ"), F.struct(F.col("differ") / (F.col("nx") + F.col("ny")), "x")).alias("b")).select("b.x", "y", "b.nx", "b.ny", "b.differ")
+            tried = stage(tried)
+            found = self.links(tried)
+            links = stage(found if links is None else links.unionByName(found))
+            if not last:
+                open_ = open_.join(tried.select("x", "y").hint("merge"), ["x", "y"], "left_anti")
+        return links if links is not None else pairs.select("x", "y").limit(0)
+
+    def links(self, likely: DataFrame) -> DataFrame:
         """The pairs that are similar, by overlaps counted in each fragment of the order."""
-        likely = stage(self.likely(pairs))
         wanted = likely.select(F.col("x").alias("sid")).union(likely.select(F.col("y").alias("sid"))).distinct()
         rids = self.classes.join(wanted.hint("merge"), "sid").select("sid", "rid")
         texts = self.docs.join(rids.hint("merge"), "rid").select("sid", "body")
@@ -239,43 +280,88 @@ class _Verifier:
             cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64)) * np.uint64((1 << 64) // FRAGMENTS)
             for lot in lots(rows_of(batches), lambda r: len(r[1])):
                 rows = []
-                for sid, body in lot:
-                    s = shingler.set(body)
+                for (sid, _), s in zip(lot, shingler.sets([b for _, b in lot]), strict=True):
                     rows += [(sid, k, p.view(np.int64)) for k, p in enumerate(np.split(s, np.searchsorted(s, cuts))) if len(p)]
                 yield batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
 
-        fragments = stage(texts.mapInArrow(run, "sid long, part int, grams array<long>"))
+        fragments = stage(texts.mapInArrow(steady(run), "sid long, part int, grams array<long>"))
         one = lambda side: fragments.select(F.col("sid").alias(side), "part", F.col("grams").alias(f"g{side}")).hint("merge")
         partial = likely.join(one("x"), "x").join(one("y"), ["y", "part"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("gx", "gy")).cast("long").alias("shared"))
         summed = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("shared").alias("o"))
         return summed.filter(F.col("o") * 100 >= (F.col("nx") + F.col("ny") - F.col("o")) * self.similar).select("x", "y")
 
 
+def _squares(now: DataFrame, similar: int) -> DataFrame:
+    """(x, y): pairs of one group that the bounds leave, of different components.
+
+    A group is cut into blocks of about SQUARE members, and each pair of
+    blocks is compared in a task of its own.
+    """
+    sizes = now.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / SQUARE).cast("int").alias("blocks"))
+    rows = now.join(sizes.hint("merge"), "token").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["token", "i", "j", "side", "sid", "n", "pos", "label", "bits"]
+    left = rows.filter("open").select("*", others.alias("j")).withColumn("i", F.col("block")).withColumn("side", F.lit(0)).select(*columns)
+    right = rows.filter("probes").select("*", others.alias("i")).withColumn("j", F.col("block")).withColumn("side", F.lit(1)).select(*columns)
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        words = []
+        for b in table["bits"].to_pylist():
+            w = np.frombuffer(b, np.uint64)
+            words.append(np.bitwise_xor.reduce(w.reshape(-1, CELLS // 64), 0))
+        words = np.stack(words)
+        sid, n, pos, label = (table[c].to_numpy() for c in ("sid", "n", "pos", "label"))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        r = np.flatnonzero(side == 1)
+        found = []
+        for k in np.flatnonzero(side == 0):
+            ok = (label[r] != label[k]) & ((n[r] > n[k]) | ((n[r] == n[k]) & (sid[r] > sid[k]))) & (n[k] * 100 >= n[r] * similar)
+            ok &= np.minimum(n[k] - pos[k], n[r] - pos[r]) * (100 + similar) >= similar * (n[k] + n[r])
+            at = r[ok]
+            differ = np.bitwise_count(words[at] ^ words[k]).sum(1, dtype=np.int64)
+            at = at[differ * (100 + similar) <= (n[at] + n[k]) * (100 - similar)]
+            found.append(np.stack([np.full(len(at), sid[k]), sid[at]], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"x": np.ascontiguousarray(pairs[:, 0]), "y": np.ascontiguousarray(pairs[:, 1])})
+
+    return left.unionByName(right).groupBy("token", "i", "j").applyInArrow(compare, "x long, y long").distinct()
+
+
 def _large_groups(members: DataFrame, links: DataFrame, verify: _Verifier) -> DataFrame:
-    """All links needed to connect what is similar within large groups.
+    """All links needed to connect what is similar within large groups: (token, sid, n, pos, first, probes).
 
-    A member is spent once it was a leader, that is, was compared with its
-    whole group.  A group is done when its members that are not spent lie in
-    one component.
+    A few leaders, those with the fewest n-grams of their own, are compared
+    with their whole groups first, which connects most near copies at about
+    one pair each.  Then the members of different components are compared,
+    block by block.
     """
-    members = stage(members.withColumn("spent", F.lit(False)))
-    while True:
-        labels = components(links)
-        now = members.join(labels.withColumnRenamed("x", "sid").hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        now = stage(now)
-        left = now.filter("not spent").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
-        now = now.join(left.hint("merge"), "token")
-        # Leaders are found by aggregation: the least of each of a few random classes of a group.
-        turn = F.pmod(F.xxhash64("sid"), F.lit(LEADERS))
-        leaders = stage(now.filter("not spent").groupBy("token", turn.alias("turn")).agg(F.min("sid").alias("x")).select("token", "x"))
-        if leaders.isEmpty():
-            return links
-        lead = leaders.join(now.select("token", F.col("sid").alias("x"), F.col("label").alias("lx")).hint("merge"), ["token", "x"])
-        pairs = now.select("token", F.col("sid").alias("y"), F.col("label").alias("ly")).join(lead.hint("merge"), "token").filter("x != y and lx != ly")
-        pairs = stage(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        links = stage(links.unionByName(verify.links(pairs)))
-        spent = leaders.select("token", F.col("x").alias("sid"), F.lit(True).alias("led"))
-        members = stage(now.select("token", "sid", "spent").join(spent.hint("merge"), ["token", "sid"], "left").select("token", "sid", (F.col("spent") | F.coalesce("led", F.lit(False))).alias("spent")))
+    need = lambda a, b: F.ceil((a + b) * verify.similar / (100 + verify.similar))
+    # What a member holds from the n-gram on must suffice for the smallest set that may come first.
+    least = members.filter("first").groupBy("token").agg(F.min("n").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * verify.similar / 100))
+    members = members.join(least.hint("merge"), "token").filter(F.col("n") - F.col("pos") >= need(F.col("n"), F.least(partner, F.col("n"))))
+    members = stage(members.select("token", "sid", "n", "pos", F.col("first").alias("open"), "probes"))
+    if members.isEmpty():
+        return links
+
+    def labelled(links: DataFrame) -> DataFrame:
+        labels = components(links).withColumnRenamed("x", "sid")
+        now = stage(members.join(labels.hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+        mixed_ = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("open").alias("some")).filter("lo != hi and some")
+        return now.join(mixed_.select("token").hint("merge"), "token")
+
+    now = labelled(links)
+    turn = F.pmod(F.xxhash64("sid"), F.lit(LEADERS))
+    leaders = now.filter("open").groupBy("token", turn.alias("turn")).agg(F.min(F.struct("pos", "sid", "n", "label")).alias("x"))
+    # The best leaders of all groups stand for the rest: few different sets, each compared once with a member.
+    leaders = stage(leaders.groupBy("token").agg(F.min("x").alias("x")).select("token", F.col("x.sid").alias("x"), F.col("x.n").alias("nx"), F.col("x.pos").alias("px"), F.col("x.label").alias("lx")))
+    later = F.struct("nx", "x") < F.struct("n", "sid")
+    fits = (F.col("nx") * 100 >= F.col("n") * verify.similar) & (F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("pos")) >= need(F.col("nx"), F.col("n")))
+    pairs = now.filter("probes").join(leaders.hint("merge"), "token").filter((F.col("lx") != F.col("label")) & later & fits).select("x", F.col("sid").alias("y")).distinct()
+    links = verify.connect(pairs, links)
+    now = labelled(links).join(verify.classes.select("sid", "bits").hint("merge"), "sid")
+    return verify.connect(_squares(now, verify.similar), links)
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
@@ -300,13 +386,16 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, similar: int = SI
     first = sets.filter("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"))
     classes = stage(first.join(sets.select("rid", "n", "bits").hint("merge"), "rid"))
     verify = _Verifier(bodies, classes, words, similar)
-    links = stage(verify.links(met.filter("token is null").select("x", "y").distinct()))
-
-    members = met.filter("token is not null").select("token", F.col("x").alias("sid")).distinct()
-    # A document that holds no more n-grams of large groups than its prefix has to spare meets all its like elsewhere.
-    spare = F.lit(2) + F.floor(F.floor(F.col("n") * similar / 100) / 32)
-    heavy = members.groupBy("sid").agg(F.count(F.lit(1)).alias("k")).join(classes.select("sid", "n").hint("merge"), "sid").filter(F.col("k") > spare).select("sid")
-    members = stage(members.join(heavy.hint("merge"), "sid"))
+    links = verify.connect(met.filter("token is null").select("x", "y").distinct())
+
+    members = met.filter("token is not null").select("token", F.col("x").alias("sid"), "n", "pos").distinct()
+    # A set that holds no more n-grams of large groups than its prefix has to spare meets all its like in small ones.
+    spare = lambda n: F.lit(2) + F.floor(n / 32)  # noqa: E731  (slack() as a column)
+    indexed = F.col("n") - F.ceil(F.col("n") * (2 * similar) / (100 + similar)) + 1  # index_length() as a column
+    probed = F.col("n") - F.ceil(F.col("n") * similar / 100) + 1
+    held = members.groupBy("sid").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("pos") < indexed + spare(F.col("n"))).alias("k_first"), F.max("n").alias("m"))
+    heavy = held.select("sid", (F.col("k_first") > spare(F.col("m"))).alias("leads"), (F.col("k") > spare(F.floor(F.col("m") * similar / 100))).alias("probes")).filter("leads or probes")
+    members = members.filter(F.col("pos") < probed).join(heavy.hint("merge"), "sid").select("token", "sid", "n", "pos", ((F.col("pos") < indexed) & F.col("leads")).alias("first"), "probes")
     links = _large_groups(members, links, verify)
 
     labels = components(links)
