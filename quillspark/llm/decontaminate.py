@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash windows.
 
 Wherever a document shares a word n-gram with a benchmark item, the window of
-the item's size around it is looked at; windows that share none have
-similarity 0.  Each window and item gets a 64-bit SimHash, whose bits are cut
+the item's size that starts there is looked at; no other window is better, and
+windows that share none have similarity 0.  Each window and item gets a 64-bit SimHash, whose bits are cut
 into RADIUS + 1 blocks: fingerprints that differ in RADIUS bits at most have
 a block in common, so an index on blocks finds all of them.  Candidates are
 verified by their exact weighted n-gram similarity, where an n-gram weighs as
@@ -56,6 +56,22 @@ def blocks_of(print_: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(print_, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
+def starts(similar: float) -> Column:
+    """Starts of the windows to look at, from ``ps``, the sorted positions of shared n-grams in a document of ``n`` words.
+
+    Moved right up to the next shared n-gram, or to the document's end, a
+    window loses none, so the best one starts at one of ``ps`` or is the last.
+    Of those, windows with too few shared n-grams for ``similar`` are left out.
+    """
+    n, size, ps = F.col("n"), F.col("len"), F.col("ps")
+    grams = size - F.col("m") + 1
+    least = F.greatest(F.ceil(2 * grams * similar / (1 + similar) - 1e-9).cast("int"), F.lit(1))
+    last = F.greatest(n - size, F.lit(0))
+    full = F.filter(ps, lambda p, i: (p <= n - size) & (F.get(ps, i + least - 1) - p < grams))
+    end = F.when((n < size) | (F.get(ps, F.size(ps) - least) >= last), F.array(last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(full, end, F.col("cut")))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """(rid, item, similarity): the best window of each document for each item it holds."""
     items = benchmark.select(F.col(item_id).alias("item"), words_of(F.col(item_text)).alias("w")).filter("size(w) > 0 and item is not null")
@@ -68,12 +84,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     found = None
     for m in sorted(r["m"] for r in totals):
         index = items.filter(F.col("m") == m).select("item", "len", F.posexplode(grams_of(F.col("w"), m)).alias("o", "g"))
-        seen = split.select("rid", F.posexplode(grams_of(F.col("w"), m)).alias("p", "g"))
-        hits = seen.join(side(index), "g").select("rid", "item", "len", F.greatest(F.col("p") - F.col("o"), F.lit(0)).alias("s"), F.lit(m).alias("m"))
+        seen = split.select("rid", F.size("w").alias("n"), F.posexplode(grams_of(F.col("w"), m)).alias("p", "g"))
+        hits = seen.join(side(index), "g").select("rid", "n", "item", "len", "p", F.greatest(F.col("p") - F.col("o"), F.lit(0)).alias("s"), F.lit(m).alias("m"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "rid long, item long, similarity double")
-    wanted = found.distinct().groupBy("rid").agg(F.collect_list(F.struct("item", "len", "s", "m")).alias("wanted"))
+    cut = F.when(F.col("s") > F.col("n") - F.col("len"), F.col("s"))  # an alignment whose window the document's end cuts off
+    found = found.groupBy("rid", "n", "item", "len", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"), F.collect_set(cut).alias("cut"))
+    wanted = found.select("rid", "item", "len", "m", F.explode(starts(similar)).alias("s")).groupBy("rid").agg(F.collect_list(F.struct("item", "len", "s", "m")).alias("wanted"))
     windows = split.join(wanted.hint("merge"), "rid").select("rid", F.explode(F.transform("wanted", lambda x: F.struct(x["item"].alias("item"), x["m"].alias("m"), F.slice("w", x["s"] + 1, x["len"]).alias("w")))).alias("x"))
     # The same window text in many documents is judged once.
     windows = windows.select("rid", "x.item", "x.m", "x.w", F.xxhash64("x.w").alias("wid"))

@@ -186,6 +186,27 @@ def test_contamination(spark, docs, empty, odd):
     assert contamination(odd, bench).count() == 5
 
 
+def test_contamination_between_alignments(spark):
+    """Words put in inside and others at both ends: the best window lies between two alignments of the item."""
+    from quillspark.llm.decontaminate import contamination
+
+    item, other = [f"i{k}" for k in range(59)], [f"o{k}" for k in range(80)]
+    layouts = [other[:40] + item[a:c] + ["n1", "n2", "n3"][:new] + item[c:e] + other[40 : 40 + tail] for a in (0, 1, 2) for c in (7, 12, 30) for new in (1, 2, 3) for e in (56, 58, 59) for tail in (0, 1, 30)]
+    bag = lambda w: Counter(tuple(w[x : x + 5]) for x in range(len(w) - 4))
+    b, want = bag(item), {}
+    for k, w in enumerate(layouts):
+        counts = [bag(w[s : s + 59]) for s in range(len(w) - 58)]
+        best = max(sum((b & c).values()) / sum((b | c).values()) for c in counts)
+        want[k] = round(best, 9) if best >= 0.75 else 0.0
+    example = other[:40] + item[1:7] + ["n1", "n2", "n3"] + item[7:58] + other[40:70]
+    assert want[layouts.index(example)] == 0.774193548 and 0.0 in want.values()
+    full = {k for k, w in enumerate(layouts) if w[-1] == "o69"}  # no alignment of these is cut off by the end
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(layouts)], "doc_id long, text string")
+    got = {r.doc_id: round(r.similarity, 9) for r in contamination(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert {k: got[k] for k in full} == {k: want[k] for k in full}
+    assert all(got[k] >= want[k] for k in want)
+
+
 def test_token_counts(docs, empty, odd):
     import public_tokenizers as p
     import tiktoken
