@@ -85,7 +85,12 @@ p AS (SELECT a.exam, a.n, b.answer, row_number() OVER (PARTITION BY a.exam, a.n
 SELECT exam, n, string_agg(answer, ',' ORDER BY r) AS distractors FROM p WHERE r <= 3 GROUP BY 1, 2""")
 def mcq_distractors(t, spark):
     """Three other answers of the same exam."""
-    q = t("lineitem").filter("l_orderkey < 400").groupBy(F.col("l_orderkey").alias("exam"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").cast("string").alias("answer"))
+    return mcq_distractors_all(t, spark).filter("exam < 400")
+
+
+@query("mcq_distractors_all")
+def mcq_distractors_all(t, spark):
+    q = t("lineitem").groupBy(F.col("l_orderkey").alias("exam"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").cast("string").alias("answer"))
     p = q.withColumnRenamed("answer", "own").join(q.select("exam", "answer"), "exam").filter("own != answer")
     p = p.withColumn("r", F.row_number().over(W.partitionBy("exam", "n").orderBy(shuffle_key(F.col("answer"), 5), "answer"))).filter("r <= 3")
     return p.groupBy("exam", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "answer"))), lambda x: x["answer"]), ",").alias("distractors"))

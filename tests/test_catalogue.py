@@ -47,3 +47,51 @@ def test_entry_has_all_queries(spark):
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 1
+
+
+#: Queries over the whole table, and the filter in the SQL of the one of the same name without ``_all``.
+WHOLE = {
+    "mcq_distractors_all": " WHERE l_orderkey < 400",
+    "last_wins_merge_all": " AND l_orderkey < 3000",
+    "reconcile_totals_all": " WHERE o_orderkey < 2000",
+    "shaped_children_all": " WHERE o_orderkey < 1000",
+    "topic_ranking_stable_all": " WHERE o_orderkey < 500",
+    "author_email_all": " WHERE o_orderkey % 7 = 0",
+    "score_then_time_all": " WHERE o_custkey < 200",
+    "batch_ordinals_all": " WHERE o_orderkey < 1000",
+    "quiz_json_export_all": " WHERE l_orderkey < 300",
+}
+
+
+@pytest.fixture(scope="module")
+def larger():
+    """Tables that hold more than any of the filters lets through."""
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        c.sql(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    return c, sf
+
+
+def _same(spark, larger, name, sql, least):
+    c, sf = larger
+    want = c.sql(sql)
+    df = catalogue.QUERIES[name](spark, sf)
+    assert sorted(df.columns) == sorted(want.columns)
+    rows = [tuple(_shown(r[k]) for k in want.columns) for r in df.collect()]
+    expected = [tuple(map(_shown, r)) for r in want.fetchall()]
+    assert len(rows) > least and sorted(rows, key=str) == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_table(spark, larger, name):
+    sql = catalogue.ORACLE_SQL[name[:-4]]
+    assert sql.count(WHOLE[name]) == 1
+    _same(spark, larger, name, sql.replace(WHOLE[name], ""), len(larger[0].sql(sql).fetchall()))
+
+
+def test_weak_topics_of_each_customer(spark, larger):
+    _same(spark, larger, "weak_topics_all", """
+WITH g AS (SELECT o_custkey, p_brand, count(l_orderkey) AS answers, avg(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END) AS r
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)
+SELECT o_custkey, p_brand, answers, round_even(r, 4) AS rate FROM g QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY r NULLS FIRST, p_brand) <= 5""", 5)
