@@ -222,12 +222,25 @@ def phrase_search_query(t, spark):
     return phrase_search(t("documents").filter("lang = 'en' and length(text) = octet_length(text)"), "of the").withColumn("score", F.round("score", 6))
 
 
+@query("phrase_search_all")
+def phrase_search_all(t, spark):
+    """Over all documents, in any language; Unicode words are beyond the SQL."""
+    return phrase_search(t("documents"), "of the").withColumn("score", F.round("score", 6))
+
+
 @query("postings", f"SELECT w, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK}) AS w FROM documents WHERE lang = 'en' AND length(text) = strlen(text)) GROUP BY w HAVING count(*) > 20")
 def postings(t, spark):
     d = t("documents").filter("lang = 'en' and length(text) = octet_length(text)").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
     return d.groupBy("w").agg(F.count(F.lit(1)).alias("df")).filter("df > 20")
 
 
+@query("postings_all")
+def postings_all(t, spark):
+    """All words of all documents."""
+    d = t("documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w")).distinct()
+    return d.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+
 @query("retrieval_cascade", f"""
 WITH q AS (SELECT embedding, label FROM embeddings WHERE vec_id = 7), r AS (SELECT b.vec_id AS id, b.label, {_COS} AS s FROM q a, embeddings b WHERE b.vec_id != 7),
 t1 AS (SELECT 1 AS tier, id, s FROM r WHERE s >= 0.3 AND label = 99), t2 AS (SELECT 2 AS tier, id, s FROM r WHERE s >= 0.2)

@@ -5,11 +5,14 @@ from __future__ import annotations
 import glob
 import math
 import os
+import re
+from collections import Counter
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from quillspark.functions import scalars as S
 from quillspark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +98,33 @@ def test_weak_topics_of_each_customer(spark, larger):
 WITH g AS (SELECT o_custkey, p_brand, count(l_orderkey) AS answers, avg(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END) AS r
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)
 SELECT o_custkey, p_brand, answers, round_even(r, 4) AS rate FROM g QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY r NULLS FIRST, p_brand) <= 5""", 5)
+
+
+def _rows(larger, table, columns):
+    return larger[0].sql(f"select {columns} from {table}").fetchall()
+
+
+def _run(spark, larger, name, *columns):
+    return sorted((tuple(_shown(r[k]) for k in columns) for r in catalogue.QUERIES[name](spark, larger[1]).collect()), key=str)
+
+
+def _sorted(rows):
+    return sorted((tuple(map(_shown, r)) for r in rows), key=str)
+
+
+def _words(s):
+    plain = {x: base for base, v in S._BASES.items() for x in v}
+    return [w for w in re.split(r"[\W_]+", "".join(plain.get(x, x) for x in s.lower())) if w]
+
+
+def test_phrase_search_and_postings_of_all_documents(spark, larger):
+    docs = [(k, _words(t)) for k, t in _rows(larger, "documents", "doc_id, text") if t is not None]
+    n, mean = len(_rows(larger, "documents", "doc_id")), sum(len(w) for _, w in docs) / len(docs)
+    tf = {k: (sum(a == ("of", "the") for a in zip(w, w[1:])), len(w)) for k, w in docs}
+    df = sum(x > 0 for x, _ in tf.values())
+    score = {k: math.log(1 + (n - df + 0.5) / (df + 0.5)) * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * m / mean)) for k, (x, m) in tf.items() if x}
+    best = sorted(score, key=lambda k: (-score[k], k))[:20]
+    assert [(r.doc_id, r.score) for r in catalogue.QUERIES["phrase_search_all"](spark, larger[1]).collect()] == [(k, pytest.approx(score[k], abs=2e-6)) for k in best]
+    want = Counter(w for _, ws in {(k, frozenset(w)) for k, w in docs} for w in ws)
+    assert _run(spark, larger, "postings_all", "w", "df") == _sorted(want.items())
+    assert min(want.values()) == 1 and not all(map(str.isascii, want))
