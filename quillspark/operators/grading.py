@@ -135,6 +135,17 @@ def grade_answers(t, spark):
     return grade(rows).select("id", "is_correct", "points_earned")
 
 
+@query("grade_answers_all")
+def grade_answers_all(t, spark):
+    """Each lineitem as an answer: a choice on odd lines, true or false on even ones."""
+    odd, none = F.col("l_linenumber") % 2 == 1, F.lit(None)
+    rows = t("lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(odd, "multiple_choice").otherwise("true_false").alias("type"), F.when(odd, "R").otherwise("true").alias("correct"), F.when(odd, F.col("l_returnflag")).when(F.col("l_linestatus") == "O", "yes").when(F.col("l_linestatus") == "F", "no").alias("given"),
+        F.col("l_quantity").alias("points"), none.cast("string").alias("mode"), none.cast("double").alias("penalty"), none.cast("double").alias("per_blank"), none.cast("boolean").alias("partial"),
+    )
+    return grade(rows).select("l_orderkey", "l_linenumber", "is_correct", "points_earned")
+
+
 @query("attempt_totals", """
 WITH a AS (SELECT l_orderkey AS attempt, 1.0 AS m, l_returnflag = 'R' AS ok, CASE WHEN l_returnflag = 'R' THEN 1.0 * (1 - CASE WHEN l_linestatus = 'O' THEN 0.5 ELSE 0 END) ELSE -0.5 END AS p FROM lineitem)
 SELECT attempt, sum(p)::DOUBLE AS earned, sum(m)::DOUBLE AS max_points, count(*) FILTER (ok) AS n_correct, round_even(greatest(0.0, sum(p)::DOUBLE * 100 / sum(m)::DOUBLE), 2) AS percentage, round_even(greatest(0.0, sum(p)::DOUBLE * 100 / sum(m)::DOUBLE), 2) >= 50 AS passed FROM a GROUP BY 1""")

@@ -118,7 +118,7 @@ def false_answer(answer: Column) -> Column:
     """A wrong variant: the first number changed, or a negation put on or off."""
     number = F.regexp_extract(answer, "-?\\d+(?:\\.\\d+)?", 0)
     whole = number.try_cast("bigint")
-    other = F.when(number.contains("."), F.round(number.try_cast("double") + 1.5, 2).cast("string")).when(whole > 0, (-whole).cast("string")).otherwise((whole + 2).cast("string"))
+    other = F.when(number.contains("."), F.round(number.try_cast("double") + 1.5, 2).cast("string")).when(whole.isNull(), F.when(number.startswith("-"), F.substring(number, 2, 1 << 20)).otherwise(F.concat(F.lit("-"), number))).when(whole > 0, (-whole).cast("string")).otherwise((whole + 2).cast("string"))
     negated = F.when(F.lower(answer).startswith("không "), F.substring(answer, 7, 1 << 20)).otherwise(F.concat(F.lit("Không "), answer))
     return F.when(number == "", negated).otherwise(F.concat(F.split_part(answer, number, F.lit(1)), other, F.substring(answer, F.instr(answer, number) + F.length(number), F.lit(1 << 20))))
 
@@ -134,6 +134,11 @@ def false_answers(t, spark):
     return spark.createDataFrame([(x,) for x in ("x = 5", "-3 m", "2.25", "đúng", "Không có")], "answer string").select("answer", false_answer(F.col("answer")).alias("wrong"))
 
 
+@query("false_answers_all")
+def false_answers_all(t, spark):
+    return t("documents").select("doc_id", false_answer(F.col("text")).alias("wrong"))
+
+
 def difficulty_mix(n: int, asked: dict[str, int] | None) -> dict[str, int]:
     """Counts by difficulty code for ``n``: kept if they add up, else scaled, with the difference on TH but not below 0 there; 30/30/30/10 without any."""
     mix = {d: max(int((asked or {}).get(d) or 0), 0) for d in S.DIFFICULTIES}

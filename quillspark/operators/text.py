@@ -27,13 +27,12 @@ def split_questions(df: DataFrame, text: str = "text") -> DataFrame:
     marks, numbers = F.regexp_count(F.lower(text), F.lit(_MARK)), F.regexp_count(text, F.lit(_NUMBERED))
     marked = F.regexp_replace(text, _MARK.replace("(?mu)", "(?mui)"), f"{_CUT}$0")
     numbered = F.regexp_replace(text, _NUMBERED, f"{_CUT}$0")
-    body = F.when(marks >= 2, marked).when(numbers >= 2, numbered).otherwise(F.concat(F.lit(_CUT + "1. "), F.col(text)))
+    body = F.when(marks >= 2, marked).when(numbers >= 2, numbered).otherwise(F.concat(F.lit(_CUT), F.col(text)))
     plain = (marks < 2) & (numbers < 2)
     rows = df.withColumn("_plain", plain).withColumn("_parts", F.filter(F.transform(F.slice(F.split(body, _CUT), 2, 1 << 20), lambda s: F.btrim(s, F.lit(" \t\r\n"))), lambda s: s != ""))
     rows = rows.select("*", F.posexplode("_parts").alias("pos", "_q"))
     number = F.regexp_extract("_q", r"(\d+)", 1).try_cast("int")
-    question = F.when(F.col("_plain"), F.regexp_replace("_q", "^1\\. ", "")).otherwise(F.col("_q"))
-    return rows.withColumn("number", F.when(F.col("_plain"), F.lit(1)).otherwise(number)).withColumn("question", question).drop("_plain", "_parts", "_q")
+    return rows.withColumn("number", F.when(F.col("_plain"), F.lit(1)).otherwise(number)).withColumn("question", F.col("_q")).drop("_plain", "_parts", "_q")
 
 
 _PAIR = r"(?i)(?:^|[\s;,|])(?:câu\s*)?(\d{1,3})\s*[.:)\-]?\s*([A-D])(?=$|[\s;,.|)])"
@@ -406,7 +405,36 @@ def error_classes(t, spark):
 
 @query("json_recovery")
 def json_recovery(t, spark):
-    """Model replies of all kinds; repair needs a scan that knows strings."""
-    raw = ['[{"question":"q1","answer":"a"}]', '```json\n[{"question":"q2",}]\n```', "text [{'question': 1}] {\"question\": \"q3\"}", 'x [{"question":"q4","answer":None},{"question":"broken]', ""]
-    rows = spark.createDataFrame(list(enumerate(raw)), "id int, raw string")
-    return rows.select("id", F.size(recovered(F.col("raw"))).alias("n"))
+    """Questions in each turn, taken as a model's reply; repair needs a scan that knows strings."""
+    return t("conversations").select("conv_id", "turn", F.size(recovered(F.col("text"))).alias("n"))
+
+
+@query("question_segments_all")
+def question_segments_all(t, spark):
+    return split_questions(t("documents").select("doc_id", "text")).select("doc_id", "pos", "number", "question")
+
+
+@query("answer_key_extract_all")
+def answer_key_extract_all(t, spark):
+    return t("documents").select("doc_id", F.explode(answer_table(F.col("text"))).alias("number", "answer"))
+
+
+@query("choice_parsing_all")
+def choice_parsing_all(t, spark):
+    """Choices of each document, marked by the letter its own text names."""
+    found = choices(F.col("text"))
+    return t("documents").select("doc_id", F.when(found.isNotNull(), F.size(found)).alias("n"), F.when(found.isNotNull(), mark_choice(found, inline_answer(F.col("text")))).alias("marked"))
+
+
+@query("mock_detector_all")
+def mock_detector_all(t, spark):
+    """Each conversation as a parse result: a user's turn is a question, the turn after it the answer."""
+    turns = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    answered = F.transform("ts", lambda x, i: F.struct(x["role"].alias("role"), x["text"].alias("question"), F.get("ts", i + 1)["text"].alias("answer")))
+    rows = F.transform(F.filter(answered, lambda x: x["role"] == "user"), lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer"), steps(x["answer"]).alias("solution_steps")))
+    return turns.select("conv_id", is_mock(rows).alias("mock"))
+
+
+@query("error_classes_all")
+def error_classes_all(t, spark):
+    return t("conversations").select("conv_id", "turn", error_class(F.col("text")).alias("kind"))

@@ -6,13 +6,14 @@ import glob
 import math
 import os
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
 import __spark_entry__
 from quillspark.functions import scalars as S
+from quillspark.operators import sampling, text
 from quillspark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -128,3 +129,88 @@ def test_phrase_search_and_postings_of_all_documents(spark, larger):
     want = Counter(w for _, ws in {(k, frozenset(w)) for k, w in docs} for w in ws)
     assert _run(spark, larger, "postings_all", "w", "df") == _sorted(want.items())
     assert min(want.values()) == 1 and not all(map(str.isascii, want))
+
+
+def test_questions_keys_and_choices_of_all_documents(spark, larger):
+    docs = _rows(larger, "documents", "doc_id, text")
+    questions, keys, marked = [], [], []
+    for k, t in docs:
+        if t is None:
+            marked.append((k, None, None))
+            continue
+        mark = r"(?mi)^[ \t]*(?:câu|bài|question)[ \t]*[0-9]+[ \t]*[.:)]"
+        at = [m.start() for m in re.finditer(mark, t)]
+        at = at if len(at) > 1 else [m.start() for m in re.finditer(r"(?m)^[ \t]*[0-9]+[.)][ \t]", t)]
+        parts = [t[a:b] for a, b in zip(at, at[1:] + [len(t)])] if len(at) > 1 else [t]
+        parts = [p.strip(" \t\r\n") for p in parts]
+        questions += [(k, i, int(re.search("[0-9]+", p)[0]) if len(at) > 1 else 1, p) for i, p in enumerate(x for x in parts if x)]
+        head = re.search(r"(?is)(?:đáp án|answer key|answers?)[ \t-\r]*:?[ \t-\r]*(.*)$", t)
+        area = head[1] if head and head[1] else t[math.floor(len(t) * 0.7) :]
+        found = {int(m[1]): m[2].upper() for m in re.finditer(r"(?ai)(?:^|[\s;,|])(?:câu\s*)?([0-9]{1,3})\s*[.:)\-]?\s*([A-D])(?=$|[\s;,.|)])", area)}
+        keys += [(k, a, b) for a, b in found.items()]
+        options = []
+        for line in t.split("\n"):
+            if m := re.match(r"(?a)\s*([A-H])\s*[.):\]]\s*(.*)$", line):
+                options.append([m[1], m[2].strip(" ")])
+            elif options and line.strip(" "):
+                options[-1][1] += " " + line.strip(" ")
+        named = re.search(r"(?i)(?:đáp án|answer|chọn)\s*:?\s*\**([A-D])\b", t) or re.search(r"\*\*([A-D])[.)]?", t)
+        letter = named and named[1].upper()
+        like = [c for c, x in options if letter and (letter.lower() in x.lower() or x.lower() in letter.lower())]
+        marked.append((k, len(options), letter if letter in [c for c, _ in options] else (like or [options[0][0]])[0]) if len(options) > 1 else (k, None, None))
+    assert _run(spark, larger, "question_segments_all", "doc_id", "pos", "number", "question") == _sorted(questions)
+    assert _run(spark, larger, "answer_key_extract_all", "doc_id", "number", "answer") == _sorted(keys)
+    assert _run(spark, larger, "choice_parsing_all", "doc_id", "n", "marked") == _sorted(marked)
+
+
+def test_false_answers_of_all_documents(spark, larger):
+    want = []
+    for k, t in _rows(larger, "documents", "doc_id, text"):
+        m = re.search(r"-?[0-9]+(?:\.[0-9]+)?", t or "")
+        if m and "." in m[0]:
+            other = str(round(float(m[0]) + 1.5, 2))
+        elif m:
+            other = str(-int(m[0])) if int(m[0]) > 0 else str(int(m[0]) + 2)
+        if t is not None:
+            t = t[: m.start()] + other + t[m.end() :] if m else t[6:] if t.lower().startswith("không ") else "Không " + t
+        want.append((k, t))
+    got = _run(spark, larger, "false_answers_all", "doc_id", "wrong")
+    assert got == _sorted(want)
+
+
+def test_conversations_as_replies(spark, larger):
+    turns = _rows(larger, "conversations", "conv_id, turn, role, text")
+    kind = lambda s: next((v for w, v in text.ERRORS if w in (s or "").lower()), "unknown")
+    assert _run(spark, larger, "error_classes_all", "conv_id", "turn", "kind") == _sorted((c, n, kind(s)) for c, n, _, s in turns)
+    assert _run(spark, larger, "json_recovery", "conv_id", "turn", "n") == _sorted((c, n, None if s is None else len(text.salvage(s))) for c, n, _, s in turns)
+    per = defaultdict(list)
+    for c, *x in turns:
+        per[c].append(x)
+    want = []
+    for c, xs in per.items():
+        xs.sort(key=lambda x: tuple((v is None, v) for v in x))
+        asked = [(x[2], xs[i + 1][2] if i + 1 < len(xs) else None) for i, x in enumerate(xs) if x[1] == "user"]
+        signs = sum((len(q or "") < 20) + (not a) + (not (a or "").strip()) for q, a in asked[:5])
+        want.append((c, not asked or signs > 2 * len(asked[:5])))
+    assert _run(spark, larger, "mock_detector_all", "conv_id", "mock") == _sorted(want)
+
+
+def test_json_recovery_of_all_kinds(spark):
+    raw = ['[{"question":"q1","answer":"a"}]', '```json\n[{"question":"q2",}]\n```', "text [{'question': 1}] {\"question\": \"q3\"}", 'x [{"question":"q4","answer":None},{"question":"broken]', ""]
+    rows = spark.createDataFrame(list(enumerate(raw)), "id int, raw string").select("id", text.recovered(text.F.col("raw")).alias("found"))
+    assert {r.id: len(r.found) for r in rows.collect()} == {k: len(text.salvage(s)) for k, s in enumerate(raw)}
+
+
+def test_lineitem_as_answers(spark, larger):
+    want = []
+    for order, line, points, flag, status in _rows(larger, "lineitem", "l_orderkey, l_linenumber, l_quantity, l_returnflag, l_linestatus"):
+        ok = (flag == "R") if line % 2 else status == "O"
+        want.append((order, line, ok, points if ok else 0.0))
+    assert _run(spark, larger, "grade_answers_all", "l_orderkey", "l_linenumber", "is_correct", "points_earned") == _sorted(want)
+
+
+def test_texts_without_questions_and_long_numbers(spark):
+    rows = spark.createDataFrame([(1, ""), (2, None), (3, " \n"), (4, "  one"), (5, "x = 123456789012345678901")], "id int, text string")
+    assert sorted((r.id, r.pos, r.number, r.question) for r in text.split_questions(rows).collect()) == [(4, 0, 1, "one"), (5, 0, 1, "x = 123456789012345678901")]
+    got = {r.id: r.wrong for r in rows.select("id", sampling.false_answer(text.F.col("text")).alias("wrong")).collect()}
+    assert (got[2], got[5]) == (None, "x = -123456789012345678901")
