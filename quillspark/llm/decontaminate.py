@@ -19,7 +19,7 @@ from quillspark.llm.common import keyed, stage
 
 #: Words of an n-gram and least similarity.
 WORDS, SIMILAR = 5, 0.75
-#: Bits that a window's fingerprint may differ by.  At similarity 0.75 an angle of 0.54 is expected, or 11 of 64 bits
+#: Bits that a window's fingerprint may differ by.  Fingerprints are made of the bags that are compared.  At similarity 0.75 an angle of 0.54 is expected, or 11 of 64 bits
 #: with a deviation of 3; 24 lies more than four deviations beyond.
 BITS, RADIUS = 64, 24
 #: n-grams of the benchmark that are broadcast at the most (about 40 bytes each); more are joined by shuffling.
@@ -101,19 +101,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         grams = None
         for m in sorted(r["m"] for r in totals):
             grams = F.when(F.col("m") == m, grams_of(F.col("w"), m)) if grams is None else grams.when(F.col("m") == m, grams_of(F.col("w"), m))
-        return df.withColumn("grams", grams).withColumn("print", simhash(F.col("grams")))
+        return df.withColumn("grams", grams).withColumn("bag", bag_of(F.col("grams"))).withColumn("print", simhash(F.col("bag")))
 
     different = prints(windows.groupBy("item", "m", "wid", "w").agg(F.count(F.lit(1)).alias("times")).drop("times"))
     known = prints(items.select("item", "m", "w"))
-    left = stage(different.select("item", "m", "wid", "grams", "print"))
-    right = stage(known.select("item", "m", F.col("grams").alias("item_grams"), F.col("print").alias("item_print")))
+    left = stage(different.select("item", "m", "wid", "bag", "print"))
+    right = stage(known.select("item", "m", F.col("bag").alias("item_bag"), F.col("print").alias("item_print")))
     lookup = right.select("item", "m", "item_print", F.explode(blocks_of(F.col("item_print"))).alias("b")).select("item", "m", "item_print", "b.block", "b.bits")
     asked = left.select("item", "m", "wid", "print", F.explode(blocks_of(F.col("print"))).alias("b")).select("item", "m", "wid", "print", "b.block", "b.bits")
     near = asked.join(side(lookup), ["item", "m", "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("item", "m", "wid").distinct()
     shared = F.size(F.array_intersect("bag", "item_bag"))
     judged = (
-        near.join(left.select("item", "m", "wid", bag_of(F.col("grams")).alias("bag")), ["item", "m", "wid"])
-        .join(side(right.select("item", "m", bag_of(F.col("item_grams")).alias("item_bag"))), ["item", "m"])
+        near.join(left.select("item", "m", "wid", "bag"), ["item", "m", "wid"])
+        .join(side(right.select("item", "m", "item_bag")), ["item", "m"])
         .select("item", "m", "wid", (shared / (F.size("bag") + F.size("item_bag") - shared)).alias("similarity"))
         .filter(F.col("similarity") >= similar)
     )

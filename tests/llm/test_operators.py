@@ -207,6 +207,22 @@ def test_contamination_between_alignments(spark):
     assert all(got[k] >= want[k] for k in want)
 
 
+def test_simhash_weighs_as_the_similarity_does(spark):
+    """One n-gram repeated many times moves the fingerprint no further than the similarity of the bags allows."""
+    from quillspark.llm.decontaminate import RADIUS, contamination
+
+    items, docs, other = [], [], " ".join(f"o{k}" for k in range(30))
+    for k in range(40):
+        w = [f"i{k}_{x}" for x in range(504)]
+        items.append((k, " ".join(w)))
+        docs.append((k, f"{other} {' '.join(w[:434])} {'filler ' * 70}{other}"))
+    bag = lambda t: Counter(zip(*[t.split()[x:] for x in range(5)]))
+    a, b = bag(items[0][1]), bag(" ".join(docs[0][1].split()[30:534]))
+    assert sum((a & b).values()) >= 0.75 * sum((a | b).values()) and RADIUS == 24 and max(b.values()) == 66
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r.item_ids for r in got.orderBy("doc_id").collect()] == [[k] for k in range(40)]
+
+
 def test_token_counts(docs, empty, odd):
     import public_tokenizers as p
     import tiktoken
