@@ -1,14 +1,14 @@
-"""Substring dedup by prefix-partitioned suffix trees over words.
+"""Substring dedup by windows of words, grouped by hashed prefixes.
 
 A window of words goes if its word sequence also starts in a document with a
 smaller id.  Windows are routed by anchors first (``anchors``); segments that
 are equal as a whole are settled by the least document they occur in.  The
 suffixes of what is left are cut at the window's length and split into groups
 by prefixes of variable length: a group too large for one task's memory is
-split by a longer prefix.  In each group the sorted suffixes and their common
-prefixes give the subtree, whose internal nodes at the window's depth are the
-repeats.  A group that is too large at full depth is one node: its least
-document is found by aggregation, not in one task.
+split by a longer prefix.  In each group the sorted suffixes that agree in the
+hashes of all parts are the repeats; common prefixes and other nodes of a
+suffix tree are not computed.  In a group that is too large with the longest
+prefix, the least document of each window is found by aggregation.
 """
 
 from __future__ import annotations
@@ -38,11 +38,10 @@ _SPANS_SQL = "rid long, a long, e long"
 
 
 def subtree_repeats(group: np.ndarray, edges: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each suffix lies below a full-depth node that a smaller document also reaches.
+    """Whether each suffix equals one of a smaller document in all parts.
 
     ``edges`` has one column for each part of the suffix.  Suffixes are
-    sorted; the number of parts that neighbours share is their common prefix;
-    runs that share all are the deepest internal nodes.
+    sorted; neighbours that share all parts are one run.
     """
     order = np.lexsort([doc, *edges.T[::-1], group])
     same = (group[order][1:] == group[order][:-1]) & (edges[order][1:] == edges[order][:-1]).all(1)
