@@ -19,7 +19,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from struct import pack
 
 import numpy as np
@@ -27,8 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-#: Entries held in each memo of a worker; a full memo is emptied.
-MEMO = 400_000
+from quillspark.llm.common import position
+
+#: Entries held in each memo of a worker, of MEMO_CHARS characters at the most; a full memo is emptied.
+MEMO = 200_000
 #: Chunks longer than this are not remembered.
 MEMO_CHARS = 64
 #: Fragments of so many symbols are merged as rows of a matrix, longer ones with a heap.
@@ -215,7 +217,7 @@ class ForcedBoundaryBPE:
             return text.lower().split()
         return [tuple(x for part in self.parts(text) for x in ([part] if isinstance(part, int) else self._pieces(part)))]
 
-    def documents(self, texts: list[str]) -> Iterator[tuple[int, bytes, str]]:
+    def documents(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes, str]]:
         """For each text: number of ids, ids as little-endian unsigned 32-bit integers, decoded text.
 
         Texts are taken in lots of LOT characters.  A chunk that the memo
@@ -271,27 +273,35 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", d
     pair = [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
     made = [("n_tokens", T.LongType()), *pair]
     new = {n for n, _ in made}
-    at = docs.columns.index(text)
+    at = position(docs, text)
     kept = [k for k, c in enumerate(docs.columns) if c.lower() not in new]
     names = [docs.columns[k] for k in kept] + [n for n, _ in made]
 
+    def emitted(batch: pa.RecordBatch, made: list[tuple[int, bytes, str]]) -> pa.RecordBatch:
+        counts, packed, decoded = zip(*made, strict=True)
+        if digests:
+            left = pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string())
+            right = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())
+        else:
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            left = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(packed), "<i4"))
+            right = pa.array(decoded, pa.string())
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(counts, pa.int64()), left, right], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec.value)
         gc.disable()  # the memos hold no cycles, and walking them takes longer than encoding
         try:
             for batch in batches:
-                counts, left, right = [], [], []
-                for n, ids, decoded in coder.documents([v.as_py() or "" for v in batch.column(at)]):
-                    counts.append(n)
-                    if digests:
-                        left.append(hashlib.sha256(ids).hexdigest())
-                        right.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    else:
-                        left.append(memoryview(ids).cast("i").tolist())
-                        right.append(decoded)
-                arrays = [batch.column(k) for k in kept]
-                arrays += [pa.array(counts, pa.int64()), pa.array(left, pa.string() if digests else pa.list_(pa.int32())), pa.array(right, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                done, held, made = 0, 0, []
+                for row in coder.documents(v.as_py() or "" for v in batch.column(at)):
+                    made.append(row)
+                    held += len(row[1])
+                    if held >= LOT:  # what has been encoded does not wait for the rest of the batch
+                        yield emitted(batch.slice(done, len(made)), made)
+                        done, held, made = done + len(made), 0, []
+                if made:
+                    yield emitted(batch.slice(done), made)
         finally:
             gc.enable()
 

@@ -13,10 +13,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told
+    if not spark.sparkContext.master.startswith(("local[", "local-")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="quillspark-")
@@ -42,6 +44,19 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, key: str) -> DataFrame:
+    """As ``stage``, in buckets of ``key``: later joins and groupings on it move only their other side."""
+    spark = df.sparkSession
+    name = f"quillspark_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(spread(df), key).sortBy(key).saveAsTable(name)
+    jvm, jsc = spark._jvm, spark.sparkContext._jsc
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(target)
+    jvm.System.gc()
+    return spark.table(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -51,6 +66,18 @@ def whole(text: str = "text"):
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def position(df: DataFrame, name: str) -> int:
+    """Place of a column, named in any letter case as Spark allows."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores where ``df`` has such a column already."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame, floor: int = 1) -> int:
     """Number of shuffle partitions of the session, at least ``floor``."""
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -76,9 +103,7 @@ def numbered(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
     The number is the id where that is an integer, never null and never
     repeated; else rows are numbered in input order and written once.
     """
-    name = "row_number"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = free_name(docs, "row_number")
     if docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long"):
         odd = docs.groupBy(F.col(doc_id).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or k is null")
         if odd.isEmpty():

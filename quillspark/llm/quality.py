@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quillspark.llm.common import free_name
 from quillspark.llm.training import MOST_ROWS, held_out, labelled_sample
 
 #: Shape of the ensemble.
@@ -51,12 +52,13 @@ def statistics(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def with_statistics(df: DataFrame, text: str = "body") -> tuple[DataFrame, list[str]]:
-    """Adds the statistics as columns ``stat_*``."""
-    split = df.withColumn("stat_words", F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(text), "[ \\t-\\r]+")))
-    stats = statistics(F.col(text), F.col("stat_words"))
-    out = split.withColumns({f"stat_{k}": v.cast("double") for k, v in stats.items()}).drop("stat_words")
-    return out, [f"stat_{k}" for k in stats]
+def with_statistics(df: DataFrame, text: str = "body") -> tuple[DataFrame, dict[str, str]]:
+    """Adds the statistics as columns under free names, which are told for each statistic."""
+    split = free_name(df, "stat_words")
+    out = df.withColumn(split, F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(text), "[ \\t-\\r]+")))
+    stats = statistics(F.col(text), F.col(split))
+    names = {k: free_name(df, f"stat_{k}") for k in stats}
+    return out.withColumns({names[k]: v.cast("double") for k, v in stats.items()}).drop(split), names
 
 
 @dataclass(frozen=True)
@@ -66,13 +68,13 @@ class RuleEnsemble:
     bias: float
     rules: tuple[tuple[float, tuple[tuple[str, bool, float], ...]], ...]
 
-    def column(self) -> Column:
-        """Probability of label 1 as a column over the statistics."""
+    def column(self, names: dict[str, str]) -> Column:
+        """Probability of label 1 as a column over the statistics, which stand in columns of these names."""
         total = F.lit(self.bias)
         for weight, conditions in self.rules:
             test = F.lit(True)
             for name, above, at in conditions:
-                test = test & ((F.col(name) > F.lit(at)) if above else (F.col(name) <= F.lit(at)))
+                test = test & ((F.col(names[name]) > F.lit(at)) if above else (F.col(names[name]) <= F.lit(at)))
             total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
@@ -156,14 +158,18 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleEnsemble:
 def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_ROWS) -> RuleEnsemble:
     """Fits on at most ``most`` labelled rows outside the held-out fold; only their statistics reach the driver."""
     stats, names = with_statistics(labelled_sample(docs, labels, label, doc_id, text, most))
-    rows = stats.select("y", *names).toPandas()
-    return fit(rows[names].to_numpy(np.float64), rows["y"].to_numpy(np.float64), names)
+    rows = stats.select("y", *names.values()).toPandas()
+    return fit(rows[list(names.values())].to_numpy(np.float64), rows["y"].to_numpy(np.float64), list(names))
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, text: str = "text", score: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the probability of label 1; a null text counts as empty.  No shuffle."""
-    stats, names = with_statistics(docs.withColumn("stat_body", F.coalesce(F.col(text), F.lit(""))), "stat_body")
-    return stats.withColumn(score, model.column()).drop("stat_body", *names)
+    """All columns of ``docs`` and the probability of label 1; a null text counts as empty.  No shuffle.
+
+    A column of the name ``score`` is replaced; no other column of the input is touched.
+    """
+    body = free_name(docs, "stat_body")
+    stats, names = with_statistics(docs.withColumn(body, F.coalesce(F.col(text), F.lit(""))), body)
+    return stats.withColumn(score, model.column(names)).drop(body, *names.values())
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from quillspark.llm.common import position
+
 #: first: the section of the token's first character; last: of its last one;
 #: most: the section that holds most of its characters, the earlier of equals.
 RULES = ("first", "last", "most")
@@ -91,7 +93,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "fi
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     made = [("n_tokens", T.LongType()), ("n_sections", T.LongType()), ("n_crossing", T.LongType()), ("section_tokens", T.ArrayType(T.LongType()))]
     new = {n for n, _ in made}
-    at = docs.columns.index(text)
+    at = position(docs, text)
     kept = [k for k, c in enumerate(docs.columns) if c.lower() not in new]
     names = [docs.columns[k] for k in kept] + [n for n, _ in made]
     schema = T.StructType([*(docs.schema[k] for k in kept), *(T.StructField(n, kind) for n, kind in made)])
