@@ -17,10 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import stage
+from quillspark.llm.common import spread, stage
 
 #: Symbols worked on at a time; running sums over so many stay in a processor's cache.
 LOT = 1 << 17
+#: Bytes of text whose anchors make one fragment, and anchors packed at a time in a task.
+FRAGMENT, PACK = 1 << 24, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -137,30 +139,84 @@ def batch(arrays: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(arrays[n], t) for n, t in types.items()], names=list(types))
 
 
+def planes(a: np.ndarray) -> bytes:
+    """The numbers' bytes by place, so that those that are always zero take no room once compressed."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+
+def unplaned(b: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def binaries(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Pieces of ``data`` of so many bytes."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def repeated_spans(docs: DataFrame, symbols: Callable[[list[bytes]], list[np.ndarray]], gram: int, window: int) -> DataFrame:
     """(rid, body) -> (rid, spans): the segments whose anchor occurs more than once anywhere.
 
-    Anchors are counted within each task before they are moved, so a frequent
-    one arrives once from each task.
+    The range of anchors is cut into fragments of about FRAGMENT bytes of
+    text each.  A task sends each fragment its anchors, packed; the fragment
+    tells which occur more than once.
     """
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in lots(rows_of(batches), lambda r: len(r[1])):
-            *_, key, twice = segments(symbols([b for _, b in lot]), gram, window)
-            key, at = np.unique(key, return_inverse=True)
-            yield batch({"key": key.view(np.int64), "n": np.bincount(at, 1 + twice, len(key)).astype(np.int64)}, {"key": pa.int64(), "n": pa.int64()})
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("body").cast("long")), F.lit(0))).first()[0]
+    cuts = max(spread(docs), total // FRAGMENT + 1)
+    edges = np.array([k * (1 << 56) // cuts for k in range(cuts)], np.uint64)
+    types = {"fragment": pa.int32(), "keys": pa.binary(), "owner": pa.binary(), "rids": pa.binary(), "s": pa.binary(), "n": pa.binary()}
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            key, rid, s, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(key)
+            key, rid, s, n = key[order], rid[order], s[order], n[order]
+            at, out = np.append(np.searchsorted(key, edges), len(key)), []
+            for k, (a, e) in enumerate(zip(at, at[1:], strict=False)):
+                if a < e:
+                    rids, owner = np.unique(rid[a:e], return_inverse=True)
+                    out.append((k, planes(np.diff(key[a:e], prepend=np.uint64(0))), planes(owner.astype(np.uint32)), rids.tobytes(), planes(s[a:e]), planes(n[a:e])))
+            for k in range(0, len(out), 64):
+                yield batch(dict(zip(types, zip(*out[k : k + 64], strict=True), strict=True)), types)
+
+        held, size = [], 0
         for lot in lots(rows_of(batches), lambda r: len(r[1])):
             doc, s, n, key, twice = segments(symbols([b for _, b in lot]), gram, window)
-            rid = np.array([r for r, _ in lot], np.int64)
-            at = (s.astype(np.int64) << 32) | (n.astype(np.int64) << 1) | twice
-            yield batch({"rid": rid[doc], "at": at, "key": key.view(np.int64)}, {"rid": pa.int64(), "at": pa.int64(), "key": pa.int64()})
-
-    given = docs.select("rid", "body")
-    often = stage(given.mapInArrow(steady(counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key"))
-    # First window, number of windows and the mark travel in one long.
-    spans = given.mapInArrow(steady(listed), "rid long, at long, key long").join(often.hint("merge"), "key")
+            held.append((key, np.array([r for r, _ in lot], np.int64)[doc], s.astype(np.uint32), (n.astype(np.uint32) << np.uint32(1)) | twice.astype(np.uint32)))
+            size += len(key)
+            if size >= PACK:
+                yield from rows(held)
+                held, size = [], 0
+        if size:
+            yield from rows(held)
+
+    told = {"rid": pa.int64(), "at": pa.int64(), "key": pa.int64()}
+
+    def met(parts: list[tuple]) -> pa.RecordBatch:
+        key = np.concatenate([np.cumsum(unplaned(p[1], np.uint64), dtype=np.uint64) for p in parts])
+        rid = np.concatenate([np.frombuffer(p[3], np.int64)[unplaned(p[2], np.uint32)] for p in parts])
+        s, n = (np.concatenate([unplaned(p[c], np.uint32) for p in parts]) for c in (4, 5))
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        often = np.zeros(len(key), bool)
+        often[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        often |= (n & np.uint32(1)).astype(bool)
+        # First window, number of windows and the mark travel in one long.
+        return batch({"rid": rid[often], "at": (s[often].astype(np.int64) << 32) | n[often], "key": key[often].view(np.int64)}, told)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for row in rows_of(batches):
+            if parts and row[0] != parts[0][0]:
+                yield met(parts)
+                parts = []
+            parts.append(row)
+        if parts:
+            yield met(parts)
+
+    dealt = docs.select("rid", "body").mapInArrow(steady(packed), "fragment int, keys binary, owner binary, rids binary, s binary, n binary").repartition(spread(docs), "fragment").sortWithinPartitions("fragment")
+    spans = stage(dealt.mapInArrow(steady(joined), "rid long, at long, key long"))
     at = F.col("at")
     span = F.struct(F.shiftright(at, 32).cast("int").alias("s"), F.shiftright(at, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("n"), "key", (at.bitwiseAND(F.lit(1)) == 1).alias("twice"))
     return spans.groupBy("rid").agg(F.collect_list(span).alias("spans"))
