@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspark.llm.common import position
 from quillspark.llm.training import MOST_ROWS, held_out, labelled_sample
 
 #: Hashed terms and factors of each.
@@ -26,6 +27,8 @@ TERMS, FACTORS = 1 << 18, 4
 STEPS, RATE, DECAY = 400, 0.05, 1e-5
 #: A term is learnt from so many rows, and standard errors off the mean, at least.
 LEAST_ROWS, LEAST_Z = 3, 4.0
+#: The same for a term beside another one, and how many of the most frequent terms are paired.
+LEAST_PAIRS, PAIR_Z, PAIRED = 20, 7.0, 1024
 #: Words remembered by a worker.
 MEMO = 300_000
 
@@ -65,17 +68,41 @@ class FactorizationMachine:
 
 
 def informative(rows: list[np.ndarray], y: np.ndarray, terms: int) -> np.ndarray:
-    """Terms whose rows differ in their labels by more than LEAST_Z standard errors.
-
-    Among tens of thousands of terms chance alone passes that bar for one or
-    two; the rest would only be learnt by heart.
+    """Terms that tell of the label alone or together with another term.
+
+    Alone: the labels of a term's rows differ from the mean by more than
+    LEAST_Z standard errors; among tens of thousands of terms chance passes
+    that bar for one or two.  Together: of the PAIRED most frequent of the
+    other terms, those with which the labels of another such term's rows, or
+    of the rows of a term that tells alone, differ by more than PAIR_Z from
+    what they are without it, and so by more than chance does among all those
+    pairs.  The rest would only be learnt by heart.
     """
-    flat = np.concatenate(rows)
-    seen = np.bincount(flat, minlength=terms)
-    share = y.mean()
-    excess = np.bincount(flat, np.repeat(y - share, [len(r) for r in rows]), terms)
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    seen, share = np.bincount(flat, minlength=terms), y.mean()
+    excess = np.bincount(flat, (y - share)[owner], terms)
     z = np.abs(excess) / np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / (len(y) + 1)), 1e-9))
-    return np.flatnonzero((seen >= LEAST_ROWS) & (z > LEAST_Z))
+    known = np.flatnonzero((seen >= LEAST_ROWS) & (z > LEAST_Z))
+    others = np.setdiff1d(np.argsort(-seen, kind="stable")[:PAIRED], known)
+    others = others[(seen[others] >= LEAST_PAIRS) & (seen[others] < len(rows))]
+    leading = np.concatenate([others, known[np.argsort(-seen[known], kind="stable")[:PAIRED]]])
+
+    def marks(names: np.ndarray) -> np.ndarray:
+        place = np.full(terms, -1, np.int64)
+        place[names] = np.arange(len(names))
+        x = np.zeros((len(rows), len(names)), np.float32)
+        at = place[flat] >= 0
+        x[owner[at], place[flat[at]]] = 1
+        return x
+
+    x, beside = marks(others), marks(leading)
+    n = beside.sum(0)[:, None]
+    mean = (beside.T @ y[:, None].astype(np.float32)) / np.maximum(n, 1)
+    both, labels = beside.T @ x, (beside * y[:, None].astype(np.float32)).T @ x
+    spread = np.clip(mean * (1 - mean), 0.05, None)
+    pair = np.abs(labels - both * mean) / np.sqrt(np.maximum(both * spread * (1 - both / (n + 1)), 1e-9))
+    tells = ((both >= LEAST_PAIRS) & (n - both >= LEAST_PAIRS) & (pair > PAIR_Z)).any(0)
+    return np.union1d(known, others[tells])
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, terms: int = TERMS, seed: int = 7) -> FactorizationMachine:
@@ -134,7 +161,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, text: str = "te
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32)))
     names = [c for c in docs.columns if c.lower() != score.lower()]
-    at = docs.columns.index(text)
+    at = position(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, fm = TermHasher(), FactorizationMachine(*shared.value)
