@@ -1,12 +1,14 @@
 """Benchmark decontamination by SimHash windows.
 
-Wherever a document shares a word n-gram with a benchmark item, the window of
-the item's size that starts there is looked at; no other window is better, and
-windows that share none have similarity 0.  Each window and item gets a 64-bit SimHash, whose bits are cut
-into RADIUS + 1 blocks: fingerprints that differ in RADIUS bits at most have
-a block in common, so an index on blocks finds all of them.  Candidates are
-verified by their exact weighted n-gram similarity, where an n-gram weighs as
-often as it occurs.
+Windows of the benchmark items' sizes are taken from the documents: those that
+start at a word n-gram of an item of that size, or end the document, and hold
+enough such n-grams to reach the similarity; any other window can be moved
+right to one of these without losing a shared n-gram.  Each window and item
+gets a 64-bit SimHash, whose bits are cut into RADIUS + 1 blocks:
+fingerprints that differ in RADIUS bits at most have a block in common, so
+the index of all items' blocks names every item within the radius of a
+window.  These candidates are verified by their exact weighted n-gram
+similarity, where an n-gram weighs as often as it occurs.
 
 Only DataFrame functions run.
 """
@@ -91,11 +93,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         return docs.sparkSession.createDataFrame([], "rid long, item long, similarity double")
     cut = F.when(F.col("s") > F.col("n") - F.col("len"), F.col("s"))  # an alignment whose window the document's end cuts off
     found = found.groupBy("rid", "n", "item", "len", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"), F.collect_set(cut).alias("cut"))
-    wanted = found.select("rid", "item", "len", "m", F.explode(starts(similar)).alias("s")).groupBy("rid").agg(F.collect_list(F.struct("item", "len", "s", "m")).alias("wanted"))
-    windows = split.join(wanted.hint("merge"), "rid").select("rid", F.explode(F.transform("wanted", lambda x: F.struct(x["item"].alias("item"), x["m"].alias("m"), F.slice("w", x["s"] + 1, x["len"]).alias("w")))).alias("x"))
-    # The same window text in many documents is judged once.
-    windows = windows.select("rid", "x.item", "x.m", "x.w", F.xxhash64("x.w").alias("wid"))
-    windows = stage(windows)
+    wanted = found.select("rid", "item", "len", "m", F.explode(starts(similar)).alias("s")).groupBy("rid").agg(F.collect_set(F.struct("len", "s", "m")).alias("wanted"))
+    windows = split.join(wanted.hint("merge"), "rid").select("rid", F.explode(F.transform("wanted", lambda x: F.struct(x["len"].alias("len"), x["m"].alias("m"), F.slice("w", x["s"] + 1, x["len"]).alias("w")))).alias("x"))
+    # The same window text in many documents is judged once, for whichever items are near it.
+    windows = stage(windows.select("rid", "x.len", "x.m", "x.w", F.xxhash64("x.w").alias("wid")))
 
     def prints(df: DataFrame) -> DataFrame:
         grams = None
@@ -103,22 +104,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
             grams = F.when(F.col("m") == m, grams_of(F.col("w"), m)) if grams is None else grams.when(F.col("m") == m, grams_of(F.col("w"), m))
         return df.withColumn("grams", grams).withColumn("bag", bag_of(F.col("grams"))).withColumn("print", simhash(F.col("bag")))
 
-    different = prints(windows.groupBy("item", "m", "wid", "w").agg(F.count(F.lit(1)).alias("times")).drop("times"))
-    known = prints(items.select("item", "m", "w"))
-    left = stage(different.select("item", "m", "wid", "bag", "print"))
-    right = stage(known.select("item", "m", F.col("bag").alias("item_bag"), F.col("print").alias("item_print")))
-    lookup = right.select("item", "m", "item_print", F.explode(blocks_of(F.col("item_print"))).alias("b")).select("item", "m", "item_print", "b.block", "b.bits")
-    asked = left.select("item", "m", "wid", "print", F.explode(blocks_of(F.col("print"))).alias("b")).select("item", "m", "wid", "print", "b.block", "b.bits")
-    near = asked.join(side(lookup), ["item", "m", "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("item", "m", "wid").distinct()
+    different = prints(windows.groupBy("len", "m", "wid", "w").agg(F.count(F.lit(1)).alias("times")).drop("times"))
+    known = prints(items.select("item", "len", "m", "w"))
+    left = stage(different.select("len", "m", "wid", "bag", "print"))
+    right = stage(known.select("item", "len", "m", F.col("bag").alias("item_bag"), F.col("print").alias("item_print")))
+    size = ["len", "m"]
+    lookup = right.select("item", *size, "item_print", F.explode(blocks_of(F.col("item_print"))).alias("b")).select("item", *size, "item_print", "b.block", "b.bits")
+    asked = left.select(*size, "wid", "print", F.explode(blocks_of(F.col("print"))).alias("b")).select(*size, "wid", "print", "b.block", "b.bits")
+    near = asked.join(side(lookup), [*size, "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("item", *size, "wid").distinct()
     shared = F.size(F.array_intersect("bag", "item_bag"))
     judged = (
-        near.join(left.select("item", "m", "wid", "bag"), ["item", "m", "wid"])
-        .join(side(right.select("item", "m", "item_bag")), ["item", "m"])
-        .select("item", "m", "wid", (shared / (F.size("bag") + F.size("item_bag") - shared)).alias("similarity"))
+        near.join(left.select(*size, "wid", "bag"), [*size, "wid"])
+        .join(side(right.select("item", "item_bag")), "item")
+        .select("item", *size, "wid", (shared / (F.size("bag") + F.size("item_bag") - shared)).alias("similarity"))
         .filter(F.col("similarity") >= similar)
     )
-    judged = judged.groupBy("item", "wid").agg(F.max("similarity").alias("similarity"))
-    return windows.select("rid", "item", "wid").join(judged.hint("merge"), ["item", "wid"]).groupBy("rid", "item").agg(F.max("similarity").alias("similarity"))
+    judged = judged.groupBy("item", *size, "wid").agg(F.max("similarity").alias("similarity"))
+    return windows.select("rid", *size, "wid").join(judged.hint("merge"), [*size, "wid"]).groupBy("rid", "item").agg(F.max("similarity").alias("similarity"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
