@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Neighbours are tied to minima in rounds until nothing moves: about the
     logarithm of the longest chain.  Each round is written, so none is
-    computed twice, and no vertex's links meet in one task.
+    computed twice.  A vertex's links are reduced to their minimum in each
+    task before they move; where many still join it, skewed parts are split.
     """
     edges = stage(links.filter("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
     told = None

@@ -1,11 +1,12 @@
 """Exact deduplication by deterministic block naming.
 
 Texts that share their 64-bit fingerprint and length with another row are
-cut into blocks of a fixed size.  Distinct blocks are sorted and numbered;
-then neighbouring pairs of numbers are sorted and numbered, level by level,
+cut into blocks of a fixed size.  Distinct blocks are sorted and numbered,
+part by part; then neighbouring pairs of numbers are sorted and numbered, level by level,
 until every document has one number.  Two texts have one number at one level
 exactly when they are equal: no hash decides that.  A text whose fingerprint
-nobody shares equals no other, so it is its own identity and is not cut.
+nobody shares equals no other, so it is its own identity and is not cut: the
+fingerprint only tells apart what is certainly different.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ BLOCK = 4096
 
 
 def _numbered(keys: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Distinct rows of ``keys`` with integer names in their sorted order, written once.
+    """Distinct rows of ``keys`` with integer names, written once.
 
-    Equal keys meet after each task has dropped its own repeats.
+    Equal keys meet after each task has dropped its own repeats.  Each part
+    of the keys is sorted and numbered from an offset of its own, so no key
+    is sent to the driver to find the parts.
     """
-    distinct = keys.select(*by).distinct()
-    ordered = distinct.repartitionByRange(spread(keys), *by).sortWithinPartitions(*by)
+    ordered = keys.select(*by).distinct().repartition(spread(keys), *by).sortWithinPartitions(*by)
     return stage(ordered.withColumn(name, F.monotonically_increasing_id()))
 
 
