@@ -1,17 +1,22 @@
 """Exact Jaccard self-join of documents on word n-grams, by vertical partitioning.
 
-All n-grams have one global order: by hash, with those that very many
-documents hold moved to its end.  Two sets as similar as asked for share an
-n-gram among the first few of that order (the prefix), so only documents
-that meet there are compared.  A pair first has to pass an exact bound from
-parity bitmaps.  Then the global order is cut into fragments, the overlap of
-the pair is counted in each fragment separately, and the counts are summed
-per pair.
-
-Equal sets are one class and compared once.  In a group of documents too
-large to list all its pairs, leaders are compared with the rest first; then
-only pairs that could still join two components are looked at, block by block
-against the bitmap bound.  No link between components is lost.
+All n-grams have one global order, by their hash, which is cut into fragments
+of bounded size.  Every document's n-grams of one fragment meet those of all
+others in one group, and each fragment is joined on its own:
+
+* An n-gram that few sets hold adds one to the partial overlap of their
+  pairs.  The fragment tells the list of its sets; equal lists are counted,
+  spread out into pairs, and the partial overlaps are summed per pair.
+* An n-gram that many sets hold is common.  Its pairs are never listed;
+  fragments tell each set its common n-grams instead.
+
+Two sets that share no rare n-gram are similar or not by their common n-grams
+and sizes alone.  So sets with the same common n-grams are tied to the
+smallest of them, a few leaders are tried against all that share a min-hash
+with them, and only where components still meet at a common n-gram are sets
+compared block by block, of which nothing but links between components comes
+out.  Every list of links is linear in the documents, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -23,22 +28,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm.anchors import LOT, batch, gram_hashes, lots, mixed, rows_of, steady, word_codes
+from quillspark.llm.anchors import batch, binaries, gram_hashes, lots, mixed, planes, rows_of, steady, unplaned, word_codes
 from quillspark.llm.common import keyed, spread, stage
 from quillspark.llm.components import components
 
 #: Words of an n-gram and the similarity, in hundredths.
 WORDS, SIMILAR = 5, 75
-#: A group of this many documents at the most is compared pair by pair.
-GROUP = 40
-#: Frequent n-grams that are moved to the end of the order, at the most: 8 bytes each are broadcast.
+#: An n-gram in more sets than this is common.
+GROUP = 24
+#: Documents looked at to find n-grams that one in a few hundred documents holds, and in how many of them such a one is.
+SAMPLE, OFTEN = 4096, 8
+#: Such n-grams that are told to all tasks (8 bytes each), at the most; any that is not told only makes its fragment larger.
 FREQUENT = 1_000_000
-#: One n-gram in so many is counted to find frequent passages; n-grams near a frequent one are then counted all.
-SAMPLE, NEAR = 8, 16
-#: n-grams whose groups are paired at a time in a task.
-BLOCK = 20_000
-#: Least bits of a parity bitmap; leaders of a large group; its members compared in one task; fragments of the order.
-CELLS, LEADERS, SQUARE, FRAGMENTS = 1024, 8, 1024, 4
+#: n-grams of a fragment; n-grams packed at a time in a task; parts of the order that are joined one after the other.
+FRAGMENT, PACK, WAVES = 1 << 20, 1 << 20, 2
+#: Pairs spread out at a time.
+PAIRS = 1 << 20
+#: Min-hashes under which leaders are tried, leaders of a group, and members of a group that one task goes through.
+KEYS, LEADERS, BLOCK = 3, 8, 4096
+#: Members of a block when sets are compared block by block, and n-grams at a time.
+SQUARE, COLUMNS = 512, 4096
 
 
 class Shingler:
@@ -47,324 +56,349 @@ class Shingler:
     def __init__(self, words: int = WORDS):
         self.words = words
 
-    def sequences(self, bodies: list[bytes]) -> list[np.ndarray]:
-        """Hashes in text order, with repeats, of each text."""
+    def sets(self, bodies: list[bytes]) -> list[np.ndarray]:
+        """The distinct hashes of each text in order."""
         k = self.words
         codes = word_codes([b.lower() for b in bodies])
         hashed = gram_hashes(np.concatenate(codes), k) if codes else None
         out, at = [], 0
         for c in codes:
             n = len(c)
-            out.append(hashed[at : at + n - k + 1] if n >= k else mixed(gram_hashes(c, n) + np.uint64(n)) if n else c)
+            out.append(np.unique(hashed[at : at + n - k + 1] if n >= k else mixed(gram_hashes(c, n) + np.uint64(n)) if n else c))
             at += n
         return out
 
-    def sets(self, bodies: list[bytes]) -> list[np.ndarray]:
-        return [np.unique(s) for s in self.sequences(bodies)]
-
-
-def probe_length(n: int, similar: int = SIMILAR) -> int:
-    """How many first n-grams surely hold one that is shared with any similar set of no more n-grams."""
-    return n - -(-n * similar // 100) + 1
-
-
-def index_length(n: int, similar: int = SIMILAR) -> int:
-    """The same for similar sets of no fewer n-grams: they share at least 2s / (100 + s) of n."""
-    return n - -(-2 * n * similar // (100 + similar)) + 1
-
 
-def slack(n: int) -> int:
-    return 2 + n // 32
+def is_similar(shared, m, n, similar: int):
+    """Whether sets of m and n n-grams that share so many are similar; for numbers, arrays and columns."""
+    return shared * (100 + similar) >= (m + n) * similar
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """Parity of the n-grams in each cell of a bitmap of two to four bits an n-gram; two sets differ in at least as many n-grams as bits."""
-    size = max(CELLS, 2 << int(len(s)).bit_length())
-    cells = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
-
+def _holds(ordered: np.ndarray, s: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(s), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)] == s
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the number of n-grams that only one of two sets has."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) < len(y):
-        x, y = y, x
-    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), 0) if len(x) > len(y) else x
-    return int(np.bitwise_count(x ^ y).sum())
 
+def _frequent(docs: DataFrame, words: int, often: int) -> np.ndarray:
+    """n-grams in ``often`` or more of about SAMPLE documents, in order.
 
-def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(rid, sid, n, bits) of each document, and n-grams that are frequent among the sampled ones."""
+    They need no fragment to be known as common, and would make one large.
+    """
+    one_in = max(1, docs.count() // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"rid": pa.int64(), "sid": pa.int64(), "n": pa.int64(), "bits": pa.binary()}
         shingler = Shingler(words)
         for lot in lots(rows_of(batches), lambda r: len(r[1])):
-            rows, sampled = [], []
-            for (rid, _), s in zip(lot, shingler.sets([b for _, b in lot]), strict=True):
-                sampled.append(s[s % np.uint64(SAMPLE) == 0])
-                rows.append((rid, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), len(s), parity_bits(s)))
-            yield batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
-            token, n = np.unique(np.concatenate(sampled), return_counts=True)
-            yield batch({"rid": [None] * len(token), "sid": token.view(np.int64), "n": n, "bits": [None] * len(token)}, types)
-
-    both = stage(docs.mapInArrow(steady(run), "rid long, sid long, n long, bits binary"))
-    return both.filter("rid is not null"), both.filter("rid is null").select(F.col("sid").alias("token"), "n")
+            token, n = np.unique(np.concatenate(shingler.sets([b for _, b in lot])), return_counts=True)
+            yield batch({"token": token.view(np.int64), "n": n}, {"token": pa.int64(), "n": pa.int64()})
 
+    sampled = docs.filter(F.pmod(F.xxhash64("rid"), F.lit(one_in)) == 0).mapInArrow(steady(run), "token long, n long")
+    found = sampled.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= often).orderBy(F.desc("n"), "token").limit(FREQUENT)
+    return np.sort(found.select("token").toArrow()["token"].to_numpy().view(np.uint64))
 
-def _frequent(counts: DataFrame, group: int) -> np.ndarray:
-    """The most frequent n-grams with more than ``group`` occurrences, FREQUENT at the most, in order."""
-    often = counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > group).orderBy(F.desc("n"), "token").limit(FREQUENT)
-    return np.sort(often.select("token").toArrow()["token"].to_numpy().view(np.uint64))
 
+def _named(s: np.ndarray, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes(), seed) - (1 << 63)
 
-def _holds(ordered: np.ndarray, s: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(s), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)] == s
 
+def _sets(docs: DataFrame, frequent, words: int) -> tuple[DataFrame, int]:
+    """(rid, sid, digest, n, frequent) of each document, and the seed with which equal ``sid`` means equal 128-bit digests."""
 
-def _near_frequent(docs: DataFrame, sampled: np.ndarray, words: int) -> DataFrame:
-    """Counts of all n-grams within NEAR places of a frequent sampled one."""
-    shared = docs.sparkSession.sparkContext.broadcast(sampled)
+    def named(seed: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            types = {"rid": pa.int64(), "sid": pa.int64(), "digest": pa.binary(), "n": pa.int64(), "frequent": pa.binary()}
+            shingler = Shingler(words)
+            for lot in lots(rows_of(batches), lambda r: len(r[1])):
+                rows = [(rid, _named(s, seed), xxhash.xxh3_128_digest(s.tobytes()), len(s), s[_holds(frequent.value, s)].tobytes()) for (rid, _), s in zip(lot, shingler.sets([b for _, b in lot]), strict=True)]
+                yield batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for lot in lots(rows_of(batches), lambda r: len(r[1])):
-            found = []
-            for s in shingler.sequences([b for _, b in lot]):
-                at = np.flatnonzero(_holds(shared.value, s))
-                if len(at):
-                    near = np.unique((at[:, None] + np.arange(-NEAR, NEAR + 1)).ravel())
-                    found.append(np.unique(s[near[(near >= 0) & (near < len(s))]]))
-            if found:
-                token, n = np.unique(np.concatenate(found), return_counts=True)
-                yield batch({"token": token.view(np.int64), "n": n}, {"token": pa.int64(), "n": pa.int64()})
+        return run
 
-    return docs.mapInArrow(steady(run), "token long, n long")
+    seed = 0
+    while True:
+        sets = stage(docs.mapInArrow(steady(named(seed)), "rid long, sid long, digest binary, n long, frequent binary"))
+        if sets.groupBy("sid").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo != hi").isEmpty():
+            return sets, seed
+        seed += 1
 
 
-def _meetings(docs: DataFrame, frequent: np.ndarray, words: int, similar: int, group: int) -> DataFrame:
-    """(token, x, y, n, pos): pairs of sets that share a prefix n-gram; for large groups the members x with y null.
+def _fragments(docs: DataFrame, frequent, words: int, seed: int, cuts: int, lo: int, hi: int, group: int) -> DataFrame:
+    """(sets, n, sid, tokens) of the fragments lo to hi - 1 of the order.
 
-    Of a pair, the set that comes first by size and name must hold the n-gram
-    among its fewer index n-grams, the other among its probe ones, and what
-    either holds from there on (``n - pos``) must suffice for the overlap.
+    ``sets`` is the list of sets that hold a rare n-gram of the fragment (``n``
+    is 1); other rows tell a set ``sid`` its ``n`` common n-grams in the fragment.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    edges = np.array([k * (1 << 64) // cuts for k in range(lo, hi)] + ([hi * (1 << 64) // cuts] if hi < cuts else []), np.uint64)
 
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"place": pa.int64(), "token": pa.int64(), "sid": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "often": pa.bool_()}
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"fragment": pa.int32(), "tokens": pa.binary(), "owner": pa.binary(), "sids": pa.binary()}
         shingler = Shingler(words)
+
+        def rows(held: list[np.ndarray], sids: list[int]) -> Iterator[pa.RecordBatch]:
+            tokens, owner, names = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint32), [len(h) for h in held]), np.array(sids, np.int64)
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], owner[order]
+            at = np.append(np.searchsorted(tokens, edges), len(tokens))[: hi - lo + 1]
+            out = []
+            for k, (a, e) in enumerate(zip(at, at[1:], strict=False)):
+                if a < e:
+                    own, place = np.unique(owner[a:e], return_inverse=True)
+                    out.append((lo + k, planes(np.diff(tokens[a:e], prepend=np.uint64(0))), planes(place.astype(np.uint32)), names[own].tobytes()))
+            for k in range(0, len(out), 16):
+                yield batch(dict(zip(types, zip(*out[k : k + 16], strict=True), strict=True)), types)
+
+        held, sids, seen, size = [], [], set(), 0
         for lot in lots(rows_of(batches), lambda r: len(r[1])):
-            parts, seen = [], set()
             for s in shingler.sets([b for _, b in lot]):
-                sid, n = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), len(s)
-                if not n or sid in seen:
-                    continue
-                seen.add(sid)
-                often = _holds(shared.value, s)
-                order = np.concatenate([s[~often], s[often]])[: probe_length(n, similar) + slack(n)]
-                at = np.arange(len(order))
-                parts.append((order, np.full(len(order), sid, np.int64), np.full(len(order), n, np.int32), at.astype(np.int32), at >= n - int(often.sum())))
-            if not parts:
-                continue
-            token, sid, n, pos, often = (np.concatenate(c) for c in zip(*parts, strict=True))
-            # Holders of a frequent n-gram do not have to meet in one task; they are dealt out evenly.
-            place = np.where(often, mixed(token ^ sid.view(np.uint64)), token).view(np.int64)
-            columns = {"place": place, "token": token.view(np.int64), "sid": sid, "n": n, "pos": pos, "often": often}
-            for at in range(0, len(token), LOT):
-                yield batch({k: v[at : at + LOT] for k, v in columns.items()}, types)
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"token": pa.int64(), "x": pa.int64(), "y": pa.int64(), "n": pa.int32(), "pos": pa.int32()}
-        held: list[list[np.ndarray]] = []
-
-        def members(token, sid, n, pos) -> pa.RecordBatch:
-            return batch({"token": token, "x": sid, "y": pa.nulls(len(sid), pa.int64()), "n": n, "pos": pos}, types)
-
-        for b in batches:
-            token, sid, n, pos, often = (b[c].to_numpy(zero_copy_only=False) for c in ("token", "sid", "n", "pos", "often"))
-            if often.any():
-                yield members(token[often], sid[often], n[often], pos[often])
-            held.append([c[~often] for c in (token, sid, n, pos)])
-        if not held or not sum(len(h[0]) for h in held):
-            return
-        token, sid, n, pos = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort([sid, n, token])
-        token, sid, n, pos = token[order], sid[order], n[order].astype(np.int64), pos[order]
-        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
-        token, sid, n, pos = token[fresh], sid[fresh], n[fresh], pos[fresh]
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(start, len(token)))
-        large = np.repeat(size > group, size)
-        if large.any():
-            yield members(token[large], sid[large], n[large], pos[large])
-        none = lambda k, kind: pa.nulls(k, kind)
-        for lo in range(0, len(start), BLOCK):
-            starts, sizes, found = start[lo : lo + BLOCK], size[lo : lo + BLOCK], []
-            for step in range(1, group):
-                wide = (sizes > step) & (sizes <= group)
-                at, count = starts[wide], sizes[wide] - step
-                if not len(at):
-                    break
-                left = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                right = left + step
-                need = -(-similar * (n[left] + n[right]) // (100 + similar))
-                fits = (n[left] * 100 >= n[right] * similar) & (np.minimum(n[left] - pos[left], n[right] - pos[right]) + slack(n[left]) >= need)
-                found.append(np.stack([sid[left[fits]], sid[right[fits]]], 1))
-            if found and sum(map(len, found)):
-                p = np.ascontiguousarray(np.unique(np.concatenate(found), axis=0).T)
-                k = p.shape[1]
-                yield batch({"token": none(k, pa.int64()), "x": p[0], "y": p[1], "n": none(k, pa.int32()), "pos": none(k, pa.int32())}, types)
+                sid = _named(s, seed)
+                if len(s) and sid not in seen:
+                    seen.add(sid)
+                    a = int(np.searchsorted(s, edges[0]))
+                    e = int(np.searchsorted(s, edges[-1])) if hi < cuts else len(s)
+                    part = s[a:e]
+                    part = part[~_holds(frequent.value, part)]
+                    held.append(part)
+                    sids.append(sid)
+                    size += len(part)
+            if size >= PACK:
+                yield from rows(held, sids)
+                held, sids, seen, size = [], [], set(), 0
+        if size:
+            yield from rows(held, sids)
+
+    types = {"sets": pa.binary(), "n": pa.int64(), "sid": pa.int64(), "tokens": pa.binary()}
+
+    def joined(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        tokens = np.concatenate([np.cumsum(unplaned(p[1], np.uint64), dtype=np.uint64) for p in parts])
+        sid = np.concatenate([np.frombuffer(p[3], np.int64)[unplaned(p[2], np.uint32)] for p in parts])
+        order = np.argsort(tokens, kind="stable")
+        tokens, sid = tokens[order], sid[order]
+        same = tokens[1:] == tokens[:-1]
+        met = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        tokens, sid = tokens[met], sid[met]
+        order = np.lexsort([sid, tokens])
+        tokens, sid = tokens[order], sid[order]
+        fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (sid[1:] != sid[:-1])]) if len(tokens) else np.zeros(0, bool)
+        tokens, sid = tokens[fresh], sid[fresh]
+        start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(tokens)))
+        for s in range(2, group + 1):
+            lists = sid[start[size == s][:, None] + np.arange(s)]  # one for each n-gram, however the order is cut
+            for k in range(0, len(lists), 100_000):
+                m = len(lists[k : k + 100_000])
+                yield pa.RecordBatch.from_arrays([binaries(np.full(m, 8 * s), lists[k : k + m]), pa.array(np.ones(m, np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=list(types))
+        common = np.repeat(size > group, size)
+        if common.any():
+            tokens, sid = tokens[common], sid[common]
+            order = np.lexsort([tokens, sid])
+            tokens, sid = tokens[order], sid[order]
+            first = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]]))
+            n = np.diff(np.append(first, len(sid)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.binary()), pa.array(n, pa.int64()), pa.array(sid[first], pa.int64()), binaries(8 * n, tokens)], names=list(types))
 
-    posts = docs.mapInArrow(steady(posted), "place long, token long, sid long, n int, pos int, often boolean")
-    return stage(posts.repartition(spread(docs), "place").drop("place").mapInArrow(steady(met), "token long, x long, y long, n int, pos int"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for row in rows_of(batches):
+            if parts and row[0] != parts[0][0]:
+                yield from joined(parts)
+                parts = []
+            parts.append(row)
+        if parts:
+            yield from joined(parts)
+
+    rows = docs.mapInArrow(steady(packed), "fragment int, tokens binary, owner binary, sids binary")
+    dealt = rows.repartition(spread(docs), "fragment").sortWithinPartitions("fragment")
+    return stage(dealt.mapInArrow(steady(run), "sets binary, n long, sid long, tokens binary"))
+
+
+def summed_lists(lists: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows as one, with the sum of their counts."""
+    key = np.zeros(len(lists), np.uint64)
+    for column in lists.T:
+        key = mixed(key + column.view(np.uint64))
+    order = np.argsort(key)
+    lists, n = lists[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (lists[1:] != lists[:-1]).any(1)]))
+    return lists[first], np.add.reduceat(n, first)
+
+
+def _overlaps(fragments: DataFrame) -> DataFrame:
+    """(x, y, o): in how many rare n-grams the sets x < y agree, summed over all fragments."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"x": pa.int64(), "y": pa.int64(), "o": pa.int64()}
+        for b in batches:
+            lists, n = b["sets"].to_pylist(), b["n"].to_numpy()
+            sizes = np.array([len(x) // 8 for x in lists])
+            got, held = [], 0
+            for s in np.unique(sizes):
+                at = np.flatnonzero(sizes == s)
+                rows, counts = summed_lists(np.frombuffer(b"".join([lists[k] for k in at]), np.int64).reshape(-1, s), n[at])
+                i, j = np.triu_indices(s, 1)
+                step = max(1, PAIRS // len(i))
+                for lo in range(0, len(rows), step):
+                    part = rows[lo : lo + step]
+                    got.append((np.stack([part[:, i].ravel(), part[:, j].ravel()], 1), np.repeat(counts[lo : lo + step], len(i))))
+                    held += len(got[-1][1])
+                    if held >= PAIRS:
+                        pairs, o = summed_lists(*map(np.concatenate, zip(*got, strict=True)))
+                        yield batch({"x": np.ascontiguousarray(pairs[:, 0]), "y": np.ascontiguousarray(pairs[:, 1]), "o": o}, types)
+                        got, held = [], 0
+            if got:
+                pairs, o = summed_lists(*map(np.concatenate, zip(*got, strict=True)))
+                yield batch({"x": np.ascontiguousarray(pairs[:, 0]), "y": np.ascontiguousarray(pairs[:, 1]), "o": o}, types)
+
+    lists = fragments.filter("sets is not null").select("sets", "n")
+    # Lists that begin with the same set mostly spread out into the same pairs; equal ones become neighbours and are spread out once.
+    dealt = lists.repartition(spread(fragments), F.substring("sets", 1, 8)).sortWithinPartitions("sets")
+    return dealt.mapInArrow(steady(run), "x long, y long, o long").groupBy("x", "y").agg(F.sum("o").alias("o"))
+
+
+def _common(fragments: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, common): all common n-grams, in order, of the sets that are wanted; told once by each fragment at the most."""
+    told = fragments.filter("sid is not null").select("sid", "tokens").union(classes.filter("octet_length(frequent) > 0").select("sid", "frequent"))
+    gathered = told.join(wanted.hint("merge"), "sid", "left_semi").groupBy("sid").agg(F.collect_list("tokens").alias("parts"))
 
-class _Verifier:
-    """Decides pairs of sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"sid": pa.int64(), "common": pa.binary()}
+        for lot in lots(rows_of(batches), lambda r: sum(map(len, r[1]))):
+            yield batch({"sid": [r[0] for r in lot], "common": [np.sort(np.frombuffer(b"".join(r[1]), np.uint64)).tobytes() for r in lot]}, types)
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, similar: int):
-        self.docs, self.classes, self.words, self.similar = docs, classes, words, similar
+    return gathered.mapInArrow(steady(run), "sid long, common binary")
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that the bounds on size and difference leave."""
-        similar = self.similar
-        one = lambda side: self.classes.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}")).hint("merge")
-        sized = pairs.join(one("x"), "x").join(one("y"), "y")
-        sized = sized.filter((F.col("nx") * 100 >= F.col("ny") * similar) & (F.col("ny") * 100 >= F.col("nx") * similar))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                # |A or B| - |A and B| <= (|A| + |B|) * (100 - s) / (100 + s)
-                differ = [least_difference(p, q) for p, q in zip(b["bx"].to_pylist(), b["by"].to_pylist(), strict=True)]
-                keep = [d * (100 + similar) <= (m + n) * (100 - similar) for d, m, n in zip(differ, b["nx"].to_pylist(), b["ny"].to_pylist(), strict=True)]
-                yield b.select(["x", "y", "nx", "ny"]).append_column("differ", pa.array(differ, pa.int32())).filter(pa.array(keep, pa.bool_()))
-
-        return sized.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(steady(run), "x long, y long, nx long, ny long, differ int")
-
-    def connect(self, pairs: DataFrame, links: DataFrame | None = None) -> DataFrame:
-        """``links`` and what connects the same sets as all similar ones among ``pairs`` would.
-
-        First the likeliest partner of each set is tried, twice; then all
-        pairs that would still join two components.
-        """
-        open_ = stage(self.likely(pairs))
-        for last in (False, False, True):
-            if links is not None:
-                side = lambda c: components(links).select(F.col("x").alias(c), F.col("label").alias(f"l{c}"))  # noqa: B023, E731
-                labels = stage(side("x"))
-                open_ = open_.join(labels.hint("merge"), "x", "left").join(labels.select(F.col("x").alias("y"), F.col("lx").alias("ly")).hint("merge"), "y", "left")
-                open_ = stage(open_.filter(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y", "nx", "ny", "differ"))
-            if open_.isEmpty():
-                break
-            tried = open_ if last else open_.groupBy("y").agg(F.min_by(F.struct("x", "nx", "ny", "differ"), F.struct(F.col("differ") / (F.col("nx") + F.col("ny")), "x")).alias("b")).select("b.x", "y", "b.nx", "b.ny", "b.differ")
-            tried = stage(tried)
-            found = self.links(tried)
-            links = stage(found if links is None else links.unionByName(found))
-            if not last:
-                open_ = open_.join(tried.select("x", "y").hint("merge"), ["x", "y"], "left_anti")
-        return links if links is not None else pairs.select("x", "y").limit(0)
-
-    def links(self, likely: DataFrame) -> DataFrame:
-        """The pairs that are similar, by overlaps counted in each fragment of the order."""
-        wanted = likely.select(F.col("x").alias("sid")).union(likely.select(F.col("y").alias("sid"))).distinct()
-        rids = self.classes.join(wanted.hint("merge"), "sid").select("sid", "rid")
-        texts = self.docs.join(rids.hint("merge"), "rid").select("sid", "body")
-        words = self.words
+def _tokens(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint64)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            types = {"sid": pa.int64(), "part": pa.int32(), "grams": pa.list_(pa.int64())}
-            shingler = Shingler(words)
-            cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64)) * np.uint64((1 << 64) // FRAGMENTS)
-            for lot in lots(rows_of(batches), lambda r: len(r[1])):
-                rows = []
-                for (sid, _), s in zip(lot, shingler.sets([b for _, b in lot]), strict=True):
-                    rows += [(sid, k, p.view(np.int64)) for k, p in enumerate(np.split(s, np.searchsorted(s, cuts))) if len(p)]
-                yield batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
 
-        fragments = stage(texts.mapInArrow(steady(run), "sid long, part int, grams array<long>"))
-        one = lambda side: fragments.select(F.col("sid").alias(side), "part", F.col("grams").alias(f"g{side}")).hint("merge")
-        partial = likely.join(one("x"), "x").join(one("y"), ["y", "part"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("gx", "gy")).cast("long").alias("shared"))
-        summed = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("shared").alias("o"))
-        return summed.filter(F.col("o") * 100 >= (F.col("nx") + F.col("ny") - F.col("o")) * self.similar).select("x", "y")
+def _led(front: DataFrame, similar: int) -> DataFrame:
+    """(x, y): links to leaders of the groups that share a min-hash of their common n-grams.
 
+    The leaders of a group are those with the fewest n-grams of their own that
+    resemble no leader before them.  Of a large group each part finds its own,
+    which then meet.
+    """
+    keys = F.array(*[F.col(f"k{r}") for r in range(KEYS)])
+    rows = front.filter("best").select(F.explode(keys).alias("k"), "sid", "n", "p", "common")
+    sizes = rows.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    rows = rows.join(sizes.hint("merge"), "k").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
 
-def _squares(now: DataFrame, similar: int) -> DataFrame:
-    """(x, y): pairs of one group that the bounds leave, of different components.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"k": pa.int64(), "x": pa.int64(), "y": pa.int64()}
+        key, leaders, out = None, [], []
+        for k, part, sid, n, p, common in rows_of(batches):
+            if key != (k, part):
+                key, leaders = (k, part), []
+            own = _tokens(common)
+            for lead, m, theirs in leaders:
+                if m * 100 >= n * similar and n * 100 >= m * similar and is_similar(int(_holds(theirs, own).sum()), m, n, similar):
+                    out.append((k, lead, sid))
+                    break
+            else:
+                if len(leaders) < LEADERS:
+                    leaders.append((sid, n, own))
+                    out.append((k, sid, None))
+            if len(out) >= 10_000:
+                yield batch(dict(zip(types, zip(*out, strict=True), strict=True)), types)
+                out = []
+        if out:
+            yield batch(dict(zip(types, zip(*out, strict=True), strict=True)), types)
+
+    def tried(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("k", "part", "sid", "n", "p", "common").repartition(spread(front), "k", "part")
+        return dealt.sortWithinPartitions("k", "part", F.col("n") - F.col("p"), "sid").mapInArrow(steady(run), "k long, x long, y long")
+
+    once = stage(tried(rows))
+    of_parts = once.filter("y is null").select("k", F.col("x").alias("sid")).join(sizes.filter("parts > 1").hint("merge"), "k")
+    again = of_parts.join(front.select("sid", "n", "p", "common").hint("merge"), "sid").withColumn("part", F.lit(0))
+    return once.union(tried(again)).filter("y is not null").select("x", "y")
+
+
+def _squares(front: DataFrame, labels: DataFrame, similar: int) -> DataFrame:
+    """(x, y): links between components that still meet at a common n-gram, found block by block."""
+    now = front.join(labels.hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
-    A group is cut into blocks of about SQUARE members, and each pair of
-    blocks is compared in a task of its own.
-    """
-    sizes = now.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / SQUARE).cast("int").alias("blocks"))
-    rows = now.join(sizes.hint("merge"), "token").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["token", "i", "j", "side", "sid", "n", "pos", "label", "bits"]
-    left = rows.filter("open").select("*", others.alias("j")).withColumn("i", F.col("block")).withColumn("side", F.lit(0)).select(*columns)
-    right = rows.filter("probes").select("*", others.alias("i")).withColumn("j", F.col("block")).withColumn("side", F.lit(1)).select(*columns)
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"token": pa.int64(), "sid": pa.int64(), "n": pa.int64(), "p": pa.int64(), "label": pa.int64()}
+        for lot in lots(rows_of(batches), lambda r: len(r[4])):
+            firsts = [_tokens(common)[: p + (-n * similar // 100) + 1] for _, n, p, _, common in lot]
+            each = [len(f) for f in firsts]
+            sid, n, p, label = (np.repeat([r[k] for r in lot], each) for k in range(4))
+            yield batch({"token": np.concatenate(firsts).view(np.int64), "sid": sid, "n": n, "p": p, "label": label}, types)
+
+    posts = stage(now.select("sid", "n", "p", "label", "common").mapInArrow(steady(posted), "token long, sid long, n long, p long, label long"))
+    # A set whose common n-grams do not suffice even beside the smallest set that it meets is similar to none of them.
+    least = posts.groupBy("token").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").drop("lo", "hi")
+    open_ = posts.join(least.hint("merge"), "token").filter(is_similar(F.col("p"), F.col("n"), F.col("least"), similar)).drop("least")
+    groups = open_.groupBy("token").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("who"), F.min_by("label", F.struct(F.col("n") - F.col("p"), "sid")).alias("main")
+    )
+    # n-grams with the very same members are looked at once.
+    groups = groups.filter("lo != hi").groupBy("m", "who").agg(F.min_by(F.struct("token", "main"), "token").alias("g")).select("g.token", "g.main", F.ceil(F.col("m") / SQUARE).cast("int").alias("blocks"))
+    members = stage(open_.join(groups.hint("merge"), "token").withColumn("minor", F.col("label") != F.col("main")))
+    minor = members.filter("minor").groupBy("token").agg(F.ceil(F.count(F.lit(1)) / SQUARE).cast("int").alias("minors"))
+    members = members.join(minor.hint("merge"), "token")
+    block = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["token", "i", "j", "side", "sid", "n", "label"]
+    left = members.filter("minor").select("*", all_of("blocks").alias("j")).withColumn("i", block("minors")).withColumn("side", F.lit(0)).select(*columns)
+    right = members.select("*", all_of("minors").alias("i")).withColumn("j", block("blocks")).withColumn("side", F.lit(1)).select(*columns)
+    both = left.union(right).join(front.select("sid", "common").hint("merge"), "sid")
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        words = []
-        for b in table["bits"].to_pylist():
-            w = np.frombuffer(b, np.uint64)
-            words.append(np.bitwise_xor.reduce(w.reshape(-1, CELLS // 64), 0))
-        words = np.stack(words)
-        sid, n, pos, label = (table[c].to_numpy() for c in ("sid", "n", "pos", "label"))
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
-        r = np.flatnonzero(side == 1)
+        side, sid, n, label = (table[c].to_numpy() for c in ("side", "sid", "n", "label"))
+        sets = [_tokens(c) for c in table["common"].to_pylist()]
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        shared = np.zeros((len(a), len(b)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            s, e = np.searchsorted(column, [lo, lo + COLUMNS])
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[row[s:e], column[s:e] - lo] = 1
+            shared += part[a] @ part[b].T
+        root: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while root.get(v, v) != v:
+                root[v] = root.get(root[v], root[v])
+                v = root[v]
+            return v
+
         found = []
-        for k in np.flatnonzero(side == 0):
-            ok = (label[r] != label[k]) & ((n[r] > n[k]) | ((n[r] == n[k]) & (sid[r] > sid[k]))) & (n[k] * 100 >= n[r] * similar)
-            ok &= np.minimum(n[k] - pos[k], n[r] - pos[r]) * (100 + similar) >= similar * (n[k] + n[r])
-            at = r[ok]
-            differ = np.bitwise_count(words[at] ^ words[k]).sum(1, dtype=np.int64)
-            at = at[differ * (100 + similar) <= (n[at] + n[k]) * (100 - similar)]
-            found.append(np.stack([np.full(len(at), sid[k]), sid[at]], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"x": np.ascontiguousarray(pairs[:, 0]), "y": np.ascontiguousarray(pairs[:, 1])})
-
-    return left.unionByName(right).groupBy("token", "i", "j").applyInArrow(compare, "x long, y long").distinct()
-
-
-def _large_groups(members: DataFrame, links: DataFrame, verify: _Verifier) -> DataFrame:
-    """All links needed to connect what is similar within large groups: (token, sid, n, pos, first, probes).
-
-    A few leaders, those with the fewest n-grams of their own, are compared
-    with their whole groups first, which connects most near copies at about
-    one pair each.  Then the members of different components are compared,
-    block by block.
-    """
-    need = lambda a, b: F.ceil((a + b) * verify.similar / (100 + verify.similar))
-    # What a member holds from the n-gram on must suffice for the smallest set that may come first.
-    least = members.filter("first").groupBy("token").agg(F.min("n").alias("least"))
-    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * verify.similar / 100))
-    members = members.join(least.hint("merge"), "token").filter(F.col("n") - F.col("pos") >= need(F.col("n"), F.least(partner, F.col("n"))))
-    members = stage(members.select("token", "sid", "n", "pos", F.col("first").alias("open"), "probes"))
-    if members.isEmpty():
-        return links
-
-    def labelled(links: DataFrame) -> DataFrame:
-        labels = components(links).withColumnRenamed("x", "sid")
-        now = stage(members.join(labels.hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
-        mixed_ = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("open").alias("some")).filter("lo != hi and some")
-        return now.join(mixed_.select("token").hint("merge"), "token")
-
-    now = labelled(links)
-    turn = F.pmod(F.xxhash64("sid"), F.lit(LEADERS))
-    leaders = now.filter("open").groupBy("token", turn.alias("turn")).agg(F.min(F.struct("pos", "sid", "n", "label")).alias("x"))
-    # The best leaders of all groups stand for the rest: few different sets, each compared once with a member.
-    leaders = stage(leaders.groupBy("token").agg(F.min("x").alias("x")).select("token", F.col("x.sid").alias("x"), F.col("x.n").alias("nx"), F.col("x.pos").alias("px"), F.col("x.label").alias("lx")))
-    later = F.struct("nx", "x") < F.struct("n", "sid")
-    fits = (F.col("nx") * 100 >= F.col("n") * verify.similar) & (F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("pos")) >= need(F.col("nx"), F.col("n")))
-    pairs = now.filter("probes").join(leaders.hint("merge"), "token").filter((F.col("lx") != F.col("label")) & later & fits).select("x", F.col("sid").alias("y")).distinct()
-    links = verify.connect(pairs, links)
-    now = labelled(links).join(verify.classes.select("sid", "bits").hint("merge"), "sid")
-    return verify.connect(_squares(now, verify.similar), links)
-
-
-def near_duplicate_groups(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+        fits = is_similar(shared, n[a][:, None], n[b][None, :], similar) & (label[a][:, None] != label[b][None, :])
+        for k in np.flatnonzero(fits.any(1)):
+            at = b[fits[k]]
+            for m in at[np.unique(label[at], return_index=True)[1]]:
+                u, v = top(int(label[a[k]])), top(int(label[m]))
+                if u != v:
+                    root[u] = v
+                    found.append((sid[a[k]], sid[m]))
+        return pa.table({"x": pa.array([x for x, _ in found], pa.int64()), "y": pa.array([y for _, y in found], pa.int64())})
+
+    return both.groupBy("token", "i", "j").applyInArrow(compare, "x long, y long")
+
+
+def _completed(pairs: DataFrame, common: DataFrame, similar: int) -> DataFrame:
+    """(x, y): the pairs (x, y, o, nx, ny) that are similar once the overlap of their common n-grams is added."""
+    one = lambda side: common.select(F.col("sid").alias(side), F.col("common").alias(f"c{side}")).hint("merge")
+    both = pairs.join(one("x"), "x").join(one("y"), "y").select("x", "y", "o", "nx", "ny", "cx", "cy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shared = np.array([int(_holds(_tokens(p), _tokens(q)).sum()) for p, q in zip(b["cx"].to_pylist(), b["cy"].to_pylist(), strict=True)], np.int64)
+            o, m, n = (b[c].to_numpy() for c in ("o", "nx", "ny"))
+            yield b.select(["x", "y"]).filter(pa.array(is_similar(o + shared, m, n, similar)))
+
+    return both.mapInArrow(steady(run), "x long, y long")
+
+
+def near_duplicate_groups(
+    docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, doc_id: str = "doc_id", text: str = "text", group: int = GROUP, often: int = OFTEN, cuts: int | None = None
+) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id.
 
     Documents are linked when 100 * intersection >= similar * union of their
@@ -373,35 +407,57 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, similar: int = SI
     n-gram; without words or text the set is empty and linked with nothing,
     not even with another empty one.  Rows with equal texts are linked.  Null
     ids take part and count as largest.  An empty table gives no rows.
-    Columns other than the two are not read.
+    Columns other than the two are not read.  ``cuts`` is the number of
+    fragments; without it they hold about FRAGMENT n-grams each.
     """
     rows = keyed(docs, doc_id, text)
     bodies = rows.select("rid", F.col("text").cast("binary").alias("body"))
-    sets, sampled = _sets(bodies, words)
-    frequent = _frequent(sampled, group)
-    if len(frequent):
-        frequent = np.union1d(frequent, _frequent(_near_frequent(bodies, frequent, words), group))
-    met = _meetings(bodies, frequent, words, similar, group)
-
-    first = sets.filter("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"))
-    classes = stage(first.join(sets.select("rid", "n", "bits").hint("merge"), "rid"))
-    verify = _Verifier(bodies, classes, words, similar)
-    links = verify.connect(met.filter("token is null").select("x", "y").distinct())
-
-    members = met.filter("token is not null").select("token", F.col("x").alias("sid"), "n", "pos").distinct()
-    # A set that holds no more n-grams of large groups than its prefix has to spare meets all its like in small ones.
-    spare = lambda n: F.lit(2) + F.floor(n / 32)  # noqa: E731  (slack() as a column)
-    indexed = F.col("n") - F.ceil(F.col("n") * (2 * similar) / (100 + similar)) + 1  # index_length() as a column
-    probed = F.col("n") - F.ceil(F.col("n") * similar / 100) + 1
-    held = members.groupBy("sid").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("pos") < indexed + spare(F.col("n"))).alias("k_first"), F.max("n").alias("m"))
-    heavy = held.select("sid", (F.col("k_first") > spare(F.col("m"))).alias("leads"), (F.col("k") > spare(F.floor(F.col("m") * similar / 100))).alias("probes")).filter("leads or probes")
-    members = members.filter(F.col("pos") < probed).join(heavy.hint("merge"), "sid").select("token", "sid", "n", "pos", ((F.col("pos") < indexed) & F.col("leads")).alias("first"), "probes")
-    links = _large_groups(members, links, verify)
-
-    labels = components(links)
-    grouped = classes.select("sid", F.col("rid").alias("own")).join(labels.withColumnRenamed("x", "sid").hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    ids = rows.select("rid", "doc_id").join(sets.select("rid", "sid", "n").hint("merge"), "rid")
-    ids = stage(ids.join(grouped.hint("merge"), "sid", "left").select("rid", "doc_id", "n", "label"))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(bodies, words, often))
+    sets, seed = _sets(bodies, frequent, words)
+    classes = stage(sets.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("frequent").alias("frequent")))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cuts = cuts or max(spread(docs), total // FRAGMENT + 1)
+    fragments = None
+    for w in range(min(WAVES, cuts)):
+        made = _fragments(bodies, frequent, words, seed, cuts, w * cuts // min(WAVES, cuts), (w + 1) * cuts // min(WAVES, cuts), group)
+        fragments = made if fragments is None else fragments.union(made)
+
+    held = fragments.filter("sid is not null").groupBy("sid").agg(F.sum("n").alias("p"))
+    sized = stage(classes.join(held.hint("merge"), "sid", "left").select("sid", "n", (F.coalesce("p", F.lit(0)) + F.octet_length("frequent") / 8).cast("long").alias("p")))
+
+    # Sets with equal common n-grams are tied to the smallest of them, if that is similar whatever else they hold.
+    many = sized.filter(F.col("p") * 100 >= F.col("n") * similar)
+
+    def keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"sid": pa.int64(), "common": pa.binary(), "same": pa.binary()} | {f"k{r}": pa.int64() for r in range(KEYS)}
+        for lot in lots(rows_of(batches), lambda r: len(r[1])):
+            out = [(sid, common, xxhash.xxh3_128_digest(common), *(int(np.min(mixed(_tokens(common) + np.uint64(r + 1))).view(np.int64)) for r in range(KEYS))) for sid, common in lot]
+            yield batch(dict(zip(types, zip(*out, strict=True), strict=True)), types)
+
+    hot = _common(fragments, classes, many.select("sid")).mapInArrow(steady(keyed_sets), "sid long, common binary, same binary, " + ", ".join(f"k{r} long" for r in range(KEYS)))
+    hot = stage(hot.join(many.hint("merge"), "sid"))
+    best = hot.groupBy("same").agg(F.min(F.struct("n", "sid")).alias("b")).select("same", F.col("b.n").alias("n0"), F.col("b.sid").alias("sid0"))
+    tied = hot.join(best.hint("merge"), "same").withColumn("best", F.col("sid") == F.col("sid0"))
+    tied = stage(tied.withColumn("link", ~F.col("best") & is_similar(F.col("p"), F.col("n"), F.col("n0"), similar)).drop("same"))
+    front = tied.filter("not link")
+
+    # Pairs that share a rare n-gram: those that the rare ones decide, and those that the common ones could still make similar.
+    one = lambda side: sized.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("p").alias(f"p{side}")).hint("merge")
+    pairs = _overlaps(fragments).join(one("x"), "x").join(one("y"), "y")
+    pairs = pairs.filter(is_similar(F.col("o") + F.least("px", "py"), F.col("nx"), F.col("ny"), similar))
+    pairs = stage(pairs.select("x", "y", "o", "nx", "ny", is_similar(F.col("o"), F.col("nx"), F.col("ny"), similar).alias("sure")))
+
+    links = pairs.filter("sure").select("x", "y").union(tied.filter("link").select(F.col("sid0").alias("x"), F.col("sid").alias("y"))).union(_led(front, similar))
+    labels = stage(components(links))
+    told = lambda side: labels.select(F.col("x").alias(side), F.col("label").alias(f"l{side}")).hint("merge")
+    unsure = pairs.filter("not sure").join(told("x"), "x", "left").join(told("y"), "y", "left").filter(F.coalesce("lx", "x") != F.coalesce("ly", "y"))
+    unsure = stage(unsure.select("x", "y", "o", "nx", "ny"))
+    asked = unsure.select(F.col("x").alias("sid")).union(unsure.select("y")).distinct()
+    more = _completed(unsure, stage(_common(fragments, classes, asked)), similar).union(_squares(front, labels.withColumnRenamed("x", "sid"), similar))
+    labels = components(labels.select("x", F.col("label").alias("y")).union(more))
+
+    grouped = sets.select("rid", "sid", "n").join(labels.withColumnRenamed("x", "sid").hint("merge"), "sid", "left").select("rid", "n", F.when(F.col("n") > 0, F.coalesce("label", "sid")).alias("label"))
+    ids = stage(rows.select("rid", "doc_id").join(grouped.hint("merge"), "rid"))
     least = ids.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return ids.join(least.hint("merge"), "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
