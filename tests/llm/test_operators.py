@@ -247,6 +247,20 @@ def test_token_counts(docs, empty, odd):
     s, e, at = np.array([1]), np.array([4]), np.array([2, 5])
     assert [attribute(s, e, at, rule)[0][0] for rule in ("first", "last", "most")] == [0, 1, 1]
     assert attribute(s, e, at, "first")[1].tolist() == [True]
+    # Every section's count against each token laid over the lines one by one.
+    for r in count_tokens(docs, path, p.PATTERN, "most").collect():
+        text, counts = r.text or "", []
+        lines = text.splitlines(keepends=True)
+        owner = [k for k, line in enumerate(lines) for _ in line]
+        counts = [0] * len(lines)
+        at, raw = 0, text.encode()
+        for token in coder.encode_ordinary(text):
+            n = int(lengths[token])
+            first = len(raw[:at].decode(errors="ignore"))
+            over = Counter(owner[first : max(len(raw[: at + n].decode(errors="replace")), first + 1)])
+            counts[max(over, key=lambda k: (over[k], -k))] += 1
+            at += n
+        assert list(r.section_tokens) == counts
     assert count_tokens(empty, path, p.PATTERN).count() == 0 and count_tokens(odd, path, p.PATTERN).count() == 5
 
 
@@ -301,8 +315,59 @@ def test_factorization_machine_learns_an_interaction():
     assert model.score(np.array([1, 2])) > 0.7 > 0.3 > max(model.score(np.array([1])), model.score(np.array([2])), model.score(np.array([], np.int64)))
 
 
-@pytest.mark.parametrize("group", [40, 2])
-def test_jaccard_components(docs, group):
+def test_factorization_machine_learns_an_interaction_of_terms_that_tell_nothing_alone():
+    from quillspark.llm.toxicity import fit
+
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(np.array(sorted({int(x) for x in rng.integers(10, 500, 12)} | ({1} if a else set()) | ({2} if b else set()))))
+        y.append(float(a == b))
+    model = fit(rows, np.array(y), 512)
+    assert min(model.score(np.array([1, 2])), model.score(np.array([], np.int64))) > 0.9 > 0.1 > max(model.score(np.array([1])), model.score(np.array([2])))
+
+
+def test_scores_against_the_explicit_sum(spark):
+    """The machine's margin is the sum over all pairs, and the scores of a table are those of its texts."""
+    from quillspark.llm.toxicity import FactorizationMachine, TermHasher, score_toxicity
+
+    rng = np.random.default_rng(8)
+    model = FactorizationMachine(0.3, rng.normal(0, 0.3, 64).astype(np.float32), rng.normal(0, 0.3, (64, 4)).astype(np.float32))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 99, int(rng.integers(0, 30)))) for _ in range(20)] + [None]
+    hasher = TermHasher(64)
+    for text in texts:
+        t = hasher.of(text or "")
+        pairs = sum(float(model.factors[a] @ model.factors[b]) for k, a in enumerate(t) for b in t[:k])
+        assert abs(model.margin(t) - (0.3 + float(model.linear[t].sum()) + pairs)) < 1e-4
+    wide = FactorizationMachine(0.3, np.resize(model.linear, 1 << 18), np.resize(model.factors, (1 << 18, 4)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, Text string")
+    for r in score_toxicity(docs, wide).collect():
+        assert abs(r.score - wide.score(TermHasher().of(r.Text or ""))) < 1e-6
+
+
+def test_compiled_rules_against_rules_in_python(spark, docs):
+    """The compiled column gives what adding up the rules that hold gives; columns of clashing names stay."""
+    from quillspark.llm.quality import RuleEnsemble, score_quality, with_statistics
+
+    model = RuleEnsemble(0.2, ((0.7, (("word_chars", True, 5.5),)), (-1.1, (("distinct", False, 0.9), ("upper", False, 0.1))), (0.4, (("log_chars", True, 3.0), ("stops", False, 0.2)))))
+    clash = docs.withColumns({"stat_words": F.lit("a"), "stat_upper": F.lit("b"), "stat_body": F.lit("c"), "score": F.lit("d")})
+    stats, names = with_statistics(docs.withColumn("body", F.coalesce("text", F.lit(""))))
+    want = {}
+    for r in stats.collect():
+        total = 0.2
+        for w, conditions in model.rules:
+            if all((r[names[k]] > at) == above for k, above, at in conditions):
+                total += w
+        want[r.doc_id] = 1 / (1 + np.exp(-total))
+    rows = score_quality(clash, model).collect()
+    assert len(rows) == len(want) and len(set(want.values())) > 2
+    for r in rows:
+        assert abs(r.score - want[r.doc_id]) < 1e-9 and (r.stat_words, r.stat_upper, r.stat_body) == ("a", "b", "c")
+
+
+@pytest.mark.parametrize("options", [{}, {"group": 2, "often": 10**9, "cuts": 3}, {"group": 40, "often": 10**9, "cuts": 17}, {"often": 2, "cuts": 1}])
+def test_jaccard_components(docs, options):
     from quillspark.llm.jaccard_join import near_duplicate_groups
 
     sets = {}
@@ -319,23 +384,61 @@ def test_jaccard_components(docs, group):
             if (label[a], label[b]) != (low, low):
                 label[a] = label[b] = low
                 moved = True
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_groups(docs, group=group).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_groups(docs, **options).collect()}
     assert got == {k: (len(s), label[k]) for k, s in sets.items()}
 
 
 def test_jaccard_edges(empty, odd):
-    from quillspark.llm.jaccard_join import least_difference, near_duplicate_groups, parity_bits
+    from quillspark.llm.jaccard_join import near_duplicate_groups
 
     assert near_duplicate_groups(empty).count() == 0
     assert len(near_duplicate_groups(odd).collect()) == 5
-    rng = np.random.default_rng(2)
-    for _ in range(200):
-        a, b = (np.unique(rng.integers(0, 400, int(rng.integers(1, 300))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in (0, 1))
-        assert least_difference(parity_bits(a), parity_bits(b)) <= len(np.setxor1d(a, b))
 
 
-@pytest.mark.parametrize("group", [2000, 1])
-def test_passages_against_all_windows(docs, group):
+@pytest.mark.parametrize("options", [{"often": 10**9}, {}])
+def test_jaccard_components_of_common_grams(spark, monkeypatch, options):
+    """Large families whose members are similar, nearly similar or linked by chains, with own words and without; large groups in parts."""
+    from quillspark.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "SQUARE", 8)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 2)
+    r = random.Random(9)
+    fresh = iter(range(10**6))
+    own = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    texts = []
+    for family in range(6):
+        base = own(60)
+        for _ in range(40):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(60)] = r.choice(own(1) + [f"c{family}"])
+            cut = r.randint(0, 14) if family % 2 else 0
+            texts.append(w[cut:] + own(r.randint(0, 22) if family > 2 else 0))
+        if family > 3:  # two passages, one after the other
+            other = own(30)
+            texts += [base[:30] + other + own(r.randint(0, 6)) for _ in range(20)]
+    r.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    label = list(range(len(sets)))
+
+    def top(v):
+        while label[v] != v:
+            v = label[v]
+        return v
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                u, v = top(a), top(b)
+                label[max(u, v)] = min(u, v)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {row.doc_id: row.component_id for row in jaccard_join.near_duplicate_groups(docs, group=5, **options).collect()}
+    assert got == {k: top(k) for k in range(len(sets))} and len(set(got.values())) > 20
+
+
+@pytest.mark.parametrize("share", [1 / 512, 0, 0.004, 1])
+def test_passages_against_all_windows(docs, share):
     from quillspark.llm.passage_dedup import drop_repeated_passages
 
     words = {k: (t or "").encode().split() for k, t, *_ in corpus()}
@@ -343,13 +446,32 @@ def test_passages_against_all_windows(docs, group):
     for k, w in sorted(words.items()):
         for p in range(len(w) - 12):
             first.setdefault(tuple(w[p : p + 13]), k)
-    got = {r.doc_id: r for r in drop_repeated_passages(docs, group=group).collect()}
+    got = {r.doc_id: r for r in drop_repeated_passages(docs, share=share).collect()}
     for k, w in words.items():
         gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < k for q in range(p, p + 13)}
         assert (got[k].n_words, got[k].n_removed) == (len(w), len(gone)), k
         assert got[k].kept == b" ".join(x for q, x in enumerate(w) if q not in gone).decode()
 
 
+def test_nodes_of_a_suffix_tree():
+    """Every run of suffixes that share so many words is one node, and no two nodes share them."""
+    from quillspark.llm.passage_dedup import common_prefixes, deep_nodes
+
+    rng = np.random.default_rng(4)
+    for depth in (1, 3, 5):
+        rows = np.array(sorted(map(tuple, rng.integers(0, 3, (200, 5)))), np.uint64)
+        shared = common_prefixes(rows)
+        for k in range(1, 200):
+            want = 0
+            while want < 5 and rows[k, want] == rows[k - 1, want]:
+                want += 1
+            assert shared[k] == want
+        node = deep_nodes(shared, depth)
+        for k in range(200):
+            assert node[k] == next(j for j in range(200) if (rows[j, :depth] == rows[k, :depth]).all())
+    assert not len(deep_nodes(np.zeros(0), 2))
+
+
 def test_passage_edges(empty, odd):
     from quillspark.llm.passage_dedup import drop_repeated_passages
 
