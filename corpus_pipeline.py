@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.bpe import encode_documents
-from quillspark.llm.common import numbered, stage
+from quillspark.llm.common import free_name, numbered, stage
 from quillspark.llm.decontaminate import contamination
 from quillspark.llm.exact_dedup import exact_groups
 from quillspark.llm.jaccard_join import near_duplicate_groups
@@ -29,8 +29,8 @@ def _without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_quality(docs, model, score="quality_score")
-    return scored.filter(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    score = free_name(docs, "quality_score")
+    return score_quality(docs, model, score=score).filter(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
