@@ -13,8 +13,8 @@ sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 HEADLINE = (
-    "dashboard_overview", "activity_daily", "class_summary", "topic_breakdown_fanout", "hardest_items", "weak_topics_all", "leaderboard", "streaks", "badges", "attempt_totals",
-    "content_hash_groups", "near_dup_pairs", "knn_topk", "dup_components", "difficulty_vote", "phrase_search_all", "mcq_distractors_all", "stratified_sample", "live_leaderboard", "rate_limit_sim", "upsert_latest",
+    "dashboard_overview", "activity_daily", "class_summary", "topic_breakdown_fanout", "hardest_items", "weak_topics", "leaderboard", "streaks", "badges", "attempt_totals",
+    "content_hash_groups", "near_dup_pairs", "knn_topk", "dup_components", "difficulty_vote", "phrase_search_all", "mcq_distractors", "stratified_sample", "live_leaderboard", "rate_limit_sim", "upsert_latest",
 )
 
 

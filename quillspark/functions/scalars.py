@@ -194,7 +194,10 @@ def fitted(vector: Column, dims: int) -> Column:
 
 
 # Content types and file extensions of uploaded media.
-CONTENT_TYPES = {"image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg", "audio/mpeg": ".mp3", "audio/wav": ".wav", "video/mp4": ".mp4"}
+CONTENT_TYPES = {
+    "audio/mpeg": ".mp3", "audio/mp3": ".mp3", "audio/wav": ".wav", "audio/x-wav": ".wav", "audio/ogg": ".ogg", "audio/mp4": ".m4a", "audio/x-m4a": ".m4a", "audio/aac": ".aac",
+    "image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp",
+}
 
 
 def extension_of(content_type: Column) -> Column:

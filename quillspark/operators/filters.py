@@ -147,10 +147,10 @@ def truncated_preview(t, spark):
 
 
 @query("prompt_context", """
-SELECT conv_id, string_agg((turn + 1) || '. ' || substring(text, 1, 30), ' → ' ORDER BY turn) AS context FROM conversations WHERE turn < 3 GROUP BY conv_id""")
+SELECT conv_id, string_agg((turn + 1) || '. ' || substring(text, 1, 30), ' → ' ORDER BY turn) AS context FROM conversations GROUP BY conv_id""")
 def prompt_context(t, spark):
     """Numbered, truncated items in order, joined by arrows."""
-    rows = t("conversations").filter("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.substring("text", 1, 30)).alias("s")))).alias("items"))
+    rows = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.substring("text", 1, 30)).alias("s")))).alias("items"))
     return rows.select("conv_id", F.array_join(F.transform("items", lambda x: x["s"]), " → ").alias("context"))
 
 

@@ -102,23 +102,13 @@ def segment_bounds(t, spark):
     return t("conversations").select("conv_id", "turn", F.lead("turn").over(W.partitionBy("conv_id").orderBy("turn")).alias("next_turn"))
 
 
-@query("score_then_time", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderdate ASC NULLS FIRST, o_orderkey) AS place FROM orders WHERE o_custkey < 200")
+@query("score_then_time", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderdate ASC NULLS FIRST, o_orderkey) AS place FROM orders")
 def score_then_time(t, spark):
-    return score_then_time_all(t, spark).filter("o_custkey < 200")
-
-
-@query("score_then_time_all")
-def score_then_time_all(t, spark):
     by = W.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc_nulls_last(), F.col("o_orderdate").asc_nulls_first(), "o_orderkey")
     return t("orders").select("o_custkey", "o_orderkey", F.row_number().over(by).alias("place"))
 
 
-@query("batch_ordinals", "SELECT o_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS question_order FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 1000")
+@query("batch_ordinals", "SELECT o_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS question_order FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def batch_ordinals(t, spark):
-    return batch_ordinals_all(t, spark).filter("o_orderkey < 1000")
-
-
-@query("batch_ordinals_all")
-def batch_ordinals_all(t, spark):
     order = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     return t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", order.alias("question_order"))

@@ -80,16 +80,11 @@ def weighted_mode(t, spark):
 
 
 @query("mcq_distractors", """
-WITH q AS (SELECT l_orderkey AS exam, l_linenumber AS n, min(l_partkey)::VARCHAR AS answer FROM lineitem WHERE l_orderkey < 400 GROUP BY 1, 2),
+WITH q AS (SELECT l_orderkey AS exam, l_linenumber AS n, min(l_partkey)::VARCHAR AS answer FROM lineitem GROUP BY 1, 2),
 p AS (SELECT a.exam, a.n, b.answer, row_number() OVER (PARTITION BY a.exam, a.n ORDER BY md5('5:' || b.answer), b.answer) AS r FROM q a JOIN q b ON a.exam = b.exam AND a.answer != b.answer)
 SELECT exam, n, string_agg(answer, ',' ORDER BY r) AS distractors FROM p WHERE r <= 3 GROUP BY 1, 2""")
 def mcq_distractors(t, spark):
     """Three other answers of the same exam."""
-    return mcq_distractors_all(t, spark).filter("exam < 400")
-
-
-@query("mcq_distractors_all")
-def mcq_distractors_all(t, spark):
     q = t("lineitem").groupBy(F.col("l_orderkey").alias("exam"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").cast("string").alias("answer"))
     p = q.withColumnRenamed("answer", "own").join(q.select("exam", "answer"), "exam").filter("own != answer")
     p = p.withColumn("r", F.row_number().over(W.partitionBy("exam", "n").orderBy(shuffle_key(F.col("answer"), 5), "answer"))).filter("r <= 3")

@@ -146,6 +146,8 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS r
 SELECT id, min(reach) AS label FROM r GROUP BY id""")
 def dup_components(t, spark):
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-ck-"))
@@ -201,10 +203,9 @@ def phrase_search(docs: DataFrame, phrase: str, limit: int = 20, doc_id: str = "
     words = [w for w in re.split(r"[\W_]+", phrase.lower()) if w]
     if not words:
         return docs.select(F.col(doc_id), F.lit(0.0).alias("score")).limit(0)
-    d = docs.select(F.col(doc_id), tokens(F.col(text)).alias("w")).withColumn("len", F.size("w"))
-    n = len(words)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.col("len") - n + 1, F.lit(1))), lambda i: F.slice("w", i, n) == F.array(*map(F.lit, words)))
-    d = d.withColumn("tf", F.size(at))
+    d = docs.select(F.col(doc_id), tokens(F.col(text)).alias("w"))
+    # Each word between blanks of its own, so that occurrences side by side are all counted, overlapping ones too.
+    d = d.select(F.col(doc_id), F.size("w").alias("len"), F.regexp_count(F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" ")), F.lit(f"(?= {'  '.join(words)} )")).alias("tf"))
     stats = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"), F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -35,15 +37,33 @@ def split_questions(df: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("number", F.when(F.col("_plain"), F.lit(1)).otherwise(number)).withColumn("question", F.col("_q")).drop("_plain", "_parts", "_q")
 
 
-_PAIR = r"(?i)(?:^|[\s;,|])(?:câu\s*)?(\d{1,3})\s*[.:)\-]?\s*([A-D])(?=$|[\s;,.|)])"
+# Headings of an answer key, each on a line of its own.
+HEADINGS = ("đáp án", "answer key", "bảng đáp án", "phần đáp án")
+_HEADING = r"(?isu)(?:^|\n)\s*(?:" + "|".join(h.replace(" ", r"\s*") for h in HEADINGS) + r")\s*[:.]?\s*\n(.*)$"
+#: ``1. A``, ``Câu 1: A``, ``1) A``; and the dense ``1A 2B 3C``, three or more on a line.
+_PAIR = r"(?iu)(\d+)\s*[.:\-)\]]\s*([A-D])\b"
+_DENSE = r"(?iu)(\d+)\s*\.?\s*([A-D])(?=\s|$)"
+DENSE_LINE = 3
 
 
-def answer_table(text: Column) -> Column:
-    """number -> letter from an answer key: what follows its heading, else the last 30 % of the text; later entries win."""
-    heading = F.regexp_extract(text, r"(?isu)(?:đáp án|answer key|answers?)\s*:?\s*(.*)$", 1)
+def _entries(area: Column, pattern: str) -> Column:
+    found = lambda group: F.regexp_extract_all(area, F.lit(pattern), F.lit(group))
+    return F.filter(F.zip_with(found(1), found(2), lambda k, v: F.struct(k.try_cast("int").alias("key"), F.upper(v).alias("value"))), lambda e: e["key"].isNotNull())
+
+
+def answer_table(text: Column, total: Column | None = None) -> Column:
+    """number -> letter from an answer key: what follows its heading line, else the last 30 % of the text; later entries win.
+
+    Entries with a mark between number and letter count wherever they are.
+    Lines of dense entries are added if the marked ones are fewer than half of
+    ``total`` questions, or, without it, than the dense ones.
+    """
+    heading = F.regexp_extract(text, _HEADING, 1)
     area = F.when(heading != "", heading).otherwise(F.substring(text, F.floor(F.length(text) * 0.7).cast("int") + 1, F.length(text)))
-    keys, values = F.regexp_extract_all(area, F.lit(_PAIR), F.lit(1)), F.regexp_extract_all(area, F.lit(_PAIR), F.lit(2))
-    entries = F.zip_with(keys, values, lambda k, v: F.struct(k.cast("int").alias("key"), F.upper(v).alias("value")))
+    marked = _entries(area, _PAIR)
+    dense = F.flatten(F.filter(F.transform(F.split(area, "\n"), lambda line: _entries(F.trim(line), _DENSE)), lambda found: F.size(found) >= DENSE_LINE))
+    few = F.size(marked) < F.size(dense) if total is None else F.size(F.array_distinct(F.transform(marked, lambda e: e["key"]))) < total * 0.5
+    entries = F.when(few, F.concat(marked, dense)).otherwise(marked)
     last = F.aggregate(entries, F.create_map().cast("map<int,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
     return last
 
@@ -51,7 +71,7 @@ def answer_table(text: Column) -> Column:
 def inline_answer(text: Column) -> Column:
     """The letter named in the question's own text, plain or bold."""
     named = F.regexp_extract(text, r"(?iu)(?:đáp án|answer|chọn)\s*:?\s*\**([A-D])\b", 1)
-    bold = F.regexp_extract(text, r"\*\*([A-D])[.)]?", 1)
+    bold = F.regexp_extract(text, r"(?i)\*\*?([A-D])[.)]?\*", 1)
     return F.nullif(F.upper(F.coalesce(F.nullif(named, F.lit("")), bold)), F.lit(""))
 
 
@@ -76,35 +96,42 @@ def arbitrate(table: Column, inline: Column, section: Column, total: Column) ->
     return F.when(t_conf >= 0.6, pick("table", t_conf, table)).when(i * 0.85 >= 0.6, pick("inline", i * 0.85, inline)).when(F.size(section) > 0, pick("section", F.lit(0.7), section)).when(cover(merged) * 0.8 >= 0.6, pick("merged", cover(merged) * 0.8, merged)).otherwise(none)
 
 
+_SEGMENT = re.compile(r"(?im)^[ \t]*(?:(?:câu|bài|question)\s*\d+|\d+[.)]\s)")
+_BREAK = re.compile(r"(?P<blank>\n\n)|(?P<line>\n)|(?P<sentence>\. )")
+
+
+def _breaks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places after line and sentence ends, and how good each is to cut at."""
+    found = [(m.end(), ("sentence", "line", "blank").index(m.lastgroup)) for m in _BREAK.finditer(text)]
+    return np.array([p for p, _ in found], np.int64), np.array([k for _, k in found], np.int64)
+
+
 def chunks(text: str, most: int) -> list[str]:
-    """Question segments packed greedily up to ``most`` characters; a longer segment stays whole.
+    """Contiguous pieces of at most ``most`` characters that together are the text, blank ones left out.
 
-    Without any segment the text is cut at ``most``, moved back to the last
-    blank line, line end or sentence end if that lies beyond the middle.
+    Where the text has question segments, pieces end at their starts only, and
+    a segment longer than ``most`` is a piece of its own; what stands before
+    the first goes with it.  Otherwise a piece ends at the best break in its
+    second half (a blank line, then a line end, then a sentence end; the last
+    of equals), or is full.
     """
-    starts = [m.start() for m in re.finditer(r"(?im)^[ \t]*(?:(?:câu|bài|question)\s*\d+|\d+[.)]\s)", text)]
-    if not starts:
-        out, at = [], 0
-        while at < len(text):
-            end = min(at + most, len(text))
-            if end < len(text):
-                for sep in ("\n\n", "\n", ". "):
-                    k = text.rfind(sep, at, end)
-                    if k > at + most // 2:
-                        end = k + len(sep)
-                        break
-            out.append(text[at:end])
-            at = end
-        return [c for c in out if c.strip()]
-    parts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
-    out, now = [], text[: starts[0]]
-    for part in parts:
-        if len(now) + len(part) > most and now.strip():
-            out.append(now)
-            now = part
+    starts = np.array([m.start() for m in _SEGMENT.finditer(text)][1:], np.int64)
+    marked = _SEGMENT.search(text) is not None
+    ends = np.append(starts, len(text)) if marked else None
+    places, kinds = (None, None) if marked else _breaks(text)
+    cuts = [0]
+    while cuts[-1] < len(text):
+        at = cuts[-1]
+        if marked:
+            k = int(np.searchsorted(ends, at + most, side="right"))  # ends within reach
+            cuts.append(int(ends[k - 1]) if k and ends[k - 1] > at else int(ends[k]))
+        elif len(text) - at <= most:
+            cuts.append(len(text))
         else:
-            now += part
-    return [c for c in [*out, now] if c.strip()]
+            lo, hi = np.searchsorted(places, [at + most // 2 + 1, at + most], side="right")
+            best = lo + np.flatnonzero(kinds[lo:hi] == kinds[lo:hi].max())[-1] if hi > lo else None
+            cuts.append(at + most if best is None else int(places[best]))
+    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if text[a:b].strip()]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -350,17 +377,31 @@ def latex_to_text(s: pd.Series) -> pd.Series:
     return s.map(latex_plain)
 
 
-# Words in an error message and the class they point to, in order of precedence.
-ERRORS = (("timeout", "timeout"), ("timed out", "timeout"), ("quota", "quota"), ("rate limit", "quota"), ("429", "quota"), ("api key", "auth"), ("permission", "auth"), ("memory", "memory"), ("connection", "network"), ("json", "format"))
+# Words in an error message and the class they point to, in order of precedence; the marked ones in the case given.
+ERRORS = {
+    "ai_not_configured": ("google_api_key", "api key", "no google", "=chưa được cấu hình"),
+    "ai_rate_limit": ("429", "resource_exhausted", "quota", "rate limit", "too many requests"),
+    "ai_maintenance": ("503", "service_unavailable", "unavailable", "server error", "internal error", "500"),
+    "ai_timeout": ("timeout", "deadline", "timed out", "deadline_exceeded"),
+    "ai_content_blocked": ("safety", "blocked", "harm", "recitation"),
+    "ai_network": ("connection", "network", "dns", "connect", "ssl"),
+}
 
 
 def error_class(message: Column) -> Column:
-    low, out = F.lower(message), F.lit("unknown")
-    for word, kind in reversed(ERRORS):
-        out = F.when(low.contains(word), kind).otherwise(out)
+    """The class of a service's error; null for any other error."""
+    out, low = None, F.lower(message)
+    for kind, words in ERRORS.items():
+        found = functools.reduce(lambda a, b: a | b, [message.contains(w[1:]) if w.startswith("=") else low.contains(w) for w in words])
+        out = F.when(found, kind) if out is None else out.when(found, kind)
     return out
 
 
+_ERROR_SQL = "CASE " + " ".join(
+    f"WHEN {' OR '.join(f"contains(text, '{w[1:]}')" if w.startswith('=') else f"contains(lower(text), '{w}')" for w in words)} THEN '{kind}'" for kind, words in ERRORS.items()
+) + " END"
+
+
 @query("doc_quality", r"""
 SELECT doc_id, length(text) >= 100 AND length(text) - length(replace(text, chr(10), '')) <= length(text) * 0.2 AND len(list_filter(string_split(text, chr(10)), lambda s: length(trim(s)) <= 2)) <= len(string_split(text, chr(10))) * 0.3 AS layout_ok FROM documents""")
 def doc_quality(t, spark):
@@ -398,11 +439,6 @@ def choice_parsing(t, spark):
     return rows.select("id", F.when(found.isNotNull(), F.size(found)).alias("n"), F.when(found.isNotNull(), mark_choice(found, F.col("answer"))).alias("marked"))
 
 
-@query("error_classes", "SELECT * FROM (VALUES ('Request timed out', 'timeout'), ('429 quota', 'quota'), ('bad JSON', 'format'), ('?', 'unknown')) v(message, kind)")
-def error_classes(t, spark):
-    return spark.createDataFrame([("Request timed out",), ("429 quota",), ("bad JSON",), ("?",)], "message string").select("message", error_class(F.col("message")).alias("kind"))
-
-
 @query("json_recovery")
 def json_recovery(t, spark):
     """Questions in each turn, taken as a model's reply; repair needs a scan that knows strings."""
@@ -435,6 +471,7 @@ def mock_detector_all(t, spark):
     return turns.select("conv_id", is_mock(rows).alias("mock"))
 
 
-@query("error_classes_all")
-def error_classes_all(t, spark):
+@query("error_classes", f"SELECT conv_id, turn, {_ERROR_SQL} AS kind FROM conversations")
+def error_classes(t, spark):
+    """Each message as an error report."""
     return t("conversations").select("conv_id", "turn", error_class(F.col("text")).alias("kind"))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quillspark.operators import analytics, dml, filters, grading, ranking, sampling, similarity, text  # noqa: F401  (modules register their queries)
+from quillspark.operators import analytics, bank, dml, filters, grading, ranking, sampling, similarity, text  # noqa: F401  (modules register their queries)
 from quillspark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 from quillspark.streaming import live  # noqa: F401

@@ -79,6 +79,13 @@ def test_grading_edges(spark):
 def test_text(spark):
     assert text.chunks("1. aaaa\n2. bbbb\n3. cccc", 16) == ["1. aaaa\n2. bbbb\n", "3. cccc"]
     assert "".join(text.chunks("a" * 500, 200)) == "a" * 500
+    marked = "intro\n" + "".join(f"Câu {k}: Tính giá trị của biểu thức thứ {k}.\n" for k in range(1, 15)) + "Câu 15: " + "x" * 300
+    assert "".join(text.chunks(marked, 200)) == marked and all(len(c) <= 200 or "x" * 300 in c for c in text.chunks(marked, 200)) and len(text.chunks(marked[:60], 200)) == 1
+    assert text.chunks("aaaa aaaa. bb\n\ncc dd. ee ff gg", 16) == ["aaaa aaaa. bb\n\n", "cc dd. ee ff gg"] and text.chunks("", 5) == [] and text.chunks(" \n ", 2) == []
+    assert one(spark, lambda x: text.answer_table(x), "x\nĐáp án:\n1A 2b  3.C") == {1: "A", 2: "B", 3: "C"} and one(spark, lambda x: text.answer_table(x), "Bảng đáp án\n1. A 2-C\nCâu 3: b 1) D") == {1: "D", 2: "C", 3: "B"}
+    assert one(spark, text.inline_answer, "take *b* here") == "B" and one(spark, text.inline_answer, "or **C** here") == "C"
+    assert [one(spark, text.error_class, m) for m in ("Error 429", "Service UNAVAILABLE", "Deadline", "blocked by safety", "DNS", "Google_API_key", "?")] == ["ai_rate_limit", "ai_maintenance", "ai_timeout", "ai_content_blocked", "ai_network", "ai_not_configured", None]
+    assert [one(spark, S.extension_of, c) for c in ("audio/x-wav", "audio/mp4", "image/png", "image/svg+xml")] == [".wav", ".m4a", ".png", ".bin"]
     assert [len(text.salvage(x)) for x in ('[{"question":"a"}]', "```json\n[1,2]\n```", 'x [{"question":"a","answer":None},]', '[{"question":"a"},{"question":"b', "none")] == [1, 2, 1, 1, 0]
     assert text.salvage('[{"question":"a"},{"question":"b')[0]["type"] == "TL"
     assert text.latex_plain(r"\frac{1}{2} + x^2 \leq \sqrt{y_1}") == "(1)/(2) + x² ≤ √(y₁)"
@@ -171,3 +178,16 @@ def test_live_stream(spark, tmp_path):
 @pytest.mark.parametrize("given,want", [("a, b", "a"), ("", "peer")])
 def test_client_address(spark, given, want):
     assert one(spark, lambda x: S.client_address(x, F.lit("peer"), F.lit(True)), given) == want
+
+
+def test_bank(spark):
+    from quillspark.operators import bank, dml
+
+    assert [one(spark, lambda x, k=k: bank.answer_text(F.lit(k), x), v) for k, v in (("multi", '["a","b"]'), ("matching", '{"x":"1","y":"2"}'), ("text", "plain"))] == ["a, b", "x - 1; y - 2", "plain"]
+    assert [one(spark, lambda x: bank.canonical_code(x, "QZ-"), c) for c in (" ab1", "qz-ab1 ")] == ["QZ-AB1", "QZ-AB1"]
+    ids = spark.range(201).withColumnRenamed("id", "k")
+    with pytest.raises(ValueError):
+        dml.delete_owned(ids, ids, "k", F.lit(True))
+    assert dml.delete_owned(ids, ids.limit(200), "k", F.lit(True)).count() == 1
+    many = spark.createDataFrame([(1, "a a a b"), (2, "b a-a"), (3, None)], "doc_id int, text string")
+    assert [r.doc_id for r in similarity.phrase_search(many, "A a").collect()] == [1, 2]
