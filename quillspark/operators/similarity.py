@@ -212,31 +212,26 @@ def phrase_search(docs: DataFrame, phrase: str, limit: int = 20, doc_id: str = "
     return d.filter("tf > 0").crossJoin(F.broadcast(stats)).select(F.col(doc_id), score.alias("score")).orderBy(F.desc("score"), doc_id).limit(limit)
 
 
-_TOK = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x != '')"
-
-
-@query("phrase_search", f"""
-WITH d AS (SELECT doc_id, {_TOK} AS w FROM documents WHERE lang = 'en' AND length(text) = strlen(text)), f AS (SELECT doc_id, len(w) AS len, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS tf FROM d),
+# The same words in SQL: lower case, letters without accents, runs of letters and digits.
+_FROM, _TO = ("".join(x) for x in zip(*((x, base) for base, marked in S._BASES.items() for x in marked), strict=True))
+_TOK = f"list_filter(regexp_split_to_array(translate(lower(text), '{_FROM}', '{_TO}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '')"
+_PHRASE_SQL = f"""
+WITH d AS (SELECT doc_id, {_TOK} AS w FROM documents), f AS (SELECT doc_id, len(w) AS len, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS tf FROM d),
 s AS (SELECT count(*) AS docs, avg(len) AS mean, count(*) FILTER (tf > 0) AS df FROM f)
-SELECT doc_id, round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)), 6) AS score FROM f, s WHERE tf > 0 ORDER BY score DESC, doc_id LIMIT 20""")
-def phrase_search_query(t, spark):
-    return phrase_search(t("documents").filter("lang = 'en' and length(text) = octet_length(text)"), "of the").withColumn("score", F.round("score", 6))
+SELECT doc_id, round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)), 6) AS score FROM f, s WHERE tf > 0 ORDER BY score DESC, doc_id LIMIT 20"""
+_POSTINGS_SQL = f"SELECT w, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK}) AS w FROM documents) GROUP BY w"
 
 
-@query("phrase_search_all")
-def phrase_search_all(t, spark):
-    """Over all documents, in any language; Unicode words are beyond the SQL."""
+@query("phrase_search_all", _PHRASE_SQL)
+@query("phrase_search", _PHRASE_SQL)
+def phrase_search_query(t, spark):
+    """Over all documents, in any language."""
     return phrase_search(t("documents"), "of the").withColumn("score", F.round("score", 6))
 
 
-@query("postings", f"SELECT w, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK}) AS w FROM documents WHERE lang = 'en' AND length(text) = strlen(text)) GROUP BY w HAVING count(*) > 20")
+@query("postings_all", _POSTINGS_SQL)
+@query("postings", _POSTINGS_SQL)
 def postings(t, spark):
-    d = t("documents").filter("lang = 'en' and length(text) = octet_length(text)").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
-    return d.groupBy("w").agg(F.count(F.lit(1)).alias("df")).filter("df > 20")
-
-
-@query("postings_all")
-def postings_all(t, spark):
     """All words of all documents."""
     d = t("documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w")).distinct()
     return d.groupBy("w").agg(F.count(F.lit(1)).alias("df"))

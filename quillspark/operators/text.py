@@ -462,7 +462,10 @@ def choice_parsing_all(t, spark):
     return t("documents").select("doc_id", F.when(found.isNotNull(), F.size(found)).alias("n"), F.when(found.isNotNull(), mark_choice(found, inline_answer(F.col("text")))).alias("marked"))
 
 
-@query("mock_detector_all")
+@query("mock_detector_all", """
+WITH n AS (SELECT conv_id, role, text, lead(text) OVER w AS answer, row_number() OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST)),
+q AS (SELECT conv_id, (length(coalesce(text, '')) < 20)::INT + (coalesce(answer, '') = '')::INT + (trim(coalesce(answer, '')) = '')::INT AS signs FROM n WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY r) <= 5)
+SELECT conv_id, count(signs) = 0 OR sum(signs) > 2 * count(signs) AS mock FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN q USING (conv_id) GROUP BY conv_id""")
 def mock_detector_all(t, spark):
     """Each conversation as a parse result: a user's turn is a question, the turn after it the answer."""
     turns = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
