@@ -9,6 +9,7 @@ another look.  Symbols are 64-bit numbers: bytes, or hashes of words.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 from collections.abc import Callable, Iterable, Iterator
@@ -21,6 +22,8 @@ from quillspark.llm.common import spread, stage
 
 #: Symbols worked on at a time; running sums over so many stay in a processor's cache.
 LOT = 1 << 17
+#: Rows of a batch that are Python objects at a time.
+ROWS = 256
 #: Bytes of text whose anchors make one fragment, and anchors packed at a time in a task.
 FRAGMENT, PACK = 1 << 24, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -115,6 +118,14 @@ def lots(items: Iterable, size: Callable) -> Iterator[list]:
         yield lot
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker lives on between tasks, and others work beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def steady(run: Callable) -> Callable:
     """A batch function that runs without the garbage collector: its many short lists hold no cycles."""
 
@@ -125,14 +136,16 @@ def steady(run: Callable) -> Callable:
             yield from run(batches)
         finally:
             gc.enable()
+            _give_back()
 
     return wrapped
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The rows of Arrow batches as tuples."""
+    """The rows of Arrow batches as tuples, a few at a time."""
     for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+        for k in range(0, b.num_rows, ROWS):
+            yield from zip(*(c.slice(k, ROWS).to_pylist() for c in b.columns), strict=True)
 
 
 def batch(arrays: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:

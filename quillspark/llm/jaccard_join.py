@@ -41,7 +41,7 @@ SAMPLE, OFTEN = 4096, 8
 #: Such n-grams that are told to all tasks (8 bytes each), at the most; any that is not told only makes its fragment larger.
 FREQUENT = 1_000_000
 #: n-grams of a fragment; n-grams packed at a time in a task; parts of the order that are joined one after the other.
-FRAGMENT, PACK, WAVES = 1 << 20, 1 << 20, 2
+FRAGMENT, PACK, WAVES = 1 << 20, 1 << 19, 2
 #: Pairs spread out at a time.
 PAIRS = 1 << 20
 #: Min-hashes under which leaders are tried, leaders of a group, and members of a group that one task goes through.
@@ -255,17 +255,27 @@ def _overlaps(fragments: DataFrame) -> DataFrame:
     return dealt.mapInArrow(steady(run), "x long, y long, o long").groupBy("x", "y").agg(F.sum("o").alias("o"))
 
 
-def _common(fragments: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, common): all common n-grams, in order, of the sets that are wanted; told once by each fragment at the most."""
+def _gathered(fragments: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, parts): the common n-grams of the sets that are wanted; told once by each fragment at the most."""
     told = fragments.filter("sid is not null").select("sid", "tokens").union(classes.filter("octet_length(frequent) > 0").select("sid", "frequent"))
-    gathered = told.join(wanted.hint("merge"), "sid", "left_semi").groupBy("sid").agg(F.collect_list("tokens").alias("parts"))
+    return told.join(wanted.hint("merge"), "sid", "left_semi").groupBy("sid").agg(F.collect_list("tokens").alias("parts"))
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
+    """Lots of gathered sets, each with its n-grams in order."""
+    for lot in lots(rows_of(batches), lambda r: sum(map(len, r[1]))):
+        yield [(sid, np.sort(np.frombuffer(b"".join(parts), np.uint64)).tobytes()) for sid, parts in lot]
+
+
+def _common(fragments: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, common): all common n-grams, in order, of the sets that are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"sid": pa.int64(), "common": pa.binary()}
-        for lot in lots(rows_of(batches), lambda r: sum(map(len, r[1]))):
-            yield batch({"sid": [r[0] for r in lot], "common": [np.sort(np.frombuffer(b"".join(r[1]), np.uint64)).tobytes() for r in lot]}, types)
+        for lot in _ordered(batches):
+            yield batch(dict(zip(types, zip(*lot, strict=True), strict=True)), types)
 
-    return gathered.mapInArrow(steady(run), "sid long, common binary")
+    return _gathered(fragments, classes, wanted).mapInArrow(steady(run), "sid long, common binary")
 
 
 def _tokens(b: bytes) -> np.ndarray:
@@ -430,11 +440,11 @@ def near_duplicate_groups(
 
     def keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"sid": pa.int64(), "common": pa.binary(), "same": pa.binary()} | {f"k{r}": pa.int64() for r in range(KEYS)}
-        for lot in lots(rows_of(batches), lambda r: len(r[1])):
+        for lot in _ordered(batches):
             out = [(sid, common, xxhash.xxh3_128_digest(common), *(int(np.min(mixed(_tokens(common) + np.uint64(r + 1))).view(np.int64)) for r in range(KEYS))) for sid, common in lot]
             yield batch(dict(zip(types, zip(*out, strict=True), strict=True)), types)
 
-    hot = _common(fragments, classes, many.select("sid")).mapInArrow(steady(keyed_sets), "sid long, common binary, same binary, " + ", ".join(f"k{r} long" for r in range(KEYS)))
+    hot = _gathered(fragments, classes, many.select("sid")).mapInArrow(steady(keyed_sets), "sid long, common binary, same binary, " + ", ".join(f"k{r} long" for r in range(KEYS)))
     hot = stage(hot.join(many.hint("merge"), "sid"))
     best = hot.groupBy("same").agg(F.min(F.struct("n", "sid")).alias("b")).select("same", F.col("b.n").alias("n0"), F.col("b.sid").alias("sid0"))
     tied = hot.join(best.hint("merge"), "same").withColumn("best", F.col("sid") == F.col("sid0"))
