@@ -124,6 +124,36 @@ def drag_drop_batches(t, spark):
     return t("part").select("p_partkey", F.floor((r - 1) / 4).cast("long").alias("batch"))
 
 
+#: Pairs of a drag-and-drop question.
+PAIRS = 4
+
+
+def game_questions(questions: DataFrame, mode: Column) -> DataFrame:
+    """(exam, idx, question, answer) -> (exam, mode, pos, payload) of the session each exam becomes.
+
+    ``mode`` is a column of the exam.  Drag and drop puts four pairs in a
+    question, a practice view hides the answer, other modes show question and
+    answer; questions without an answer appear in the practice view only.
+    """
+    rows = questions.withColumn("mode", mode).filter((F.col("mode") == "practice_view") | F.col("answer").isNotNull())
+    r = F.row_number().over(W.partitionBy("exam").orderBy("idx", "question", "answer")) - 1
+    line = F.when(F.col("mode") == "practice_view", F.col("question")).otherwise(F.concat_ws(" = ", "question", "answer"))
+    rows = rows.select("exam", "mode", r.alias("r"), line.alias("line")).withColumn("pos", F.when(F.col("mode") == "drag_drop", F.floor(F.col("r") / PAIRS)).otherwise(F.col("r")).cast("long"))
+    lines = F.array_sort(F.collect_list(F.struct("r", "line")))
+    return rows.groupBy("exam", "mode", "pos").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "; ").alias("payload"))
+
+
+@query("game_sessions", """
+WITH q AS (SELECT l_orderkey AS exam, l_linenumber AS idx, l_partkey::VARCHAR AS question, l_suppkey::VARCHAR AS answer, ('0x' || substring(md5('11:' || l_orderkey), 1, 7))::BIGINT / 268435456.0 AS u FROM lineitem),
+m AS (SELECT *, CASE WHEN u < 0.4 THEN 'flashcard' WHEN u < 0.7 THEN 'drag_drop' ELSE 'practice_view' END AS mode, row_number() OVER (PARTITION BY exam ORDER BY idx, question, answer) - 1 AS r FROM q)
+SELECT exam, mode, CASE WHEN mode = 'drag_drop' THEN r // 4 ELSE r END AS pos, string_agg(CASE WHEN mode = 'practice_view' THEN question ELSE question || ' = ' || answer END, '; ' ORDER BY r) AS payload FROM m GROUP BY 1, 2, 3""")
+def game_sessions(t, spark):
+    """Each order as an exam whose game mode is drawn from a hash of its id."""
+    questions = t("lineitem").select(F.col("l_orderkey").alias("exam"), F.col("l_linenumber").alias("idx"), F.col("l_partkey").cast("string").alias("question"), F.col("l_suppkey").cast("string").alias("answer"))
+    u = F.conv(F.substring(shuffle_key(F.col("exam"), 11), 1, 7), 16, 10).cast("double") / 268435456.0
+    return game_questions(questions, F.when(u < 0.4, "flashcard").when(u < 0.7, "drag_drop").otherwise("practice_view"))
+
+
 @query("false_answers", "SELECT * FROM (VALUES ('x = 5', 'x = -5'), ('-3 m', '-1 m'), ('2.25', '3.75'), ('đúng', 'Không đúng'), ('Không có', 'có')) v(answer, wrong)")
 def false_answers(t, spark):
     return spark.createDataFrame([(x,) for x in ("x = 5", "-3 m", "2.25", "đúng", "Không có")], "answer string").select("answer", false_answer(F.col("answer")).alias("wrong"))

@@ -203,9 +203,11 @@ def phrase_search(docs: DataFrame, phrase: str, limit: int = 20, doc_id: str = "
     words = [w for w in re.split(r"[\W_]+", phrase.lower()) if w]
     if not words:
         return docs.select(F.col(doc_id), F.lit(0.0).alias("score")).limit(0)
-    d = docs.select(F.col(doc_id), tokens(F.col(text)).alias("w"))
-    # Each word between blanks of its own, so that occurrences side by side are all counted, overlapping ones too.
-    d = d.select(F.col(doc_id), F.size("w").alias("len"), F.regexp_count(F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" ")), F.lit(f"(?= {'  '.join(words)} )")).alias("tf"))
+    # Two blanks between words and one at either end: each word lies between blanks of its own, so that occurrences side by side are all counted, overlapping ones too.
+    said = F.trim(F.regexp_replace(S.fold(F.lower(F.col(text))), "[^\\p{L}\\p{N}]+", "  "))
+    d = docs.select(F.col(doc_id), F.concat(F.lit(" "), said, F.lit(" ")).alias("w"))
+    length = F.when(F.col("w") == "  ", 0).otherwise((F.length("w") - F.length(F.replace("w", F.lit("  "), F.lit("")))) / 2 + 1).cast("int")
+    d = d.select(F.col(doc_id), length.alias("len"), F.regexp_count("w", F.lit(f"(?= {'  '.join(words)} )")).alias("tf"))
     stats = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"), F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))

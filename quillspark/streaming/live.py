@@ -176,6 +176,50 @@ def tokens_used(events: DataFrame, ttl_seconds: int = 300) -> DataFrame:
     return issued.join(used, "token", "left").select("token", F.coalesce((F.unix_timestamp("used") - F.unix_timestamp("issued")).between(0, ttl_seconds), F.lit(False)).alias("accepted"))
 
 
+REFUSED = "token string, seq long, refused boolean"
+
+
+def revoked_tokens(events: DataFrame, ttl_seconds: int) -> DataFrame:
+    """(token, seq, action, at) -> (token hash, seq, refused) of each use; actions are ``revoke`` and ``use``.
+
+    A token is refused from its latest revocation on until its time is over,
+    that moment included.  A stream keeps one number for each revoked token
+    and forgets it once the watermark has passed it.
+    """
+    rows = events.select(F.sha2("token", 256).alias("token"), "seq", "action", "at")
+    if not events.isStreaming:
+        until = F.when(F.col("action") == "revoke", F.col("at") + F.make_dt_interval(secs=F.lit(ttl_seconds)))
+        so_far = W.partitionBy("token").orderBy("at", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+        told = rows.withColumn("until", F.last(until, ignorenulls=True).over(so_far)).filter("action = 'use'")
+        return told.select("token", "seq", F.coalesce(F.col("until") >= F.col("at"), F.lit(False)).alias("refused"))
+
+    def step(key, frames: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until, out = (state.get[0] if state.exists else None), []
+        for x in pd.concat(list(frames)).sort_values(["at", "seq"]).itertuples():
+            if x.action == "revoke":
+                until = x.at.timestamp() + ttl_seconds
+            elif x.action == "use":
+                out.append((key[0], x.seq, until is not None and until >= x.at.timestamp()))
+        if until is not None:
+            state.update((until,))
+            state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["token", "seq", "refused"])
+
+    return rows.withWatermark("at", "1 hour").groupBy("token").applyInPandasWithState(step, REFUSED, "until double", "append", "EventTimeTimeout")
+
+
+@query("token_blacklist", """
+SELECT event_id AS seq, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN ts + INTERVAL 1 DAY END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= ts, false) AS refused
+FROM events QUALIFY event_type != 'purchase'""")
+def token_blacklist(t, spark):
+    """A purchase revokes its user's token for a day."""
+    rows = t("events").select(F.col("user_id").cast("string").alias("token"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "revoke").otherwise("use").alias("action"), F.col("ts").cast("timestamp").alias("at"))
+    return revoked_tokens(rows, 86400).drop("token")
+
+
 def index_steps(batch: DataFrame, steps: dict) -> dict[str, str | None]:
     """Runs every step on the batch; one that fails does not stop the others."""
     out: dict[str, str | None] = {}

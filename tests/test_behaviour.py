@@ -191,3 +191,22 @@ def test_bank(spark):
     assert dml.delete_owned(ids, ids.limit(200), "k", F.lit(True)).count() == 1
     many = spark.createDataFrame([(1, "a a a b"), (2, "b a-a"), (3, None)], "doc_id int, text string")
     assert [r.doc_id for r in similarity.phrase_search(many, "A a").collect()] == [1, 2]
+
+
+def test_revoked_tokens_as_a_stream_and_as_a_batch(spark, tmp_path):
+    at = lambda n: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=n)
+    told = [("a", 1, "use", 0), ("a", 2, "revoke", 10), ("a", 3, "use", 10), ("a", 4, "use", 70), ("a", 5, "use", 71), ("b", 6, "use", 20), ("a", 7, "revoke", 80), ("a", 8, "revoke", 100), ("a", 9, "use", 150)]
+    rows = spark.createDataFrame([(a, b, c, at(d)) for a, b, c, d in told], "token string, seq long, action string, at timestamp")
+    want = {1: False, 3: True, 4: True, 5: False, 6: False, 9: True}
+    assert {r.seq: r.refused for r in live.revoked_tokens(rows, 60).collect()} == want
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = live.revoked_tokens(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), 60)
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    assert {r.seq: r.refused for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+
+
+def test_game_questions_without_answers(spark):
+    rows = spark.createDataFrame([(1, k, f"q{k}", None if k == 2 else f"a{k}") for k in range(7)], "exam long, idx int, question string, answer string")
+    got = lambda mode: [(r.pos, r.payload) for r in sampling.game_questions(rows, F.lit(mode)).orderBy("pos").collect()]
+    assert got("drag_drop") == [(0, "q0 = a0; q1 = a1; q3 = a3; q4 = a4"), (1, "q5 = a5; q6 = a6")]
+    assert got("practice_view")[2] == (2, "q2") and len(got("flashcard")) == 6
