@@ -126,7 +126,8 @@ def growth(new: Column, last: Column) -> Column:
 def to_bool(x: Column) -> Column:
     """Words for true, and numbers other than zero; null stays null."""
     s = F.lower(F.trim(x))
-    return F.when(x.isNull(), F.lit(None)).otherwise(s.isin(*TRUE_WORDS) | (F.coalesce(F.try_to_number(s, F.lit("999999999")).cast("double"), F.lit(0.0)) != 0))
+    number = F.when(s.rlike("^[-+]?\\d+(\\.\\d+)?$"), s).try_cast("double")
+    return F.when(x.isNull(), F.lit(None)).otherwise(s.isin(*TRUE_WORDS) | (F.coalesce(number, F.lit(0.0)) != 0))
 
 
 def not_given_key(x: Column) -> Column:

@@ -177,7 +177,28 @@ def difficulty_mix(n: int, asked: dict[str, int] | None) -> dict[str, int]:
     return {d: c for d, c in mix.items() if c}
 
 
-@query("join_codes")
+def unique_codes(ids: DataFrame, key: str, length: int = 6) -> DataFrame:
+    """(key, code): of those that draw the same code the least keeps it, and the others draw again, with the round as salt, until all are free."""
+    settled, rounds = None, 0
+    while True:
+        if rounds and ids.count() > 36**length:
+            raise ValueError(f"there are more ids than codes of {length} letters and digits")
+        left = ids.select(key) if settled is None else ids.select(key).join(settled, key, "left_anti")
+        drawn = left.withColumn("code", S.join_code(F.concat_ws(":", key, F.lit(rounds)) if rounds else F.col(key), length))
+        free = drawn if settled is None else drawn.join(settled.select("code"), "code", "left_anti")
+        won = free.groupBy("code").agg(F.min(key).alias(key)).select(key, "code")
+        settled = (won if settled is None else settled.unionByName(won)).persist()
+        if ids.select(key).join(settled, key, "left_anti").isEmpty():
+            return settled
+        rounds += 1
+
+
+_DRAW = lambda seed: " || ".join(f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', ('0x' || substring(sha256({seed}), {1 + 4 * k}, 4))::INT % 36 + 1, 1)" for k in range(6))
+
+
+@query("join_codes", f"""
+WITH d AS (SELECT c_custkey, {_DRAW("c_custkey::VARCHAR")} AS one, {_DRAW("c_custkey || ':1'")} AS two FROM customer)
+SELECT c_custkey, CASE WHEN row_number() OVER (PARTITION BY one ORDER BY c_custkey) = 1 THEN one ELSE two END AS code FROM d""")
 def join_codes(t, spark):
-    """Codes from a hash; a code that is taken is drawn again with another salt."""
-    return t("customer").select("c_custkey", S.join_code(F.col("c_custkey")).alias("code"))
+    """Codes from a hash; one that is taken is drawn again.  The SQL draws twice, which is enough for so few rows."""
+    return unique_codes(t("customer"), "c_custkey")

@@ -151,22 +151,17 @@ def rate_limit_sim(t, spark):
 def room_states(events: DataFrame) -> DataFrame:
     """(session, seq, action) -> state and question after each action: waiting, active, ended.
 
-    Starting works only from waiting, going on only while active; the end is final.
+    Starting works only from waiting, going on only while active; the end is
+    final.  Running counts say it all, so a session's actions are sorted, never
+    gathered.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, idx, out = "waiting", -1, []
-        for row in pdf.sort_values("seq").itertuples():
-            if row.action == "start" and state == "waiting":
-                state, idx = "active", 0
-            elif row.action == "next" and state == "active":
-                idx += 1
-            elif row.action == "end":
-                state = "ended"
-            out.append((row.session, row.seq, state, idx))
-        return pd.DataFrame(out, columns=["session", "seq", "state", "idx"])
-
-    return events.groupBy("session").applyInPandas(run, "session string, seq long, state string, idx int")
+    so_far = W.partitionBy("session").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = lambda found: F.coalesce(F.max(found.cast("int")).over(so_far), F.lit(0))
+    rows = events.select("session", "seq", "action").withColumn("ended", seen(F.col("action") == "end"))
+    rows = rows.withColumn("started", seen((F.col("action") == "start") & (F.col("ended") == 0)))
+    passed = F.count_if((F.col("action") == "next") & (F.col("started") == 1) & (F.col("ended") == 0)).over(so_far)
+    state = F.when(F.col("ended") == 1, "ended").when(F.col("started") == 1, "active").otherwise("waiting")
+    return rows.select("session", "seq", state.alias("state"), F.when(F.col("started") == 1, passed).otherwise(-1).cast("int").alias("idx"))
 
 
 def tokens_used(events: DataFrame, ttl_seconds: int = 300) -> DataFrame:

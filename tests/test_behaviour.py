@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars as S
-from quillspark.operators import analytics, dml, filters, grading, ranking, sampling, similarity, text
+from quillspark.operators import analytics, dml, filters, grading, ranking, rules, sampling, similarity, text
 from quillspark.sources import files
 from quillspark.streaming import live
 
@@ -210,3 +211,21 @@ def test_game_questions_without_answers(spark):
     got = lambda mode: [(r.pos, r.payload) for r in sampling.game_questions(rows, F.lit(mode)).orderBy("pos").collect()]
     assert got("drag_drop") == [(0, "q0 = a0; q1 = a1; q3 = a3; q4 = a4"), (1, "q5 = a5; q6 = a6")]
     assert got("practice_view")[2] == (2, "q2") and len(got("flashcard")) == 6
+
+
+def test_rules_on_small_rows(spark):
+    assert [one(spark, S.to_bool, x) for x in ("-1.5", "0.0", "+2", "1e", "")] == [True, False, True, False, False]
+    codes = sampling.unique_codes(spark.range(30), "id", 1).collect()  # 30 of 36 codes: many must draw again
+    assert len({r.code for r in codes}) == len({r.id for r in codes}) == 30
+    with pytest.raises(ValueError):
+        sampling.unique_codes(spark.range(40), "id", 1)
+    tokens = spark.createDataFrame([("ExpoPushToken[a]",), ("bad",), (None,), ("ExponentPushToken[b]",)], "token string")
+    sent = rules.push_messages(tokens, F.lit("T"), F.lit('say "x"')).collect()
+    assert {json.loads(r.message)["to"] for r in sent} == {"ExpoPushToken[a]", "ExponentPushToken[b]"} and json.loads(sent[0].message)["body"] == 'say "x"'
+    assert [one(spark, rules.fenced_object, x) for x in (' {"a":1} ', '```json\n[1]\n```', "```\n{broken\n```", "no", None)] == ['{"a":1}', "[1]", None, None, None]
+    samples = spark.createDataFrame([("t", "NB", k) for k in range(8)] + [("t", "TH", 9)], "topic string, difficulty string, id int")
+    wanted = spark.createDataFrame([("t", "NB", 2), ("t", "VD", 1), ("u", "TH", 3), ("t", "TH", 0)], "topic string, difficulty string, n int")
+    got = {(r.topic, r.difficulty): r.ids for r in rules.generation_sections(samples, wanted).collect()}
+    assert got == {("t", "NB"): [0, 1, 2, 3, 4], ("t", "VD"): [0, 1, 2, 3, 4], ("u", "TH"): []}
+    rooms = spark.createDataFrame([("a", 1, "end"), ("a", 2, "start"), ("a", 3, "next"), ("b", 1, "next"), ("b", 2, "start"), ("b", 3, "start"), ("b", 4, "next")], "session string, seq long, action string")
+    assert [(r.state, r.idx) for r in live.room_states(rooms).orderBy("session", "seq").collect()] == [("ended", -1)] * 3 + [("waiting", -1), ("active", 0), ("active", 0), ("active", 1)]
