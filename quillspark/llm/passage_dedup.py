@@ -219,6 +219,18 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, doc_id: str =
     return done.join(rows.select("rid", "doc_id"), "rid").select("doc_id", "n_words", "n_removed", last[0])
 
 
+#: The rows of the query by all windows.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM w WHERE len(ws) >= 13),
+h AS (SELECT doc_id, p, array_to_string(ws[p : p + 12], ' ') AS words FROM g),
+hit AS (SELECT doc_id, p FROM h QUALIFY min(doc_id) OVER (PARTITION BY words) < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT q) AS qs FROM (SELECT doc_id, unnest(range(p, p + 13)) AS q FROM hit) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(len(qs), 0) AS n_removed, array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(qs, []), i)), ' ') AS kept FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id)
+SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM kept
+"""
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return drop_repeated_passages(docs, digests=True)

@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_suffix_dedup": string_dedup.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
+    "op9_passage_dedup": passage_dedup.ORACLE,
 }

@@ -197,6 +197,20 @@ def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, doc_id: str = "
     return done.join(rows.select("rid", "doc_id"), "rid").select("doc_id", "n_bytes", "n_removed", "n_spans", last[0])
 
 
+#: The rows of the query by all strings of 200 bytes.
+ORACLE = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+g AS (SELECT doc_id, p, md5(substring(x, 2 * p + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200)),
+hit AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY h) > 1),
+s AS (SELECT doc_id, p, coalesce(p > lag(p) OVER w + 200, true) AS fresh FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+k AS (SELECT doc_id, p, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM s),
+r AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS b FROM k GROUP BY ALL),
+o AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last FROM r GROUP BY doc_id),
+pre AS (SELECT r.doc_id, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r) r JOIN d ON d.doc_id = r.doc_id GROUP BY r.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE pre.kept || substring(x, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN pre ON pre.doc_id = d.doc_id
+"""
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return drop_repeated_strings(docs, digests=True)

@@ -502,3 +502,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert not left & set(range(57, 63)) and sum(k in left for k in range(40, 57)) == 1
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in final.collect()} == left and "ids" in final.columns
+
+
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_exact_dedup", "op8_jaccard_join", "op9_passage_dedup"])
+def test_queries_agree_with_their_sql(spark, docs, tmp_path, name):
+    import duckdb
+
+    from quillspark.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r[k] for k in want.columns) for r in got.collect()) == sorted(want.fetchall())
