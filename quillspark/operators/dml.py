@@ -107,12 +107,6 @@ def insert_if_absent(t, spark):
     return insert_absent(base, rows, ["n_nationkey"])
 
 
-@query("import_reasons", "SELECT * FROM (VALUES (1, 'imported'), (2, 'no_answer'), (99999999, 'not_found')) v(p_partkey, result)")
-def import_reasons(t, spark):
-    asked = spark.createDataFrame([(1,), (2,), (99999999,)], "p_partkey long")
-    return import_result(asked, t("part").select("p_partkey"), "p_partkey", F.col("p_partkey") % 2 == 1)
-
-
 @query("abandoned_attempts", """
 SELECT o_orderkey AS attempt, CASE WHEN o_orderstatus = 'O' AND o_orderkey < max(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) THEN 'abandoned' WHEN o_orderstatus = 'O' THEN 'in_progress' ELSE o_orderstatus END AS status FROM orders""")
 def abandoned_attempts(t, spark):

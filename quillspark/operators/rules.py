@@ -146,8 +146,12 @@ def replaced_groups(t, spark):
     return dml.replace_group(base, new, "l_orderkey").drop("l_returnflag")
 
 
-@query("import_reasons_all", "SELECT ps.k AS p_partkey, CASE WHEN p_partkey IS NULL THEN 'not_found' WHEN p_size <= 10 THEN 'no_answer' ELSE 'imported' END AS result FROM (SELECT p_partkey AS k FROM part UNION ALL SELECT -p_partkey FROM part) ps LEFT JOIN part ON p_partkey = ps.k")
-def import_reasons_all(t, spark):
+_IMPORT_SQL = "SELECT ps.k AS p_partkey, CASE WHEN p_partkey IS NULL THEN 'not_found' WHEN p_size <= 10 THEN 'no_answer' ELSE 'imported' END AS result FROM (SELECT p_partkey AS k FROM part UNION ALL SELECT -p_partkey FROM part) ps LEFT JOIN part ON p_partkey = ps.k"
+
+
+@query("import_reasons_all", _IMPORT_SQL)
+@query("import_reasons", _IMPORT_SQL)
+def import_reasons(t, spark):
     """All parts are asked for, and as many ids that are none."""
     ids = t("part").select("p_partkey")
     return dml.import_result(ids.union(ids.select(-F.col("p_partkey"))), t("part").select("p_partkey", "p_size"), "p_partkey", F.col("p_size") > 10)

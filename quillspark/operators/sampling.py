@@ -154,13 +154,17 @@ def game_sessions(t, spark):
     return game_questions(questions, F.when(u < 0.4, "flashcard").when(u < 0.7, "drag_drop").otherwise("practice_view"))
 
 
-@query("false_answers", "SELECT * FROM (VALUES ('x = 5', 'x = -5'), ('-3 m', '-1 m'), ('2.25', '3.75'), ('đúng', 'Không đúng'), ('Không có', 'có')) v(answer, wrong)")
-def false_answers(t, spark):
-    return spark.createDataFrame([(x,) for x in ("x = 5", "-3 m", "2.25", "đúng", "Không có")], "answer string").select("answer", false_answer(F.col("answer")).alias("wrong"))
+_FALSE_SQL = r"""
+WITH n AS (SELECT doc_id, text, regexp_extract(text, '-?[0-9]+(?:\.[0-9]+)?', 0) AS number FROM documents),
+o AS (SELECT *, try_cast(number AS BIGINT) AS whole, CASE WHEN contains(number, '.') THEN round(number::DOUBLE + 1.5, 2)::VARCHAR END AS decimal FROM n),
+x AS (SELECT *, CASE WHEN decimal IS NOT NULL THEN decimal WHEN whole IS NULL THEN CASE WHEN starts_with(number, '-') THEN substring(number, 2) ELSE '-' || number END WHEN whole > 0 THEN (-whole)::VARCHAR ELSE (whole + 2)::VARCHAR END AS other FROM o)
+SELECT doc_id, CASE WHEN number = '' THEN CASE WHEN starts_with(lower(text), 'không ') THEN substring(text, 7) ELSE 'Không ' || text END ELSE substring(text, 1, strpos(text, number) - 1) || other || substring(text, strpos(text, number) + length(number)) END AS wrong FROM x"""
 
 
-@query("false_answers_all")
-def false_answers_all(t, spark):
+@query("false_answers_all", _FALSE_SQL)
+@query("false_answers", _FALSE_SQL)
+def false_answers(t, spark):
+    """Each document's text as an answer made wrong."""
     return t("documents").select("doc_id", false_answer(F.col("text")).alias("wrong"))
 
 

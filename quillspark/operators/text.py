@@ -413,25 +413,6 @@ def json_props(t, spark):
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query("answer_key_extract", "SELECT * FROM (VALUES (1, 1, 'A'), (1, 2, 'C'), (1, 3, 'B'), (2, 1, 'D'), (2, 2, 'A')) v(id, number, answer)")
-def answer_key_extract(t, spark):
-    rows = spark.createDataFrame([(1, "Câu 1. x\nCâu 2. y\nĐáp án: 1. A 2-C 3) b"), (2, "Answers: 1: B; 2 A; 1 D"), (3, "nothing here")], "id int, text string")
-    return rows.select("id", F.explode(answer_table(F.col("text"))).alias("number", "answer"))
-
-
-@query("mock_detector", "SELECT * FROM (VALUES (1, true), (2, false), (3, true)) v(id, mock)")
-def mock_detector(t, spark):
-    good = ("a question that is long enough to be real", "42", ["step"])
-    rows = spark.createDataFrame([(1, [("x", "", [])] * 5), (2, [good] * 3 + [("x", "", [])] * 2), (3, [])], "id int, rows array<struct<question:string,answer:string,solution_steps:array<string>>>")
-    return rows.select("id", is_mock(F.col("rows")).alias("mock"))
-
-
-@query("question_segments", "SELECT * FROM (VALUES (1, 0, 1, 'Câu 1. one'), (1, 1, 2, 'Câu 2: two' || chr(10) || 'more'), (2, 0, 1, '1. a'), (2, 1, 2, '2) b'), (3, 0, 1, 'no marks')) v(id, pos, number, question)")
-def question_segments(t, spark):
-    rows = spark.createDataFrame([(1, "intro\nCâu 1. one\nCâu 2: two\nmore"), (2, "1. a\n2) b"), (3, "no marks")], "id int, text string")
-    return split_questions(rows).select("id", "pos", "number", "question")
-
-
 @query("choice_parsing", "SELECT * FROM (VALUES (1, 2, 'B'), (2, 2, 'A'), (3, NULL, NULL)) v(id, n, marked)")
 def choice_parsing(t, spark):
     rows = spark.createDataFrame([(1, "stem\nA. one\nB) two\nand more", "b"), (2, "A: red\nB: blue", "the red one"), (3, "A. alone", "A")], "id int, text string, answer string")
@@ -445,16 +426,49 @@ def json_recovery(t, spark):
     return t("conversations").select("conv_id", "turn", F.size(recovered(F.col("text"))).alias("n"))
 
 
-@query("question_segments_all")
-def question_segments_all(t, spark):
+_SEGMENT_SQL = r"""
+WITH n AS (SELECT doc_id, text, len(regexp_extract_all(text, '(?im)^[ \t]*(?:câu|bài|question)[ \t]*([0-9]+)[ \t]*[.:)]')) AS m, len(regexp_extract_all(text, '(?m)^[ \t]*([0-9]+)[.)][ \t]')) AS k FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, m < 2 AND k < 2 AS plain, string_split(CASE WHEN m >= 2 THEN regexp_replace(text, '(?im)^[ \t]*(?:câu|bài|question)[ \t]*([0-9]+)[ \t]*[.:)]', '␞\0', 'g') WHEN k >= 2 THEN regexp_replace(text, '(?m)^[ \t]*([0-9]+)[.)][ \t]', '␞\0', 'g') ELSE '␞' || text END, '␞')[2:] AS cut FROM n),
+p AS (SELECT doc_id, plain, list_filter(list_transform(cut, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(10))), lambda x: x != '') AS parts FROM s)
+SELECT doc_id, (i - 1)::INT AS pos, CASE WHEN plain THEN 1 ELSE try_cast(regexp_extract(q, '([0-9]+)', 1) AS INT) END AS number, q AS question FROM (SELECT doc_id, plain, unnest(parts) AS q, generate_subscripts(parts, 1) AS i FROM p)"""
+
+
+@query("question_segments_all", _SEGMENT_SQL)
+@query("question_segments", _SEGMENT_SQL)
+def question_segments(t, spark):
+    """The questions of every document."""
     return split_questions(t("documents").select("doc_id", "text")).select("doc_id", "pos", "number", "question")
 
 
-@query("answer_key_extract_all")
+_KEY_SQL = r"""
+WITH h AS (SELECT doc_id, text, regexp_extract(text, '(?is)(?:^|\n)\s*(?:đáp\s*án|answer\s*key|bảng\s*đáp\s*án|phần\s*đáp\s*án)\s*[:.]?\s*\n(.*)$', 1) AS head FROM documents),
+a AS (SELECT doc_id, CASE WHEN head != '' THEN head ELSE substring(text, floor(length(text) * 0.7)::INT + 1) END AS area FROM h),
+l AS (SELECT doc_id, pos, trim(line, ' ') AS line FROM (SELECT doc_id, unnest(string_split(area, chr(10))) AS line, generate_subscripts(string_split(area, chr(10)), 1) AS pos FROM a)),
+d AS (SELECT doc_id, pos, unnest(regexp_extract_all(line, '(?i)([0-9]+)\s*\.?\s*([A-D])(?:\s|$)', 1)) AS k, unnest(regexp_extract_all(line, '(?i)([0-9]+)\s*\.?\s*([A-D])(?:\s|$)', 2)) AS v, generate_subscripts(regexp_extract_all(line, '(?i)([0-9]+)\s*\.?\s*([A-D])(?:\s|$)', 1), 1) AS i FROM l),
+dense AS (SELECT * FROM d WHERE try_cast(k AS INT) IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, pos) >= 3),
+m AS (SELECT doc_id, 0 AS pos, unnest(regexp_extract_all(area, '(?i)([0-9]+)\s*[.:\-)\]]\s*([A-D])\b', 1)) AS k, unnest(regexp_extract_all(area, '(?i)([0-9]+)\s*[.:\-)\]]\s*([A-D])\b', 2)) AS v, generate_subscripts(regexp_extract_all(area, '(?i)([0-9]+)\s*[.:\-)\]]\s*([A-D])\b', 1), 1) AS i FROM a),
+marked AS (SELECT * FROM m WHERE try_cast(k AS INT) IS NOT NULL),
+more AS (SELECT doc_id FROM (SELECT doc_id, count(*) AS n FROM dense GROUP BY doc_id) x LEFT JOIN (SELECT doc_id, count(*) AS n FROM marked GROUP BY doc_id) y USING (doc_id) WHERE coalesce(y.n, 0) < x.n),
+e AS (SELECT * FROM marked UNION ALL SELECT * FROM dense WHERE doc_id IN (SELECT doc_id FROM more))
+SELECT doc_id, k::INT AS number, upper(v) AS answer FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, k::INT ORDER BY pos DESC, i DESC) = 1"""
+
+
+@query("answer_key_extract_all", _KEY_SQL)
 def answer_key_extract_all(t, spark):
+    """The answer key of every document that has one."""
     return t("documents").select("doc_id", F.explode(answer_table(F.col("text"))).alias("number", "answer"))
 
 
+_KEYS = ("\n Đáp án:\n1. A 2-c\nCâu 3: b 1) D", "\n1A 2 B 3.C\n4a 5d", "\nAnswer key\n1A 2B 3C 4D\n5-A")
+
+
+@query("answer_key_extract", _KEY_SQL.replace("FROM documents)", "FROM (SELECT doc_id, text || replace([" + ", ".join("'" + k.replace("\n", "#") + "'" for k in _KEYS) + "][doc_id % 3 + 1], '#', chr(10)) AS text FROM documents))", 1))
+def answer_key_extract(t, spark):
+    """The same with a key put at the end of each: under a heading, dense without one, and both kinds."""
+    ends = F.get(F.array(*map(F.lit, _KEYS)), (F.col("doc_id") % 3).cast("int"))
+    return t("documents").select("doc_id", F.explode(answer_table(F.concat("text", ends))).alias("number", "answer"))
+
+
 @query("choice_parsing_all")
 def choice_parsing_all(t, spark):
     """Choices of each document, marked by the letter its own text names."""
@@ -462,11 +476,15 @@ def choice_parsing_all(t, spark):
     return t("documents").select("doc_id", F.when(found.isNotNull(), F.size(found)).alias("n"), F.when(found.isNotNull(), mark_choice(found, inline_answer(F.col("text")))).alias("marked"))
 
 
-@query("mock_detector_all", """
+_MOCK_SQL = """
 WITH n AS (SELECT conv_id, role, text, lead(text) OVER w AS answer, row_number() OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST)),
 q AS (SELECT conv_id, (length(coalesce(text, '')) < 20)::INT + (coalesce(answer, '') = '')::INT + (trim(coalesce(answer, '')) = '')::INT AS signs FROM n WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY r) <= 5)
-SELECT conv_id, count(signs) = 0 OR sum(signs) > 2 * count(signs) AS mock FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN q USING (conv_id) GROUP BY conv_id""")
-def mock_detector_all(t, spark):
+SELECT conv_id, count(signs) = 0 OR sum(signs) > 2 * count(signs) AS mock FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN q USING (conv_id) GROUP BY conv_id"""
+
+
+@query("mock_detector_all", _MOCK_SQL)
+@query("mock_detector", _MOCK_SQL)
+def mock_detector(t, spark):
     """Each conversation as a parse result: a user's turn is a question, the turn after it the answer."""
     turns = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
     answered = F.transform("ts", lambda x, i: F.struct(x["role"].alias("role"), x["text"].alias("question"), F.get("ts", i + 1)["text"].alias("answer")))

@@ -198,3 +198,17 @@ def test_texts_without_questions_and_long_numbers(spark):
     assert sorted((r.id, r.pos, r.number, r.question) for r in text.split_questions(rows).collect()) == [(4, 0, 1, "one"), (5, 0, 1, "x = 123456789012345678901")]
     got = {r.id: r.wrong for r in rows.select("id", sampling.false_answer(text.F.col("text")).alias("wrong")).collect()}
     assert (got[2], got[5]) == (None, "x = -123456789012345678901")
+
+
+def test_hand_written_texts(spark):
+    rows = spark.createDataFrame([(1, "intro\nCâu 1. one\nCâu 2: two\nmore"), (2, "1. a\n2) b"), (3, "no marks")], "id int, text string")
+    got = [(r.id, r.pos, r.number, r.question) for r in text.split_questions(rows).orderBy("id", "pos").collect()]
+    assert got == [(1, 0, 1, "Câu 1. one"), (1, 1, 2, "Câu 2: two\nmore"), (2, 0, 1, "1. a"), (2, 1, 2, "2) b"), (3, 0, 1, "no marks")]
+    wrong = {"x = 5": "x = -5", "-3 m": "-1 m", "2.25": "3.75", "đúng": "Không đúng", "Không có": "có"}
+    answers = spark.createDataFrame([(x,) for x in wrong], "a string").select("a", sampling.false_answer(text.F.col("a")).alias("w"))
+    assert {r.a: r.w for r in answers.collect()} == wrong
+    good = ("a question that is long enough to be real", "42", ["step"])
+    parsed = spark.createDataFrame([(1, [("x", "", [])] * 5), (2, [good] * 3 + [("x", "", [])] * 2), (3, [])], "id int, rows array<struct<question:string,answer:string,solution_steps:array<string>>>")
+    assert {r.id: r.mock for r in parsed.select("id", text.is_mock(text.F.col("rows")).alias("mock")).collect()} == {1: True, 2: False, 3: True}
+    keys = spark.createDataFrame([(1, "Câu 1. x\nCâu 2. y\nĐáp án: 1. A 2-C 3) b"), (2, "Answers: 1: B; 2 A; 1 D"), (3, "nothing here")], "id int, text string").select("id", text.answer_table(text.F.col("text")).alias("m"))
+    assert {r.id: r.m for r in keys.collect()}[3] == {}
