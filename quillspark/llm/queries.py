@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, decontaminate, exact_dedup, jaccard_join, passage_dedup, quality, sharding, string_dedup, token_counts, toxicity
+from quillspark.llm import bpe, decontaminate, exact_dedup, jaccard_join, passage_dedup, quality, sharding, string_dedup, token_counts, toxicity, vector_dedup
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8,
     "op9_passage_dedup": passage_dedup.op9,
     "op10_toxicity_fm": toxicity.op10,
+    "op11_vector_dedup": vector_dedup.op11,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op9_passage_dedup": passage_dedup.ORACLE,
+    "op11_vector_dedup": vector_dedup.ORACLE,
 }
