@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, decontaminate, exact_dedup, jaccard_join, passage_dedup, quality, sharding, string_dedup, token_counts, toxicity, vector_dedup
+from quillspark.llm import bpe, conversation_repair, decontaminate, exact_dedup, jaccard_join, lexical_search, passage_dedup, quality, sharding, string_dedup, token_counts, toxicity, vector_dedup
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_passage_dedup": passage_dedup.op9,
     "op10_toxicity_fm": toxicity.op10,
     "op11_vector_dedup": vector_dedup.op11,
+    "op12_lexical_search": lexical_search.op12,
+    "op13_conversation_repair": conversation_repair.op13,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,5 @@ ORACLE_SQL = {
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op9_passage_dedup": passage_dedup.ORACLE,
     "op11_vector_dedup": vector_dedup.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
 }
