@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.common import spread, stage
@@ -24,6 +25,8 @@ from quillspark.llm.common import spread, stage
 LOT = 1 << 17
 #: Rows of a batch that are Python objects at a time.
 ROWS = 256
+#: Bytes from which a word has a hash of its own kind: sums of powers modulo 2**64 can be made to collide for long words.
+LONG = 32
 #: Bytes of text whose anchors make one fragment, and anchors packed at a time in a task.
 FRAGMENT, PACK = 1 << 24, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -59,7 +62,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def word_codes(bodies: list[bytes]) -> list[np.ndarray]:
-    """64-bit numbers of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 texts, all at once from running sums over their bytes."""
+    """64-bit numbers of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 texts, all at once from running sums over their bytes; long words from xxh3."""
     if not bodies:
         return []
     blob = np.frombuffer(b" ".join([*bodies, b""]), np.uint8)
@@ -69,6 +72,8 @@ def word_codes(bodies: list[bytes]) -> list[np.ndarray]:
     ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * _table(_BASE, n))])
     codes = mixed((sums[ends] - sums[starts]) * _table(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts >= LONG):
+        codes[k] = xxhash.xxh3_64_intdigest(blob[starts[k] : ends[k]])
     edges = np.searchsorted(starts, np.cumsum([len(b) + 1 for b in bodies]))
     return np.split(codes, edges[:-1])
 

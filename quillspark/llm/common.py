@@ -87,25 +87,33 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """(rid, doc_id, text) with a long ``rid`` that is unique and the same in every scan.
 
     The id itself where it is an integer, never null and never repeated; else
-    the rows are numbered in input order and written once.
+    the rows are numbered in the order of their ids, null ids last and equal
+    ones in input order, and written once.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
     if docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long"):
         odd = docs.groupBy(F.col(doc_id).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or k is null")
         if odd.isEmpty():
             return rows.select(F.col("doc_id").cast("long").alias("rid"), "doc_id", "text")
-    return stage(rows.withColumn("rid", F.monotonically_increasing_id())).select("rid", "doc_id", "text")
+    return stage(_in_order(rows, "doc_id", "rid")).select("rid", "doc_id", "text")
+
+
+def _in_order(rows: DataFrame, doc_id: str, name: str) -> DataFrame:
+    """Adds numbers that grow with the id, and for equal or null ones with the place in the input: sorted parts are numbered one after the other."""
+    place = free_name(rows, "place_in_input")
+    ordered = rows.withColumn(place, F.monotonically_increasing_id()).orderBy(F.asc_nulls_last(doc_id), place).drop(place)
+    return ordered.withColumn(name, F.monotonically_increasing_id())
 
 
 def numbered(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
     """All columns of ``docs`` and a long row number under a free name, the same in every scan.
 
     The number is the id where that is an integer, never null and never
-    repeated; else rows are numbered in input order and written once.
+    repeated; else rows are numbered as in ``keyed`` and written once.
     """
     name = free_name(docs, "row_number")
     if docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long"):
         odd = docs.groupBy(F.col(doc_id).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or k is null")
         if odd.isEmpty():
             return docs.withColumn(name, F.col(doc_id).cast("long")), name
-    return stage(docs.withColumn(name, F.monotonically_increasing_id())), name
+    return stage(_in_order(docs, doc_id, name)), name

@@ -71,7 +71,7 @@ def starts(similar: float) -> Column:
     last = F.greatest(n - size, F.lit(0))
     full = F.filter(ps, lambda p, i: (p <= n - size) & (F.get(ps, i + least - 1) - p < grams))
     end = F.when((n < size) | (F.get(ps, F.size(ps) - least) >= last), F.array(last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.concat(full, end, F.col("cut")))
+    return F.array_distinct(F.concat(full, end))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
@@ -85,14 +85,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     split = docs.select("rid", words_of(F.col("text")).alias("w"))
     found = None
     for m in sorted(r["m"] for r in totals):
-        index = items.filter(F.col("m") == m).select("item", "len", F.posexplode(grams_of(F.col("w"), m)).alias("o", "g"))
+        index = items.filter(F.col("m") == m).select("item", "len", F.explode(grams_of(F.col("w"), m)).alias("g")).distinct()
         seen = split.select("rid", F.size("w").alias("n"), F.posexplode(grams_of(F.col("w"), m)).alias("p", "g"))
-        hits = seen.join(side(index), "g").select("rid", "n", "item", "len", "p", F.greatest(F.col("p") - F.col("o"), F.lit(0)).alias("s"), F.lit(m).alias("m"))
+        hits = seen.join(side(index), "g").select("rid", "n", "item", "len", "p", F.lit(m).alias("m"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "rid long, item long, similarity double")
-    cut = F.when(F.col("s") > F.col("n") - F.col("len"), F.col("s"))  # an alignment whose window the document's end cuts off
-    found = found.groupBy("rid", "n", "item", "len", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"), F.collect_set(cut).alias("cut"))
+    found = found.groupBy("rid", "n", "item", "len", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
     wanted = found.select("rid", "item", "len", "m", F.explode(starts(similar)).alias("s")).groupBy("rid").agg(F.collect_set(F.struct("len", "s", "m")).alias("wanted"))
     windows = split.join(wanted.hint("merge"), "rid").select("rid", F.explode(F.transform("wanted", lambda x: F.struct(x["len"].alias("len"), x["m"].alias("m"), F.slice("w", x["s"] + 1, x["len"]).alias("w")))).alias("x"))
     # The same window text in many documents is judged once, for whichever items are near it.
@@ -127,8 +126,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """One row for each row of ``docs``: doc_id, contaminated, n_items, item_ids, similarity.
 
     A document is contaminated by an item if a window of the item's number of
-    words has similarity 0.75 or more with it; ``similarity`` is the best of
-    all, 0 where there is none.  Null texts and ids are kept and are clean
+    words has similarity 0.75 or more with it (the whole document, where it is
+    shorter); ``similarity`` is the best of all, 0 where there is none.  Null texts and ids are kept and are clean
     unless shown otherwise; items without words are passed over; items of
     fewer than five words must occur as they are.  An empty benchmark leaves
     all documents clean; an empty table gives no rows.

@@ -185,8 +185,8 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, doc_id: str =
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none.
     Windows are judged on the input.  Returns doc_id, n_words, n_removed and
     ``kept`` (the kept words joined by one space) or ``kept_sha256`` with
-    ``digests``.  Where ids repeat or are null, the rows' order stands in for
-    them.  Texts shorter than a window stay whole; an empty table gives no
+    ``digests``.  Null ids come after all others; among equal or null ids the
+    earlier row counts as the smaller one.  Texts shorter than a window stay whole; an empty table gives no
     rows.  Columns other than the two are not read.
     """
     from quillspark.llm.string_dedup import merged
