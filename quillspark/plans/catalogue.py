@@ -4,4 +4,4 @@ from __future__ import annotations
 
 from quillspark.operators import analytics, bank, dml, filters, grading, ranking, rules, sampling, similarity, text, text_index, vector_index  # noqa: F401  (modules register their queries)
 from quillspark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
-from quillspark.streaming import live  # noqa: F401
+from quillspark.streaming import live, progress  # noqa: F401

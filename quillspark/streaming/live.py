@@ -111,6 +111,21 @@ def admitted(times: list[float], limit: int, kept: list[float] | None = None) ->
     return out, kept
 
 
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decisions on requests sorted by key and time; only the last key's admitted times are kept from one batch to the next."""
+    last, kept = None, []
+    for pdf in frames:
+        at, limits = pdf["at"].map(lambda x: x.timestamp()).to_numpy(), pdf["limit"].to_numpy()
+        keys = list(zip(pdf["ip"], pdf["prefix"], strict=True))
+        out: list[tuple[bool, int]] = []
+        for k, key in enumerate(keys):
+            if key != last:
+                last, kept = key, []
+            got, kept = admitted([at[k]], int(limits[k]), kept)
+            out += got
+        yield pdf.assign(admitted=[g[0] for g in out], retry_after=[g[1] for g in out])[["ip", "prefix", "seq", "admitted", "retry_after"]]
+
+
 def _decided(pdf: pd.DataFrame, kept: list[float]) -> tuple[pd.DataFrame, list[float]]:
     pdf = pdf.sort_values(["at", "seq"])
     got, kept = admitted([x.timestamp() for x in pdf["at"]], int(pdf["limit"].iloc[0]), kept)
@@ -124,13 +139,15 @@ def rate_limited(requests: DataFrame) -> DataFrame:
     """(ip, path, at, seq) -> the decision on each request that a rule covers.
 
     The state of a key is the times of its admitted requests in the window,
-    never more than the limit, so a stream needs little memory for each; in a
-    batch a key's requests are decided in order.
+    never more than the limit, so a stream needs little memory for each.  In a
+    batch requests are sorted by key and time, and pass by one after the
+    other: a key of any size needs no more memory.
     """
     prefix, limit = rule_of(F.col("path"))
     rows = requests.withColumn("prefix", prefix).withColumn("limit", limit).filter("prefix is not null")
     if not requests.isStreaming:
-        return rows.groupBy("ip", "prefix").applyInPandas(lambda pdf: _decided(pdf, [])[0], DECISION)
+        dealt = rows.select("ip", "prefix", "limit", "at", "seq").repartition("ip", "prefix").sortWithinPartitions("ip", "prefix", "at", "seq")
+        return dealt.mapInPandas(_in_order, DECISION)
 
     def step(key, frames: Iterator[pd.DataFrame], state):
         pdf = pd.concat(list(frames))
