@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import json
 import re
 from difflib import SequenceMatcher
 
@@ -12,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillspark.functions import scalars as S
+from quillspark.operators.replies import json_salvage, salvage  # noqa: F401
 from quillspark.plans.registry import query
 
 _MARK = r"(?mu)^[ \t]*(?:câu|bài|question)[ \t]*(\d+)[ \t]*[.:)]"
@@ -222,87 +222,9 @@ def steps(raw: Column, otherwise: str = "lines") -> Column:
     return F.when(raw.isNull() | (F.trim(raw) == ""), F.array().cast("array<string>")).when(F.ltrim(raw).startswith("[") & parsed.isNotNull(), parsed).otherwise(rest)
 
 
-def _closing(s: str, at: int) -> int:
-    """Place of the bracket that closes the one at ``at``, strings skipped; -1 if none does."""
-    pairs, depth, inside, k = {"[": "]", "{": "}"}, 0, False, at
-    while k < len(s):
-        c = s[k]
-        if inside:
-            if c == "\\":
-                k += 1
-            elif c == '"':
-                inside = False
-        elif c == '"':
-            inside = True
-        elif c == s[at]:
-            depth += 1
-        elif c == pairs[s[at]]:
-            depth -= 1
-            if not depth:
-                return k
-        k += 1
-    return -1
-
-
-def _repaired(s: str) -> str:
-    s = re.sub(r"\\{3,}", r"\\\\", s)
-    s = re.sub(r",\s*([\]}])", r"\1", s)
-    for a, b in (("None", "null"), ("True", "true"), ("False", "false")):
-        s = re.sub(rf"(?<![\w\"]){a}(?![\w\"])", b, s)
-    return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", s)
-
-
-# What a recovered question lacks is taken to be.
-_DEFAULTS = {"type": "TL", "difficulty": "TH", "solution_steps": [], "answer": "", "grade": None, "chapter": "", "lesson_title": ""}
-
-
-def salvage(raw: str) -> list[dict]:
-    """Questions in a model's reply: as it is, in fences, between brackets, repaired, or object by object."""
-
-    def tried(s: str):
-        try:
-            got = json.loads(s)
-        except ValueError:
-            return None
-        return got if isinstance(got, list) else None
-
-    raw = raw or ""
-    for part in (raw, *(p.removeprefix("json").strip() for p in raw.split("```")[1::2])):
-        if (got := tried(part)) is not None:
-            return got
-    at = raw.find("[")
-    if at < 0:
-        return []
-    end = _closing(raw, at)
-    end = end if end > 0 else raw.rfind("]")
-    body = raw[at : end + 1] if end > at else raw[at:]
-    for s in (body, _repaired(body)):
-        if (got := tried(s)) is not None:
-            return got
-    out, k = [], raw.find("{", at)
-    while k >= 0:
-        end = _closing(raw, k)
-        if end < 0:
-            break
-        try:
-            got = json.loads(_repaired(raw[k : end + 1]))
-            if isinstance(got, dict) and "question" in got:
-                out.append(_DEFAULTS | got)
-        except ValueError:
-            pass
-        k = raw.find("{", end + 1)
-    return out
-
-
 QUESTION = "array<struct<question:string,type:string,difficulty:string,answer:string,solution_steps:array<string>>>"
 
 
-@F.pandas_udf(T.StringType())
-def json_salvage(raw: pd.Series) -> pd.Series:
-    """Recovered questions as a clean JSON list."""
-    return raw.map(lambda s: json.dumps(salvage(s), ensure_ascii=False))
-
-
 def recovered(raw: Column) -> Column:
     """The cheap way first: a list that parses never goes through Python's repair."""
     direct = F.from_json(F.when(F.try_parse_json(raw).isNotNull() & F.ltrim(raw).startswith("["), raw), QUESTION)
