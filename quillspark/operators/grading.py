@@ -28,52 +28,63 @@ def choice(correct: Column, given: Column, points: Column) -> Column:
     return _result(ok, F.when(ok, points).otherwise(0.0))
 
 
+def _list(x: Column) -> Column:
+    """A JSON list as texts; another answer is a list of its own, an empty one an empty list."""
+    return F.when(x.startswith("["), F.coalesce(F.from_json(x, LIST), F.array().cast(LIST))).when(F.coalesce(_plain(x), F.lit("")) == "", F.array().cast(LIST)).otherwise(F.array(_plain(x)))
+
+
 def checkbox(correct: Column, given: Column, points: Column, mode: Column, penalty: Column) -> Column:
     """Equal sets of keys; any mode but all_or_nothing gives parts: hits less penalties, between 0 and the points."""
-    keys = lambda x: F.array_distinct(F.transform(F.coalesce(F.from_json(x, LIST), F.array().cast(LIST)), S.code_key))
+    keys = lambda x: F.array_distinct(F.transform(_list(x), S.code_key))
     right, chosen = keys(correct), keys(given)
     ok = F.array_sort(right) == F.array_sort(chosen)
     hits, wrong = F.size(F.array_intersect(right, chosen)), F.size(F.array_except(chosen, right))
-    part = F.greatest(F.lit(0.0), F.least(points, F.bround(points / F.greatest(F.size(right), F.lit(1)) * hits - F.coalesce(penalty, F.lit(0.0)) * wrong, 2)))
+    part = F.greatest(F.lit(0.0), F.least(points, points / F.greatest(F.size(right), F.lit(1)) * hits - F.coalesce(penalty, F.lit(0.0)) * wrong))
     whole = F.when(ok, points).otherwise(0.0)
-    return _result(ok, F.when((F.coalesce(mode, F.lit("all_or_nothing")) == "all_or_nothing") | (F.size(right) == 0), whole).otherwise(F.when(ok, points).otherwise(part)))
+    return _result(ok, F.bround(F.when((F.coalesce(mode, F.lit("all_or_nothing")) == "all_or_nothing") | (F.size(right) == 0), whole).otherwise(part), 2))
 
 
-def _matches(right: Column, given: Column, upper: bool) -> tuple[Column, Column]:
-    """How many keys are answered as the key says, and how many there are."""
-    fix = S.code_key if upper else (lambda x: F.lower(F.trim(x)))
-    keys = F.map_keys(right)
-    hits = F.size(F.filter(keys, lambda k: F.coalesce(F.exists(F.split(right[k], "\\|"), lambda a: fix(a) == fix(given[k])), F.lit(False))))
-    return hits, F.size(keys)
-
-
-def _parts(hits: Column, total: Column, points: Column, mode: Column, per: Column | None = None) -> Column:
-    each = F.coalesce(per, points / total) if per is not None else points / total
-    ok = hits == total
-    graded = F.when(mode == "all_or_nothing", F.when(ok, points).otherwise(0.0)).when(mode == "ratio", F.bround(points * hits / total, 2)).otherwise(F.bround(each * hits, 2))
-    return _result(ok, F.when(total == 0, points).otherwise(graded))
+def _blank_hit(expected: Column, said: Column) -> Column:
+    """Whether one blank is filled as expected: a text without regard to case, or one of ``accept`` under its own rules."""
+    rule = F.from_json(F.when(expected.startswith("{"), expected), "accept array<string>, case_sensitive boolean, trim_whitespace boolean")
+    trim, exact = F.coalesce(rule["trim_whitespace"], F.lit(True)), F.coalesce(rule["case_sensitive"], F.lit(False))
+    fixed = lambda x: F.when(exact, F.when(trim, F.trim(x)).otherwise(x)).otherwise(F.lower(F.when(trim, F.trim(x)).otherwise(x)))
+    own = F.trim(F.coalesce(said, F.lit("")))
+    accepted = F.coalesce(F.exists(rule["accept"], lambda a: fixed(a) == fixed(own)), F.lit(False))
+    return F.when(expected.startswith("{"), accepted).otherwise(F.lower(F.trim(expected)) == F.lower(own))
 
 
 def fill_blank(correct: Column, given: Column, points: Column, mode: Column, per_blank: Column) -> Column:
-    """Per blank; accepted spellings are parted by a bar.  A plain text is one blank.  Without blanks, full marks."""
-    right, got = F.from_json(correct, MAP), F.coalesce(F.from_json(given, MAP), F.create_map().cast(MAP))
-    hits, total = _matches(right, got, False)
-    ok = F.lower(F.trim(_plain(correct))) == F.lower(F.trim(_plain(given)))
-    return F.when(correct.startswith("{"), _parts(hits, total, points, F.coalesce(mode, F.lit("per_blank")), per_blank)).otherwise(_result(ok, F.when(ok, points).otherwise(0.0)))
+    """Blank by blank where both sides are maps, else as texts.  Points for each blank, all of them or a share; without blanks, full marks."""
+    right, got = F.from_json(correct, MAP), F.from_json(given, MAP)
+    keys = F.map_keys(right)
+    total = F.size(keys)
+    hits = F.size(F.filter(keys, lambda k: F.coalesce(_blank_hit(right[k], F.try_element_at(got, k)), F.lit(False))))
+    mode, ok = F.coalesce(mode, F.lit("per_blank")), hits == total
+    earned = F.when(mode == "per_blank", hits * F.coalesce(per_blank, points / total)).when(mode == "all_or_nothing", F.when(ok, points).otherwise(0.0)).otherwise(hits / total * points)
+    same = F.lower(F.trim(_plain(correct))) == F.lower(F.trim(_plain(given)))
+    plain = _result(same, F.when(same, points).otherwise(0.0))
+    return F.when(correct.startswith("{") & given.startswith("{"), _result(ok, F.when(total == 0, points).otherwise(F.bround(earned, 2)))).otherwise(plain)
 
 
 def matching(correct: Column, given: Column, points: Column, mode: Column) -> Column:
-    hits, total = _matches(F.from_json(correct, MAP), F.coalesce(F.from_json(given, MAP), F.create_map().cast(MAP)), True)
-    graded = _parts(hits, total, points, F.coalesce(mode, F.lit("per_blank")))
-    return F.when(correct.startswith("{") & given.startswith("{"), graded).otherwise(_result(F.lit(False), F.lit(0.0)))
+    """Key by key without regard to case; parts only in the mode per_blank."""
+    right, got = F.from_json(correct, MAP), F.from_json(given, MAP)
+    keys = F.map_keys(right)
+    total = F.size(keys)
+    hits = F.size(F.filter(keys, lambda k: S.code_key(F.coalesce(F.try_element_at(got, k), F.lit(""))) == S.code_key(right[k])))
+    ok = hits == total
+    earned = F.when(total == 0, points).when(F.coalesce(mode, F.lit("")) == "per_blank", F.bround(hits / total * points, 2)).otherwise(F.when(ok, points).otherwise(0.0))
+    return F.when(correct.startswith("{") & given.startswith("{"), _result(ok, earned)).otherwise(_result(F.lit(False), F.lit(0.0)))
 
 
 def reorder(correct: Column, given: Column, points: Column, mode: Column, partial: Column) -> Column:
+    """Equal lists; a share for places that are right only where parts are wanted and the mode is another than all_or_nothing, which it is unless told."""
     right, got = F.from_json(correct, LIST), F.from_json(given, LIST)
-    ok = right == got
+    parts = F.coalesce(partial, F.lit(False)) & (F.coalesce(mode, F.lit("all_or_nothing")) != "all_or_nothing")
     hits = F.size(F.filter(F.zip_with(right, got, lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False))))
-    part = F.when(F.coalesce(partial, F.lit(False)) & (F.coalesce(mode, F.lit("")) != "all_or_nothing"), F.bround(points * hits / F.size(right), 2)).otherwise(0.0)
-    graded = _result(ok, F.when(ok | (F.size(right) == 0), points).otherwise(part))
+    same, all_hit = right == got, (hits == F.size(right)) | (F.size(right) == 0)
+    graded = F.when(parts, _result(all_hit, F.when(F.size(right) == 0, points).otherwise(F.bround(hits / F.size(right) * points, 2)))).otherwise(_result(same, F.when(same, points).otherwise(0.0)))
     return F.when(correct.startswith("[") & given.startswith("["), graded).otherwise(_result(F.lit(False), F.lit(0.0)))
 
 
@@ -122,9 +133,9 @@ def attempt_totals(answers: DataFrame, negative: bool = False, passing: float |
 _GRADED = [
     (1, "multiple_choice", '"b"', "B ", 1.0, None, None, None, None, True, 1.0), (2, "multiple_choice", "A", "C", 1.0, None, None, None, None, False, 0.0), (3, "multiple_choice", "", "", 1.0, None, None, None, None, True, 1.0),
     (4, "checkbox", '["A","B"]', '["b","a"]', 2.0, None, None, None, None, True, 2.0), (5, "checkbox", '["A","B"]', '["A","C"]', 2.0, "partial", 0.5, None, None, False, 0.5), (6, "checkbox", '["A","B"]', '["A"]', 2.0, "all_or_nothing", None, None, None, False, 0.0),
-    (7, "fill_blank", '{"B1":"x|y","B2":"z"}', '{"B1":"Y","B2":"q"}', 3.0, None, None, None, None, False, 1.5), (8, "fill_blank", '{"B1":"x","B2":"z"}', '{"B1":"x","B2":"z"}', 3.0, None, None, 2.0, None, True, 4.0), (9, "fill_blank", "Paris", " paris", 1.0, None, None, None, None, True, 1.0),
+    (7, "fill_blank", '{"B1":{"accept":["x","y"]},"B2":"z"}', '{"B1":"Y","B2":"q"}', 3.0, None, None, None, None, False, 1.5), (8, "fill_blank", '{"B1":"x","B2":"z"}', '{"B1":"x","B2":"z"}', 3.0, None, None, 2.0, None, True, 4.0), (9, "fill_blank", "Paris", " paris", 1.0, None, None, None, None, True, 1.0),
     (10, "reorder", '["1","2","3"]', '["1","3","2"]', 3.0, "partial", None, None, True, False, 1.0), (11, "reorder", '["1","2"]', "no list", 3.0, None, None, None, True, False, 0.0), (12, "true_false", "true", "yes", 1.0, None, None, None, None, True, 1.0),
-    (13, "true_false_not_given", "NG", "not given", 1.0, None, None, None, None, True, 1.0), (14, "matching", '{"1":"a","2":"b"}', '{"1":"A","2":"c"}', 2.0, None, None, None, None, False, 1.0), (15, "essay", None, "text", 5.0, None, None, None, None, None, 0.0),
+    (13, "true_false_not_given", "NG", "not given", 1.0, None, None, None, None, True, 1.0), (14, "matching", '{"1":"a","2":"b"}', '{"1":"A","2":"c"}', 2.0, "per_blank", None, None, None, False, 1.0), (15, "essay", None, "text", 5.0, None, None, None, None, None, 0.0),
     (16, "multiple_choice", "A", None, 1.0, None, None, None, None, False, 0.0), (17, "unknown", "A", "A", 1.0, None, None, None, None, False, 0.0), (18, "yes_no_not_given", "yes", "n", 1.0, None, None, None, None, False, 0.0),
 ]
 
@@ -175,3 +186,32 @@ def attempt_limits(t, spark):
 @query("assignment_score", "SELECT l_orderkey, round_even(count(*) FILTER (l_returnflag = 'R') * 100.0 / count(*), 0)::INT AS score FROM lineitem GROUP BY 1")
 def assignment_score(t, spark):
     return t("lineitem").groupBy("l_orderkey").agg(F.bround(F.count_if(F.col("l_returnflag") == "R") * 100.0 / F.count(F.lit(1)), 0).cast("int").alias("score"))
+
+
+@query("grade_all_types", """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::INT AS q, l_partkey % 9 AS k, l_returnflag AS f, l_linestatus AS s, (l_quantity::INT % 4)::DOUBLE AS pen FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, k::INT AS kind,
+ CASE k WHEN 0 THEN f = 'R' WHEN 1 THEN f = 'R' AND s = 'O' WHEN 2 THEN f = 'R' AND s = 'O' WHEN 3 THEN f = 'R' AND s = 'O' WHEN 4 THEN f = 'R' WHEN 5 THEN f = 'R' WHEN 6 THEN s = 'O' WHEN 7 THEN NULL ELSE s = 'O' END AS is_correct,
+ CASE k WHEN 0 THEN CASE WHEN f = 'R' THEN 4.0 ELSE 0 END
+  WHEN 1 THEN greatest(0.0, least(4.0, 2.0 * ((f = 'R')::INT + (s = 'O')::INT) - pen * ((f != 'R')::INT + (s != 'O')::INT)))
+  WHEN 2 THEN CASE q % 3 WHEN 0 THEN 2.5 * ((f = 'R')::INT + (s = 'O')::INT) WHEN 1 THEN CASE WHEN f = 'R' AND s = 'O' THEN 4.0 ELSE 0 END ELSE 2.0 * ((f = 'R')::INT + (s = 'O')::INT) END
+  WHEN 3 THEN CASE WHEN q % 2 = 0 THEN 2.0 * ((f = 'R')::INT + (s = 'O')::INT) WHEN f = 'R' AND s = 'O' THEN 4.0 ELSE 0 END
+  WHEN 4 THEN CASE WHEN f = 'R' THEN 4.0 WHEN q % 2 = 0 AND f = 'N' THEN 1.33 ELSE 0 END
+  WHEN 5 THEN CASE WHEN f = 'R' THEN 4.0 ELSE 0 END WHEN 6 THEN CASE WHEN s = 'O' THEN 4.0 ELSE 0 END WHEN 7 THEN 0 ELSE CASE WHEN s = 'O' THEN 4.0 ELSE 0 END END::DOUBLE AS points_earned FROM l""")
+def grade_all_types(t, spark):
+    """Every line as an answer of one of nine kinds: all types, modes, penalties and spellings over the whole table."""
+    f, s, q, k = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity").cast("int"), (F.col("l_partkey") % 9).cast("int")
+    types = ("multiple_choice", "checkbox", "fill_blank", "matching", "reorder", "true_false", "true_false_not_given", "essay", "yes_no_not_given")
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    correct = {0: F.lit('"r"'), 1: F.lit('["R","O"]'), 2: F.lit('{"B1":{"accept":["x","R"],"case_sensitive":true},"B2":"o"}'), 3: F.lit('{"1":"r","2":"O"}'), 4: F.lit('["R","x","y"]'), 5: F.lit("true"), 6: F.lit("NG"), 8: F.lit("Y")}
+    given = {
+        0: said(" ", f, " "), 1: said('["', f, '","', F.lower(s), '"]'), 2: said('{"B2":" ', s, '","B1":"', f, '"}'), 3: said('{"1":"', f, '","2":"', s, '","3":"z"}'),
+        4: F.when(f == "R", '["R","x","y"]').when(f == "N", '["x","R","y"]').otherwise('["x","y","R"]'), 5: F.when(f == "R", "đúng").otherwise("sai"), 6: F.when(s == "O", "not given").otherwise("T"), 7: F.lit("an essay"), 8: F.when(s == "O", "yes").otherwise("N"),
+    }
+    pick = lambda by: F.coalesce(*[F.when(k == n, x) for n, x in by.items()])
+    mode = pick({1: F.lit("partial"), 2: F.get(F.array(F.lit("per_blank"), F.lit("all_or_nothing"), F.lit("ratio")), q % 3), 3: F.when(q % 2 == 0, "per_blank"), 4: F.when(q % 2 == 0, "partial")})
+    rows = t("lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", k.alias("kind"), F.get(F.array(*map(F.lit, types)), k).alias("type"), pick(correct).alias("correct"), pick(given).alias("given"), F.lit(4.0).alias("points"), mode.alias("mode"),
+        (q % 4).cast("double").alias("penalty"), F.when((k == 2) & (q % 3 == 0), 2.5).alias("per_blank"), F.lit(True).alias("partial"),
+    )
+    return grade(rows).select("l_orderkey", "l_linenumber", "l_partkey", "kind", "is_correct", "points_earned")
