@@ -201,12 +201,12 @@ def choices(text: Column) -> Column:
 
 
 def mark_choice(found: Column, answer: Column) -> Column:
-    """Key of the right choice: the answer itself, its first letter, containment either way, else the first."""
+    """Key of the right choice: the answer itself, the letter it begins with, containment either way, else the first; none without an answer."""
     keys = F.transform(found, lambda c: c["key"])
     key = F.upper(F.trim(answer))
-    letter = F.upper(F.regexp_extract(answer, "([A-Za-z])", 1))
+    letter = F.upper(F.regexp_extract(F.trim(answer), "^([A-Za-z])", 1))
     like = F.filter(found, lambda c: F.lower(c["text"]).contains(F.lower(F.trim(answer))) | F.lower(answer).contains(F.lower(c["text"])))
-    return F.when(F.array_contains(keys, key), key).when(F.array_contains(keys, letter), letter).when((F.size(like) > 0) & (F.trim(answer) != ""), F.get(like, F.lit(0))["key"]).otherwise(F.get(keys, F.lit(0)))
+    return F.when(F.coalesce(key, F.lit("")) == "", F.lit(None)).when(F.array_contains(keys, key), key).when(F.array_contains(keys, letter), letter).when((F.size(like) > 0) & (F.trim(answer) != ""), F.get(like, F.lit(0))["key"]).otherwise(F.get(keys, F.lit(0)))
 
 
 def grade_in_message(text: Column) -> Column:
