@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from quillspark.functions import scalars as S
 from quillspark.operators.similarity import _COS, clusters, pairs_above, tokens, vectors
 from quillspark.plans.registry import query
+from quillspark.plans.staging import checkpoints, staged
 
 
 def keyword_search(rows: DataFrame, word: str, text: str, key: str, limit: int = 200) -> DataFrame:
@@ -52,7 +53,7 @@ def duplicate_groups(edges: DataFrame) -> DataFrame:
 
     ``group_id`` is the least member; a group is exact when an edge of it has score 1.
     """
-    edges = edges.select("a", "b", "score").persist()
+    edges = staged(edges.select("a", "b", "score"))
     labels = clusters(edges.select("a", "b"))
     scores = edges.join(labels.withColumnRenamed("id", "a"), "a").groupBy("label").agg(F.max("score").alias("top"))
     members = labels.groupBy("label").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -77,15 +78,6 @@ def _edges(t) -> DataFrame:
     return exact.unionByName(pairs_above(v, v, 0.42, later_only=True).select("a", "b", "score")).groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
-def _checkpoints(spark) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-ck-"))
-
-
 @query("duplicate_groups", f"""
 WITH RECURSIVE {_EDGES}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS reach FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.reach = u.a),
 l AS (SELECT id, min(reach) AS label FROM r GROUP BY id)
@@ -93,7 +85,7 @@ SELECT label AS group_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS members, r
 FROM l JOIN (SELECT label, max(score) AS top FROM e JOIN l ON l.id = e.a GROUP BY label) s USING (label) GROUP BY label""")
 def duplicate_groups_query(t, spark):
     """Exact and vector edges together, grouped over the whole table."""
-    _checkpoints(spark)
+    checkpoints(spark)
     return duplicate_groups(_edges(t))
 
 

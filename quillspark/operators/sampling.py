@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions import scalars as S
@@ -13,28 +15,20 @@ BORROW = {"easy": ("medium",), "medium": ("easy", "hard"), "hard": ("medium", "e
 
 
 def quotas(available: dict[str, int], n: int, shares: dict[str, float] | None = None) -> dict[str, int]:
-    """How many to take from each stratum: shares first, deficits borrowed from neighbours, then anything left; never negative."""
+    """How many to take from each stratum by its share, where that is short from its neighbours, and what they lack from those with most to spare."""
     shares = shares or SHARES
-    order = sorted(shares, key=lambda s: -shares[s])
-    want, left = {}, n
-    for s in order[:-1]:
-        want[s] = min(round(shares[s] * n), left)
-        left -= want[s]
-    want[order[-1]] = max(left, 0)
-    take = {s: min(want[s], available.get(s, 0)) for s in order}
-    spare = {s: c - take.get(s, 0) for s, c in available.items()}
-    for s in order:
-        lack = want[s] - take[s]
-        for near in BORROW.get(s, ()):
-            got = max(min(lack, spare.get(near, 0)), 0)
-            take[near] = take.get(near, 0) + got
-            spare[near] = spare.get(near, 0) - got
-            lack -= got
-    rest = n - sum(take.values())
-    for s in sorted(spare):
-        got = max(min(rest, spare[s]), 0)
-        take[s] = take.get(s, 0) + got
-        rest -= got
+    by_share = sorted(shares, key=shares.get, reverse=True)
+    want = {s: round(shares[s] * n) for s in by_share[:-1]}
+    want[by_share[-1]] = n - sum(want.values())
+    have = Counter(available)
+    take = Counter({s: max(0, min(w, have[s])) for s, w in want.items()})
+    served = Counter(take)
+    for short, near in ((s, t) for s in by_share for t in BORROW.get(s, ())):
+        lent = max(0, min(want[short] - served[short], have[near] - take[near], n - take.total()))
+        take[near] += lent
+        served[short] += lent
+    for s in sorted(have, key=lambda s: (take[s] - have[s], s)):
+        take[s] += max(0, min(n - take.total(), have[s] - take[s]))
     return {s: c for s, c in take.items() if c}
 
 
@@ -44,14 +38,18 @@ def shuffle_key(id_: Column, seed: int) -> Column:
 
 
 def stratified(pool: DataFrame, n: int, seed: int = 0, shares: dict[str, float] | None = None) -> DataFrame:
-    """``n`` rows of (id, difficulty), or all if there are fewer, by strata; a missing difficulty is easy."""
+    """``n`` rows of (id, difficulty), or all if there are fewer, by strata; a missing difficulty is easy.
+
+    One pass ranks the rows of each stratum, of which no task passes on more
+    than ``n``; the quotas are compared with these ranks.
+    """
     rows = pool.withColumn("stratum", F.coalesce("difficulty", F.lit("easy"))).withColumn("key", shuffle_key(F.col("id"), seed))
+    place = F.row_number().over(W.partitionBy("stratum").orderBy("key", "id"))
+    ranked = rows.withColumn("place", place).filter(F.col("place") <= n)
     available = {r["stratum"]: r["n"] for r in rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each stratum
-    parts = None
-    for s, take in quotas(available, n, shares).items():
-        part = rows.filter(F.col("stratum") == s).orderBy("key", "id").limit(take)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts if parts is not None else rows.limit(0)
+    take = quotas(available, n, shares)
+    most = F.lit(0) if not take else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in take.items() for x in pair]), F.col("stratum")), F.lit(0))
+    return ranked.filter(F.col("place") <= most).drop("place")
 
 
 @query("stratified_sample", """
@@ -79,16 +77,31 @@ def weighted_mode(t, spark):
     return t("part").select("p_partkey", F.when(u < 0.4, "mcq").when(u < 0.7, "fill_blank").otherwise("flashcard").alias("mode"))
 
 
+def distractors(questions: DataFrame, k: int, seed: int = 5) -> DataFrame:
+    """(exam, n, answer) -> with ``k`` answers of the exam's other questions, but not the own one, in a random order that is the same for all.
+
+    In that order an exam's first answers serve every question: ``k`` other
+    than its own lie among the first ``k`` of any two different answers more
+    than their repeats need, so each task passes on no more than ``k`` copies
+    of each of an exam's first ``k + 1`` answers, and no question meets all.
+    """
+    key = shuffle_key(F.col("answer"), seed)
+    counts = questions.groupBy("exam", "answer").agg(F.count(F.lit(1)).alias("c"))
+    first = counts.withColumn("place", F.row_number().over(W.partitionBy("exam").orderBy(key, "answer"))).filter(F.col("place") <= k + 1)
+    pool = first.groupBy("exam").agg(F.array_sort(F.collect_list(F.struct("place", "answer", F.least("c", F.lit(k)).cast("int").alias("c")))).alias("pool"))
+    own = F.col("answer")
+    others = F.flatten(F.transform(F.filter("pool", lambda x: x["answer"] != own), lambda x: F.array_repeat(x["answer"], x["c"])))
+    return questions.join(pool, "exam").withColumn("distractors", F.slice(others, 1, k)).drop("pool").filter(F.size("distractors") > 0)
+
+
 @query("mcq_distractors", """
 WITH q AS (SELECT l_orderkey AS exam, l_linenumber AS n, min(l_partkey)::VARCHAR AS answer FROM lineitem GROUP BY 1, 2),
 p AS (SELECT a.exam, a.n, b.answer, row_number() OVER (PARTITION BY a.exam, a.n ORDER BY md5('5:' || b.answer), b.answer) AS r FROM q a JOIN q b ON a.exam = b.exam AND a.answer != b.answer)
 SELECT exam, n, string_agg(answer, ',' ORDER BY r) AS distractors FROM p WHERE r <= 3 GROUP BY 1, 2""")
 def mcq_distractors(t, spark):
-    """Three other answers of the same exam."""
+    """Three other answers of the same exam; equal answers of other questions count as often as they are."""
     q = t("lineitem").groupBy(F.col("l_orderkey").alias("exam"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").cast("string").alias("answer"))
-    p = q.withColumnRenamed("answer", "own").join(q.select("exam", "answer"), "exam").filter("own != answer")
-    p = p.withColumn("r", F.row_number().over(W.partitionBy("exam", "n").orderBy(shuffle_key(F.col("answer"), 5), "answer"))).filter("r <= 3")
-    return p.groupBy("exam", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "answer"))), lambda x: x["answer"]), ",").alias("distractors"))
+    return distractors(q, 3).select("exam", "n", F.array_join("distractors", ",").alias("distractors"))
 
 
 def padded(options: Column, n: int = 3) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions import scalars as S
 from quillspark.plans.registry import query
+from quillspark.plans.staging import checkpoints, staged
 
 #: Vectors of the searched side held by a task at a time.
 BLOCK = 4096
@@ -74,7 +75,8 @@ def pairs_above(left: DataFrame, right: DataFrame, threshold: float, k: int | No
     def product(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         ids = table["id"].to_numpy()
-        vectors = np.array(table["v"].to_pylist(), np.float64)
+        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        vectors = flat.reshape(len(ids), -1)
         norms = np.sqrt((vectors**2).sum(1))
         unit = vectors / np.where(norms == 0, 1, norms)[:, None]
         a, b = side == 0, side == 1
@@ -145,12 +147,7 @@ WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS reach FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.reach = u.a)
 SELECT id, min(reach) AS label FROM r GROUP BY id""")
 def dup_components(t, spark):
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-ck-"))
+    checkpoints(spark)
     v = vectors(t)
     return clusters(pairs_above(v, v, 0.42, later_only=True))
 
@@ -208,6 +205,7 @@ def phrase_search(docs: DataFrame, phrase: str, limit: int = 20, doc_id: str = "
     d = docs.select(F.col(doc_id), F.concat(F.lit(" "), said, F.lit(" ")).alias("w"))
     length = F.when(F.col("w") == "  ", 0).otherwise((F.length("w") - F.length(F.replace("w", F.lit("  "), F.lit("")))) / 2 + 1).cast("int")
     d = d.select(F.col(doc_id), length.alias("len"), F.regexp_count("w", F.lit(f"(?= {'  '.join(words)} )")).alias("tf"))
+    d = staged(d)  # three numbers a document: no text is folded twice
     stats = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"), F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
