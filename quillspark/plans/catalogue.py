@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.operators import analytics, bank, dml, duplicates, filters, fuzzy, grading, quizzes, ranking, replies, rules, sampling, similarity, text, text_index, vector_index  # noqa: F401  (modules register their queries)
+from quillspark.operators import analytics, bank, dml, duplicates, filters, fuzzy, grading, planted, quizzes, ranking, replies, rules, sampling, similarity, table_functions, text, text_index, vector_index  # noqa: F401  (modules register their queries)
 from quillspark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 from quillspark.sources import docx  # noqa: F401
 from quillspark.streaming import live, progress  # noqa: F401
