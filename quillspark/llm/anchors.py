@@ -29,6 +29,8 @@ ROWS = 256
 LONG = 32
 #: Bytes of text whose anchors make one fragment, and anchors packed at a time in a task.
 FRAGMENT, PACK = 1 << 24, 1 << 20
+#: Segments of anchors known to be repeated in a row, places they go on by, and the bit of a number of windows that marks an anchor whose segments went.
+DIRECT, SPREAD, TOLD = 1 << 16, 1 << 20, 1 << 31
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -173,12 +175,16 @@ def binaries(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def repeated_spans(docs: DataFrame, symbols: Callable[[list[bytes]], list[np.ndarray]], gram: int, window: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, symbols: Callable[[list[bytes]], list[np.ndarray]], gram: int, window: int, pack: int = PACK) -> DataFrame:
     """(rid, body) -> (rid, spans): the segments whose anchor occurs more than once anywhere.
 
     The range of anchors is cut into fragments of about FRAGMENT bytes of
     text each.  A task sends each fragment its anchors, packed; the fragment
-    tells which occur more than once.
+    tells which occur more than once.  What occurs twice among the anchors
+    that a task packs at a time is known to be repeated there and then: its
+    segments go on by a place that has nothing to do with the anchor, and the
+    fragment is sent one mark.  So an anchor that is in every document brings
+    a fragment one entry for each pack, not one for each document.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("body").cast("long")), F.lit(0))).first()[0]
     cuts = max(spread(docs), total // FRAGMENT + 1)
@@ -186,15 +192,29 @@ def repeated_spans(docs: DataFrame, symbols: Callable[[list[bytes]], list[np.nda
     types = {"fragment": pa.int32(), "keys": pa.binary(), "owner": pa.binary(), "rids": pa.binary(), "s": pa.binary(), "n": pa.binary()}
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-            key, rid, s, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(key)
-            key, rid, s, n = key[order], rid[order], s[order], n[order]
-            at, out = np.append(np.searchsorted(key, edges), len(key)), []
+        def packs(key, rid, s, n, at, first) -> list[tuple]:
+            out = []
             for k, (a, e) in enumerate(zip(at, at[1:], strict=False)):
                 if a < e:
                     rids, owner = np.unique(rid[a:e], return_inverse=True)
-                    out.append((k, planes(np.diff(key[a:e], prepend=np.uint64(0))), planes(owner.astype(np.uint32)), rids.tobytes(), planes(s[a:e]), planes(n[a:e])))
+                    out.append((first + k, planes(np.diff(key[a:e], prepend=np.uint64(0))), planes(owner.astype(np.uint32)), rids.tobytes(), planes(s[a:e]), planes(n[a:e])))
+            return out
+
+        def rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            key, rid, s, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, rid, s, n = key[order], rid[order], s[order], n[order]
+            same = key[1:] == key[:-1]
+            known = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            head = known & ~np.concatenate([[False], same])
+            # A head stays with its fragment, marked as met twice and as told already; the rest of a known anchor goes on.
+            n[head] |= np.uint32(TOLD)
+            out = packs(*(c[~known | head] for c in (key, rid, s, n)), np.append(np.searchsorted(key[~known | head], edges), int((~known | head).sum())), 0)
+            if known.any():
+                gone = np.flatnonzero(known)
+                n[head] &= np.uint32(~TOLD & 0xFFFFFFFF)
+                parts = np.append(np.arange(0, len(gone), DIRECT), len(gone))
+                out += packs(*(c[gone] for c in (key, rid, s, n)), parts, cuts + int(rid[gone[0]] % SPREAD))
             for k in range(0, len(out), 64):
                 yield batch(dict(zip(types, zip(*out[k : k + 64], strict=True), strict=True)), types)
 
@@ -203,7 +223,7 @@ def repeated_spans(docs: DataFrame, symbols: Callable[[list[bytes]], list[np.nda
             doc, s, n, key, twice = segments(symbols([b for _, b in lot]), gram, window)
             held.append((key, np.array([r for r, _ in lot], np.int64)[doc], s.astype(np.uint32), (n.astype(np.uint32) << np.uint32(1)) | twice.astype(np.uint32)))
             size += len(key)
-            if size >= PACK:
+            if size >= pack:
                 yield from rows(held)
                 held, size = [], 0
         if size:
@@ -219,13 +239,26 @@ def repeated_spans(docs: DataFrame, symbols: Callable[[list[bytes]], list[np.nda
         same = key[order][1:] == key[order][:-1]
         often = np.zeros(len(key), bool)
         often[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        told_already = (n & np.uint32(TOLD)) != 0
+        # A head that is marked makes the others of its anchor repeated, but is itself known.
         often |= (n & np.uint32(1)).astype(bool)
+        often &= ~told_already
+        n = n & np.uint32(~TOLD & 0xFFFFFFFF)
+        return spans_of(rid[often], s[often], n[often], key[often])
+
+    def spans_of(rid, s, n, key) -> pa.RecordBatch:
         # First window, number of windows and the mark travel in one long.
-        return batch({"rid": rid[often], "at": (s[often].astype(np.int64) << 32) | n[often], "key": key[often].view(np.int64)}, told)
+        return batch({"rid": rid, "at": (s.astype(np.int64) << 32) | n, "key": key.view(np.int64)}, told)
+
+    def unpacked(p: tuple) -> tuple:
+        return np.frombuffer(p[3], np.int64)[unplaned(p[2], np.uint32)], unplaned(p[4], np.uint32), unplaned(p[5], np.uint32), np.cumsum(unplaned(p[1], np.uint64), dtype=np.uint64)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         for row in rows_of(batches):
+            if row[0] >= cuts:
+                yield spans_of(*unpacked(row))
+                continue
             if parts and row[0] != parts[0][0]:
                 yield met(parts)
                 parts = []

@@ -455,6 +455,27 @@ def test_passages_against_all_windows(docs, share):
         assert got[k].kept == b" ".join(x for q, x in enumerate(w) if q not in gone).decode()
 
 
+def test_hot_anchors_leave_their_fragment(spark):
+    """However many anchors a task packs at a time, the same segments are repeated; a line that all share brings a fragment a few marks."""
+    from quillspark.llm.anchors import repeated_spans, word_codes
+
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(5000)}"
+    licence = " ".join(word() for _ in range(30))
+    rows = [(k, bytearray(f"{' '.join(word() for _ in range(r.randint(0, 40)))} {licence} {' '.join(word() for _ in range(5))}".encode())) for k in range(300)]
+    rows += [(1000 + k, bytearray((" ".join(["again and"] * 20) + f" {k}").encode())) for k in range(3)] + [(2000 + k, bytearray(" ".join(word() for _ in range(50)).encode())) for k in range(50)]
+    docs = spark.createDataFrame(rows, "rid long, body binary").repartition(3)
+    found = {}
+    for pack in (1 << 20, 400, 1):
+        got = repeated_spans(docs, word_codes, 5, 13, pack=pack)
+        found[pack] = sorted((x.rid, s.s, s.n, s.key, s.twice) for x in got.collect() for s in x.spans)
+    assert found[1 << 20] == found[400] == found[1] and len({x[0] for x in found[1]}) >= 303
+    codes = {k: word_codes([bytes(b)])[0] for k, b in rows}
+    seen = Counter(tuple(c[i : i + 13]) for c in codes.values() for i in range(len(c) - 12))
+    covered = {(rid, i) for rid, s, n, *_ in found[1] for i in range(s, s + n)}
+    assert covered >= {(k, i) for k, c in codes.items() for i in range(len(c) - 12) if seen[tuple(c[i : i + 13])] > 1}
+
+
 def test_nodes_of_a_suffix_tree():
     """Every run of suffixes that share so many words is one node, and no two nodes share them."""
     from quillspark.llm.passage_dedup import common_prefixes, deep_nodes
