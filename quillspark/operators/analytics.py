@@ -125,7 +125,7 @@ def completion_rate(t, spark):
     """Different completers of the newest assignment over active members; may exceed 100."""
     latest = t("orders").agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("o_orderpriority"))
     done = t("orders").filter("o_orderstatus = 'F'").join(F.broadcast(latest), "o_orderpriority", "left_semi").agg(F.count_distinct("o_custkey").alias("done"))
-    return done.crossJoin(t("customer").filter("c_acctbal > 0").agg(F.count(F.lit(1)).alias("members"))).select(S.percent(F.col("done"), F.col("members")).alias("rate"))
+    return done.crossJoin(F.broadcast(t("customer").filter("c_acctbal > 0").agg(F.count(F.lit(1)).alias("members")))).select(S.percent(F.col("done"), F.col("members")).alias("rate"))
 
 
 BINS = (("0-20", 20), ("21-40", 40), ("41-60", 60), ("61-80", 80), ("81-100", 100))
@@ -205,7 +205,7 @@ SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM customer
 def admin_counters(t, spark):
     users = t("customer").agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("c_acctbal") > 0).alias("active"))
     per = t("documents").groupBy(F.md5("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    return users.crossJoin(per.agg(F.sum("n").alias("questions"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicates")))
+    return users.crossJoin(F.broadcast(per.agg(F.sum("n").alias("questions"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicates"))))
 
 
 @query("curriculum_tree", """
@@ -279,7 +279,7 @@ def grouped_by_difficulty(t, spark):
 def page_with_total(t, spark):
     """A page and the number of all rows, counted by aggregation, not in one window."""
     rows = t("part").filter("p_size = 5").select("p_partkey")
-    return rows.orderBy("p_partkey").offset(10).limit(10).crossJoin(rows.agg(F.count(F.lit(1)).alias("total")))
+    return rows.orderBy("p_partkey").offset(10).limit(10).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))
 
 
 @query("topic_ranking_stable", "SELECT o_orderkey, try_cast(regexp_extract(o_orderpriority, '([0-9]+)', 1) AS INT) AS k FROM orders ORDER BY k, o_orderkey")
