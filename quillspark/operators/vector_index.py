@@ -125,11 +125,42 @@ class VectorIndex:
             found = found.unionByName(more)
         return _best(found, k)
 
-    def _compared(self, asked: DataFrame, rows: DataFrame, k: int, least: float) -> DataFrame:
-        """(a, b, score): the best ``k`` of each query in each block of a cell, then of all."""
+    def within(self, queries: DataFrame, least: float, later_only: bool = False) -> DataFrame:
+        """(a, b, score): every stored vector with cosine ``least`` or more to a query (id, v), itself aside; only larger ids with ``later_only``.
+
+        A query visits the cells whose widest angle reaches it: the rest cannot
+        hold such a vector.  Vectors in groups visit a few cells, vectors
+        without any structure all of them.
+        """
+        known = self.spark.createDataFrame([(c, float(a)) for c, a in enumerate(self.angles) if a >= 0], "cell int, widest double")
+        asked = _probed(queries.filter("v is not null"), self.centroids, 1, True).join(F.broadcast(known), "cell")
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "s")))
+        asked = asked.filter(angle - F.col("widest") <= math.acos(max(-1.0, min(1.0, least))) + 1e-9).select("cell", "id", "v")
+
+        def product(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = []
+            q, x, ids, stored = _unit(left["v"]), _unit(right["v"]), left["id"].to_numpy(), right["id"].to_numpy()
+            for at in range(0, len(q) if len(x) else 0, 1024):
+                part = ids[at : at + 1024, None]
+                score = q[at : at + 1024] @ x.T
+                keep = (score >= least) & ((stored[None, :] > part) if later_only else (stored[None, :] != part))
+                i, j = np.nonzero(keep & q[at : at + 1024].any(1)[:, None] & x.any(1)[None, :])
+                out.append(pa.table({"a": ids[at + i], "b": stored[j], "score": score[i, j]}))
+            return pa.concat_tables(out) if out else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+        asked, dealt = self._dealt(asked, self.rows)
+        return asked.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInArrow(product, "a long, b long, score double")
+
+    @staticmethod
+    def _dealt(asked: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Stored rows in blocks of their cell, and queries for each block of the cells they visit."""
         sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         dealt = rows.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
-        asked = asked.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
+        return asked.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v"), dealt
+
+    def _compared(self, asked: DataFrame, rows: DataFrame, k: int, least: float) -> DataFrame:
+        """(a, b, score): the best ``k`` of each query in each block of a cell, then of all."""
+        asked, dealt = self._dealt(asked, rows)
 
         def product(left: pa.Table, right: pa.Table) -> pa.Table:
             out = {"a": [], "b": [], "score": []}
@@ -239,3 +270,10 @@ def ann_topk(t, spark):
     """The five nearest in the probed cells: nearly all of ``index_topk``'s, as tests measure."""
     v = vectors(t)
     return build_index(v, k=5).search(v.filter("id % 50 = 0"), 5).select("a", "b", F.round("score", 4).alias("score"))
+
+
+@query("pairs_within", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= 0.4")
+def pairs_within(t, spark):
+    """All pairs alike by 0.4 or more, cell by cell."""
+    v = vectors(t)
+    return build_index(v).within(v, 0.4, later_only=True).select("a", "b", F.round("score", 4).alias("score"))

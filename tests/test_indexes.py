@@ -43,6 +43,17 @@ def test_recall_of_probed_cells(spark):
         assert hits >= least * 5 * len(queries)
 
 
+def test_pairs_within_reach(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 12))
+    x = centres[rng.integers(0, 8, 400)] + 0.2 * rng.normal(size=(400, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)] + [(900, [0.0] * 12), (901, None)], "id long, v array<double>")
+    s = x @ x.T
+    got = {(r.a, r.b) for r in vector_index.build_index(rows).within(rows, 0.97, later_only=True).collect()}
+    assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if s[i, j] >= 0.97} and got
+
+
 def test_index_edges(spark, tmp_path):
     schema = "id long, v array<float>, kind string"
     rows = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [1.0, 0.1], "y"), (3, [0.0, 0.0], "x"), (4, None, "x"), (5, [-1.0, 0.0], "y")], schema)
