@@ -6,8 +6,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.operators.text import chunks, split_questions
+from quillspark.functions import scalars as S
+from quillspark.functions.omml import latex_to_omml
+from quillspark.operators.replies import json_salvage, json_truncated
+from quillspark.operators.text import chunks, latex_to_text, seq_ratio, split_questions
 from quillspark.plans.registry import query
+from quillspark.sources.docx import docx_text
 
 _CHOICE = re.compile(r"\s*([A-H])\s*[.):\]]\s*(.*)$")
 _MARK = re.compile(r"(?mi)^[ \t]*(?:câu|bài|question)[ \t]*(\d+)[ \t]*[.:)]")
@@ -61,10 +65,21 @@ FUNCTIONS = {
 }
 
 
+SCALARS = {"seq_ratio": seq_ratio, "json_salvage": json_salvage, "json_truncated": json_truncated, "latex_to_text": latex_to_text, "latex_to_omml": latex_to_omml, "docx_text": docx_text}
+
+
 def register(spark: SparkSession) -> None:
-    """Makes the functions known to the session's SQL."""
+    """Makes the functions known to the session's SQL.
+
+    ``ascii_fold`` is an SQL expression and stays in the engine; the others
+    take batches.
+    """
     for name, (rows, schema) in FUNCTIONS.items():
         spark.udtf.register(name, F.udtf(rows, returnType=schema))
+    for name, f in SCALARS.items():
+        spark.udf.register(name, f)
+    marked, plain = "".join(S._BASES.values()), "".join(base * len(v) for base, v in S._BASES.items())
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ascii_fold(s STRING) RETURNS STRING RETURN translate(s, '{marked}{marked.upper()}', '{plain}{plain.upper()}')")
 
 
 def _exams(t) -> DataFrame:
@@ -111,3 +126,14 @@ def udtf_chunks(t, spark):
     t("documents").select("doc_id", "text").createOrReplaceTempView("quillspark_texts")
     rows = spark.sql("SELECT doc_id, c.pos, c.chunk FROM quillspark_texts, LATERAL chunk_text(text, 400) c")
     return rows.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda x: x["chunk"]), "")).alias("joined"))
+
+
+@query("sql_functions", """
+SELECT c_custkey, 'Tran ' || c_custkey AS folded, c_mktsegment = c_mktsegment AS same, '[{"question": "' || c_mktsegment || '"}]' AS items, '(' || c_custkey || ')/(2)' AS plain FROM customer""")
+def sql_functions(t, spark):
+    """The scalar functions from SQL, over every customer."""
+    register(spark)
+    t("customer").createOrReplaceTempView("quillspark_customers")
+    return spark.sql("""
+SELECT c_custkey, ascii_fold('Trần ' || c_custkey) AS folded, seq_ratio(c_mktsegment, lower(c_mktsegment)) = 1.0 AS same,
+       json_salvage('Reply: [{"question": "' || c_mktsegment || '"},]') AS items, latex_to_text('\\\\frac{' || c_custkey || '}{2}') AS plain FROM quillspark_customers""")

@@ -85,3 +85,22 @@ def test_packages_round_trip(spark, tmp_path):
 def test_no_package_is_null():
     assert docx.document_text(b"not a zip") is None and docx.document_text(None) is None
     assert docx.document_text(docx.packed([])) == ""
+
+
+def test_tables_are_made_and_widened(spark, tmp_path):
+    from quillspark.sources import tables
+
+    path = f"{tmp_path}/t"
+    assert tables.ensured(spark, path, "a int, b string") == ["a", "b"]
+    spark.createDataFrame([(1, "x")], "a int, b string").write.mode("append").parquet(path)
+    assert tables.ensured(spark, path, "a int, c double") == ["c"] and tables.ensured(spark, path, "c double, b string") == []
+    assert [tuple(r) for r in tables.table(spark, path).select("a", "b", "c").collect()] == [(1, "x", None)]
+    with pytest.raises(ValueError, match="column a is int, not bigint"):
+        tables.ensured(spark, path, "a bigint")
+    path = f"{tmp_path}/v"
+    tables.ensured(spark, path, "question_id bigint, embedding array<float>")
+    rows = spark.createDataFrame([(1, "one"), (2, " "), (3, None)], "question_id bigint, text string")
+    one = lambda x: F.array(F.length(x).cast("float"))
+    assert [tuple(r) for r in tables.materialised(spark, path, rows, one, dims=2).collect()] == [(1, [3.0, 0.0])]
+    again = spark.createDataFrame([(1, "longer"), (4, "four")], rows.schema)
+    assert sorted(tuple(r) for r in tables.materialised(spark, path, again, one, dims=2).collect()) == [(1, [3.0, 0.0]), (4, [4.0, 0.0])]
