@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions import scalars as S
 from quillspark.plans.registry import query
-from quillspark.plans.staging import checkpoints, staged
+from quillspark.plans.staging import dropped, staged
 
-#: Vectors of the searched side held by a task at a time.
-BLOCK = 4096
+#: Vectors of the searched side held by a task at a time, and edges that one task may hold (16 bytes each).
+BLOCK, HELD_EDGES = 4096, 1_000_000
 
 
 @query("content_hash_groups", r"""
@@ -126,19 +126,56 @@ def knn_filtered(t, spark):
     return rows.filter("s >= 0.05").orderBy(F.desc("s"), "vec_id").limit(5).select(F.col("vec_id").alias("id"), F.round("s", 4).alias("score"))
 
 
-def clusters(edges: DataFrame) -> DataFrame:
-    """(a, b) edges -> (id, label): the least id that each one reaches, by label rounds until nothing moves."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    labels = both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
+def _star(edges: DataFrame, larger: bool) -> DataFrame:
+    """Ties the larger neighbours of every vertex to its least one, or else the vertex and all its smaller ones."""
+    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    near = down.union(down.select("v", "u")) if larger else down
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    tied = near.join(least, "u")
+    out = tied.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if larger else tied.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return out.filter("a != b").distinct()
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(id, label) of edges that one task can hold."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+        ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y, label = place[: len(a)], place[len(a) :], np.arange(len(ids))
+        while True:
+            low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            if (low == high).all():
+                break
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label = label[label]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["id", "label"])
+
+    return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).coalesce(1).mapInArrow(run, "id long, label long")
+
+
+def clusters(edges: DataFrame, held: int = HELD_EDGES) -> DataFrame:
+    """(a, b) edges -> (id, label): the least id that each one reaches.
+
+    Up to ``held`` edges, counted first, are settled in one task.  More are
+    contracted to stars in rounds, about the logarithm of the longest chain;
+    a round is written before the next, which takes its place.
+    """
+    edges = staged(edges.select("a", "b").filter("a != b").distinct())
+    if edges.limit(held + 1).count() <= held:
+        return staged(_in_one_task(edges))
     before = None
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("low"))
-        labels = labels.join(near, "id").select("id", F.least("label", "low").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        labels = labels.join(jump, "label").select("id", F.col("up").alias("label")).checkpoint()
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        after = staged(_star(_star(edges, True), False))
+        dropped(edges)
+        edges = after
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return labels
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
         before = now
 
 
@@ -147,7 +184,6 @@ WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS reach FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.reach = u.a)
 SELECT id, min(reach) AS label FROM r GROUP BY id""")
 def dup_components(t, spark):
-    checkpoints(spark)
     v = vectors(t)
     return clusters(pairs_above(v, v, 0.42, later_only=True))
 

@@ -48,9 +48,3 @@ def dropped(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def checkpoints(spark: SparkSession) -> None:
-    """Gives ``checkpoint()`` a folder if it has none."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(fresh_path(spark, "checkpoints"))

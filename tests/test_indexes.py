@@ -122,9 +122,6 @@ def test_votes(spark):
 
 def test_groups_after_each_batch(spark):
     """However edges come, the groups are those of all edges so far."""
-    from quillspark.plans.staging import checkpoints
-
-    checkpoints(spark)
     rng = np.random.default_rng(3)
     labels, seen = spark.createDataFrame([], "id long, label long"), set()
     for _ in range(4):
@@ -139,6 +136,21 @@ def test_groups_after_each_batch(spark):
     assert {r.id for r in duplicates.regrouped(labels, spark.createDataFrame([(0, 0)], "a long, b long")).collect()} == set(want)
 
 
+@pytest.mark.parametrize("held", [1_000_000, 0])
+def test_clusters_in_one_task_and_in_rounds(spark, held):
+    """A chain, a star, a ring, and random edges: both ways give the least id that each reaches."""
+    rng = np.random.default_rng(8)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(200, 230)] + [(300, 301), (301, 302), (302, 300)] + [(5, 5), (301, 300)] + [tuple(map(int, e)) for e in rng.integers(1000, 1060, (40, 2))]
+    want = {k: k for a, b in edges if a != b for k in (a, b)}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    got = [tuple(r) for r in similarity.clusters(spark.createDataFrame(edges, "a long, b long"), held=held).collect()]
+    assert dict(got) == want and len(got) == len(want)
+    assert similarity.clusters(spark.createDataFrame([], "a long, b long"), held=held).count() == 0
+
+
 @pytest.mark.parametrize("keys", [["k"], ["k", "j"]])
 def test_report_of_duplicates(spark, keys):
     rows = spark.createDataFrame([(1, 5, "x", 1), (2, 3, "x", 1), (3, 4, "y", 1), (4, 9, None, 1), (5, 1, None, 1), (6, 2, "z", 1)], "id long, created int, k string, j int")
