@@ -216,7 +216,7 @@ def exam_blocks(questions: DataFrame, answers: bool = True) -> DataFrame:
 
 
 @query("docx_papers", """
-WITH q AS (SELECT l_orderkey AS exam, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity::INT % 4, l_linenumber, l_partkey) AS n, ['NB', 'TH', 'VD', 'VDC'][l_quantity::INT % 4 + 1] AS d, l_quantity::INT % 4 AS level, l_partkey, l_linenumber, l_returnflag FROM lineitem),
+WITH q AS (SELECT l_orderkey AS exam, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity::INT % 4, l_linenumber, l_partkey, l_returnflag) AS n, ['NB', 'TH', 'VD', 'VDC'][l_quantity::INT % 4 + 1] AS d, l_quantity::INT % 4 AS level, l_partkey, l_linenumber, l_returnflag FROM lineitem),
 p AS (SELECT exam, string_agg(CASE WHEN first THEN ['Nhận biết', 'Thông hiểu', 'Vận dụng', 'Vận dụng cao'][level + 1] || chr(10) || chr(10) ELSE '' END || 'Câu ' || n || '. Part ' || l_partkey || ' over x' || l_linenumber, chr(10) || chr(10) ORDER BY n) AS body,
  string_agg(n || ' | ' || l_returnflag, chr(10) ORDER BY n) AS answers FROM (SELECT *, row_number() OVER (PARTITION BY exam, level ORDER BY n) = 1 AS first FROM q) GROUP BY exam)
 SELECT exam::VARCHAR AS name, body || chr(10) || chr(10) || answers AS text FROM p""")

@@ -149,8 +149,9 @@ def one_time_uses(actions: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFra
     """(token, seq, action, user, job, at) -> (token, seq, outcome, user) of each use.
 
     A token is good for one use, within its time and for its own job; any use
-    takes it out, and issuing it again begins anew.  A stream keeps state, a
-    batch looks at the row before.
+    takes it out, and issuing it again begins anew.  A stream keeps state and
+    the time, so it goes on until it is stopped; a batch looks at the row
+    before.
     """
     rows = actions.select("token", "seq", "action", F.col("user").cast("long").alias("user"), F.col("job").cast("long").alias("job"), F.col("at").cast("timestamp").alias("at"))
     if actions.isStreaming:

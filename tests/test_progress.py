@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,9 +32,14 @@ def streamed(spark, batches: list[list[tuple]], schema: str, path: str):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{path}/in")
 
 
-def results(stream, path: str, name: str) -> list:
+def results(stream, path: str, name: str, rows: int | None = None) -> list:
+    """What a stream gives until it ends, or, as one that keeps time itself never does, until it has read so many rows."""
     q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(240)
+    until = time.time() + 120
+    while q.isActive and time.time() < until and (rows is None or sum(p.numInputRows for p in q.recentProgress) < rows):
+        time.sleep(0.2)
+    q.stop()
+    assert time.time() < until
     return stream.sparkSession.table(name).collect()
 
 
@@ -69,7 +75,7 @@ def test_tokens_as_a_stream_and_as_a_batch(rocks, tmp_path):
         want.add((token, seq, outcome, x[0] if outcome == "accepted" else None))
     assert {tuple(x) for x in progress.one_time_uses(rocks.createDataFrame(rows, schema)).collect()} == want
     stream = streamed(rocks, [rows[:100], rows[100:200], rows[200:]], schema, str(tmp_path))
-    assert {tuple(x) for x in results(progress.one_time_uses(stream), str(tmp_path), "tokens")} == want
+    assert {tuple(x) for x in results(progress.one_time_uses(stream), str(tmp_path), "tokens", len(rows))} == want
     assert {x[2] for x in want} == {"unknown", "expired", "other_job", "accepted"}
 
 
