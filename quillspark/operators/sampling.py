@@ -122,13 +122,22 @@ def order_game(steps: Column, seed: Column) -> Column:
     return F.struct(F.transform(mixed, lambda x: x["s"]).alias("shuffled"), F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda k: (F.array_position(F.transform(mixed, lambda x: x["i"]), k) - 1).cast("int")).alias("places"))
 
 
+def _number_text(x: Column) -> Column:
+    """A double rounded to two places, as DuckDB's SQL rounds and writes it: half of the hundredfold away from zero, a sign on a zero that was negative, exponents from 1e16 on only."""
+    r = F.when(F.abs(x) < 1e300, F.round(x * 100) / 100).otherwise(x)
+    plain = F.regexp_replace(F.abs(r).cast("decimal(20,2)").cast("string"), "0$", "")
+    long = F.regexp_replace(F.regexp_replace(F.abs(r).cast("string"), "(?:\\.0)?E", "e+"), "Infinity", "inf")
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.when(F.abs(x) < 1e16, plain).otherwise(long))
+
+
 def false_answer(answer: Column) -> Column:
     """A wrong variant: the first number changed, or a negation put on or off."""
-    number = F.regexp_extract(answer, "-?\\d+(?:\\.\\d+)?", 0)
+    number = F.regexp_extract(answer, "-?[0-9]+(?:\\.[0-9]+)?", 0)
     whole = number.try_cast("bigint")
-    other = F.when(number.contains("."), F.round(number.try_cast("double") + 1.5, 2).cast("string")).when(whole.isNull(), F.when(number.startswith("-"), F.substring(number, 2, 1 << 20)).otherwise(F.concat(F.lit("-"), number))).when(whole > 0, (-whole).cast("string")).otherwise((whole + 2).cast("string"))
-    negated = F.when(F.lower(answer).startswith("không "), F.substring(answer, 7, 1 << 20)).otherwise(F.concat(F.lit("Không "), answer))
-    return F.when(number == "", negated).otherwise(F.concat(F.split_part(answer, number, F.lit(1)), other, F.substring(answer, F.instr(answer, number) + F.length(number), F.lit(1 << 20))))
+    rest = F.lit((1 << 31) - 1)
+    other = F.when(number.contains("."), _number_text(number.try_cast("double") + 1.5)).when(whole.isNull(), F.when(number.startswith("-"), F.substring(number, F.lit(2), rest)).otherwise(F.concat(F.lit("-"), number))).when(whole > 0, (-whole).cast("string")).otherwise((whole + 2).cast("string"))
+    negated = F.when(F.lower(answer).startswith("không "), F.substring(answer, F.lit(7), rest)).otherwise(F.concat(F.lit("Không "), answer))
+    return F.when(number == "", negated).otherwise(F.concat(F.split_part(answer, number, F.lit(1)), other, F.substring(answer, F.instr(answer, number) + F.length(number), rest)))
 
 
 @query("drag_drop_batches", "SELECT p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 4 AS batch FROM part")

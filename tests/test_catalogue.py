@@ -162,6 +162,17 @@ def test_false_answers_of_all_documents(spark, larger):
     assert got == _sorted(want)
 
 
+def test_false_answers_are_written_as_in_sql(spark):
+    """Halves that a double only nearly holds, zeros with a sign, long numbers, texts of more than a million characters."""
+    said = ["18.205", "35.105", "74.115", "1.005", "-1.504", "-1.5", "-7.005", "x 12345678.5 y", "-99999999.125", "1234567890123456.75", "99999999999999999.5", "2.50", "0.0", "-0", "9" * 30, "1." + "5" * 60, "không " + "a" * 1_100_000, "7 " + "b" * 1_100_000]
+    rows = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r.doc_id: r.wrong for r in rows.select("doc_id", sampling.false_answer(text.F.col("text")).alias("wrong")).collect()}
+    c = duckdb.connect()
+    c.execute("create table documents(doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", list(enumerate(said)))
+    assert got == dict(c.sql(catalogue.ORACLE_SQL["false_answers"]).fetchall())
+
+
 def test_conversations_as_replies(spark, larger):
     turns = _rows(larger, "conversations", "conv_id, turn, role, text")
     kind = lambda s: next((v for v, ws in text.ERRORS.items() for w in ws if (w[1:] in (s or "") if w[0] == "=" else w in (s or "").lower())), None)
