@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from quillspark.operators import similarity
 from quillspark.operators.similarity import _COS, vectors
 from quillspark.plans.registry import query
 from quillspark.plans.staging import fresh_path, staged
@@ -24,6 +26,8 @@ from quillspark.plans.staging import fresh_path, staged
 SAMPLE, CELLS = 20_000, 4096
 #: Vectors of a cell compared by one task at a time; larger cells are split.
 BLOCK = 4096
+#: Queries times cells that are ranked at a time.
+PAIRS = 100_000
 #: Share of the true neighbours that the probed cells must hold, as measured on the sample.
 RECALL = 0.95
 ROUNDS, SEED = 12, 11
@@ -132,24 +136,55 @@ class VectorIndex:
         hold such a vector.  Vectors in groups visit a few cells, vectors
         without any structure all of them.
         """
-        known = self.spark.createDataFrame([(c, float(a)) for c, a in enumerate(self.angles) if a >= 0], "cell int, widest double")
-        asked = _probed(queries.filter("v is not null"), self.centroids, 1, True).join(F.broadcast(known), "cell")
-        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "s")))
-        asked = asked.filter(angle - F.col("widest") <= math.acos(max(-1.0, min(1.0, least))) + 1e-9).select("cell", "id", "v")
-
-        def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        # Cells side by side in blocks of up to so many vectors; a larger cell has several of its own.
+        counts = np.zeros(len(self.centroids), np.int64)
+        for cell, n in self.rows.groupBy("cell").count().collect():  # one row a cell
+            counts[cell] = n
+        n_asked = queries.count()
+        size = max(2048, min(similarity.BLOCK, max(n_asked, int(counts.sum())) // 16))
+        first, last = np.zeros(len(counts), np.int64), np.full(len(counts), -1)
+        block = held = 0
+        for cell in np.flatnonzero(counts):
+            if held and held + counts[cell] > size:
+                block, held = block + 1, 0
+            held += counts[cell]
+            first[cell], last[cell] = block, block + (held - 1) // size
+            block, held = last[cell], (held if last[cell] == block else size)
+        reach = math.acos(max(-1.0, min(1.0, least))) + 1e-9
+        told = self.spark.sparkContext.broadcast((self.centroids, self.angles, first, last))
+
+        @F.pandas_udf("array<int>")
+        def visited(v):
+            import pandas as pd
+
+            centroids, widest, first, last = told.value
             out = []
-            q, x, ids, stored = _unit(left["v"]), _unit(right["v"]), left["id"].to_numpy(), right["id"].to_numpy()
-            for at in range(0, len(q) if len(x) else 0, 1024):
-                part = ids[at : at + 1024, None]
-                score = q[at : at + 1024] @ x.T
-                keep = (score >= least) & ((stored[None, :] > part) if later_only else (stored[None, :] != part))
-                i, j = np.nonzero(keep & q[at : at + 1024].any(1)[:, None] & x.any(1)[None, :])
-                out.append(pa.table({"a": ids[at + i], "b": stored[j], "score": score[i, j]}))
-            return pa.concat_tables(out) if out else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-
-        asked, dealt = self._dealt(asked, self.rows)
-        return asked.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInArrow(product, "a long, b long, score double")
+            for at in range(0, len(v), 1024):
+                near = np.arccos(np.clip(_unit(pa.array(v.iloc[at : at + 1024].tolist(), pa.list_(pa.float64()))) @ centroids.T, -1, 1)) - widest <= reach
+                # A block is visited when one of its cells is: cells lie side by side, so counts of the first and behind the last are enough.
+                steps = np.zeros((len(near), int(last.max()) + 2), np.int32)
+                rows, cells = np.nonzero(near & (last >= first))
+                np.add.at(steps, (rows, first[cells]), 1)
+                np.add.at(steps, (rows, last[cells] + 1), -1)
+                hit = np.cumsum(steps, axis=1) > 0
+                out += [np.flatnonzero(h).astype(np.int32) for h in hit]
+            return pd.Series(out, dtype=object)
+
+        parts = max(1, -(-n_asked // size))
+        sizes = self.spark.createDataFrame([(int(c), int(first[c]), int(last[c] - first[c]) + 1) for c in np.flatnonzero(counts)], "cell int, first int, blocks int")
+        mine = queries.filter("v is not null").select("id", "v", F.explode(visited("v")).alias("j")).withColumn("i", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("side", F.lit(0))
+        # One row a cell: at most CELLS.
+        stored = self.rows.join(F.broadcast(sizes), "cell").select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"), F.lit(1).alias("side"))
+
+        def product(of_a, of_b, same):
+            a, b, x, y = similarity._ids(of_a), similarity._ids(of_b), similarity._unit(of_a), similarity._unit(of_b)
+            x, a = x[some := x.any(1)], a[some]
+            y, b = y[some := y.any(1)], b[some]
+            for i, j, score in similarity._alike(x, y, least):
+                keep = b[j] > a[i] if later_only else b[j] != a[i]
+                yield pa.RecordBatch.from_arrays([pa.array(a[i[keep]]), pa.array(b[j[keep]]), pa.array(score[keep])], names=["a", "b", "score"])
+
+        return similarity.met(mine.unionByName(stored), product, "a long, b long, score double")
 
     @staticmethod
     def _dealt(asked: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -215,19 +250,20 @@ def _in_cells(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
 def _probed(queries: DataFrame, centroids: np.ndarray, probes: int, every: bool) -> DataFrame:
     """(cell, id, v, s, near) for each query and its nearest cells, or with ``every`` all: similarity to the centroid, and whether the cell is among the nearest."""
     told = queries.sparkSession.sparkContext.broadcast(centroids)
-
-    @F.pandas_udf("array<struct<cell int, s double, near boolean>>")
-    def ranked(v):
-        import pandas as pd
-
-        out = []
-        for at in range(0, len(v), 256):
-            s = _unit(pa.array(v.iloc[at : at + 256].tolist(), pa.list_(pa.float64()))) @ told.value.T
-            order = np.argsort(-s, axis=1, kind="stable")[:, : None if every else probes]
-            out += [[{"cell": int(c), "s": float(row[c]), "near": k < probes} for k, c in enumerate(cells)] for row, cells in zip(s, order, strict=True)]
-        return pd.Series(out)
-
-    return queries.select("id", "v", F.explode(ranked("v")).alias("c")).select("c.cell", "id", "v", "c.s", "c.near")
+    step = max(1, PAIRS // len(centroids))
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                s = _unit(part.column("v")) @ told.value.T
+                order = np.argsort(-s, axis=1, kind="stable")[:, : None if every else probes]
+                row = np.repeat(np.arange(len(order)), order.shape[1])
+                near = np.tile(np.arange(order.shape[1]) < probes, len(order))
+                yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int32)), part.column("id").take(row), part.column("v").take(row), pa.array(np.take_along_axis(s, order, axis=1).ravel()), pa.array(near)], names=["cell", "id", "v", "s", "near"])
+
+    rows = queries.select(F.col("id").cast("long").alias("id"), "v")
+    return rows.mapInArrow(ranked, f"cell int, id long, v {rows.schema['v'].dataType.simpleString()}, s double, near boolean")
 
 
 def build_index(rows: DataFrame, k: int = 10, recall: float = RECALL, cells: int | None = None, sample: int = SAMPLE) -> VectorIndex:
