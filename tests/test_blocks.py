@@ -36,6 +36,18 @@ def test_pairs_by_blocks_and_slices(spark, monkeypatch):
 
 
 
+def test_links_connect_what_pairs_connect(spark):
+    """Copies give one link each, not one a pair, and keep the best score of what they connect."""
+    v, rows = _vectors(spark)
+    pairs = similarity.pairs_above(rows, rows, 0.6, later_only=True, block=20)
+    links = similarity.links_above(rows, rows, 0.6, block=20).cache()
+    labels = lambda e: {r.id: r.label for r in similarity.clusters(e).collect()}
+    assert labels(links) == labels(pairs) and links.count() < pairs.count() / 2
+    assert similarity.links_above(rows, rows, 0.6, block=1000).count() <= len(v)
+    of = labels(pairs)
+    top = lambda e: {g: round(max(r.score for r in e if of[r.a] == g), 6) for g in {of[r.a] for r in e}}
+    assert top(links.collect()) == top(pairs.collect())
+
 
 def test_votes_are_summed_where_pairs_are_found(spark):
     v, rows = _vectors(spark)
