@@ -35,6 +35,15 @@ def test_pairs_by_blocks_and_slices(spark, monkeypatch):
     assert similarity.pairs_above(rows, rows.filter("true"), 0.1, k=3, block=7).count() == best
 
 
+def test_the_best_of_a_block_are_all_that_leaves_it(spark, monkeypatch):
+    """knn_topk: no more than k a query, slice and pair of blocks."""
+    _, rows = _vectors(spark)
+    seen = []
+    by_blocks = similarity._by_blocks
+    monkeypatch.setattr(similarity, "_by_blocks", lambda *a: seen.append(by_blocks(*a)) or seen[-1])
+    similarity.pairs_above(rows.filter("id % 5 = 0"), rows, 0.1, k=3, block=1000)
+    assert seen[0].groupBy("a").count().agg(F.max("count")).first()[0] == 3
+
 
 def test_links_connect_what_pairs_connect(spark):
     """Copies give one link each, not one a pair, and keep the best score of what they connect."""
