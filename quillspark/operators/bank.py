@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions import scalars as S
-from quillspark.operators.similarity import _COS, clusters, pairs_above, tokens, vectors
+from quillspark.operators.similarity import _COS, clusters, links_above, pairs_above, tokens, vectors
 from quillspark.plans.registry import query
 from quillspark.plans.staging import staged
 
@@ -70,12 +70,13 @@ v AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS score FROM embeddings a JOI
 e AS (SELECT a, b, max(score) AS score FROM (SELECT * FROM h UNION ALL SELECT * FROM v) GROUP BY a, b)"""
 
 
-def _edges(t) -> DataFrame:
-    """Exact edges (equal key) and vector edges; where both are, the exact one counts.  Copies are tied to the next one of their key, not each to each."""
+def _edges(t, found=None) -> DataFrame:
+    """Exact edges (equal key) and vector edges; where both are, the exact one counts.  Copies are tied to the next one of their key, not each to each.  ``found`` makes the vector edges, all pairs if not told."""
     e = t("embeddings").select(F.col("vec_id").alias("a"), "label", (F.col("vec_id") % 40).alias("m"))
     exact = e.withColumn("b", F.lead("a").over(W.partitionBy("label", "m").orderBy("a"))).filter("b is not null").select("a", "b", F.lit(1.0).alias("score"))
     v = vectors(t)
-    return exact.unionByName(pairs_above(v, v, 0.42, later_only=True).select("a", "b", "score")).groupBy("a", "b").agg(F.max("score").alias("score"))
+    near = pairs_above(v, v, 0.42, later_only=True) if found is None else found(v, v, 0.42)
+    return exact.unionByName(near.select("a", "b", "score")).groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
 @query("duplicate_groups", f"""
@@ -85,7 +86,7 @@ SELECT label AS group_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS members, r
 FROM l JOIN (SELECT label, max(score) AS top FROM e JOIN l ON l.id = e.a GROUP BY label) s USING (label) GROUP BY label""")
 def duplicate_groups_query(t, spark):
     """Exact and vector edges together, grouped over the whole table."""
-    return duplicate_groups(_edges(t))
+    return duplicate_groups(_edges(t, links_above))
 
 
 @query("duplicate_members", f"WITH {_EDGES} SELECT id, round(max(score), 4) AS best FROM (SELECT a AS id, score FROM e UNION ALL SELECT b, score FROM e) GROUP BY id")
