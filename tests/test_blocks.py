@@ -92,3 +92,14 @@ def test_no_task_of_the_index_holds_more_than_two_blocks(spark, monkeypatch):
     index.within(rows, 0.99, later_only=True)
     sides = seen[1].groupBy("i", "j", "side").count().agg(F.max("count")).first()[0]
     assert sides <= 2048 * 1.2
+
+
+def test_words_of_a_stand_in_vector_are_hashed_once(spark):
+    """materialised_vectors: the words were taken from the text anew for each of the vector's places."""
+    rows = spark.createDataFrame([(0, "Điểm a a b Ä"), (1, ""), (2, None), (3, " ".join(f"w{i}" for i in range(500)))], "id long, text string")
+    words = similarity.tokens(F.col("text"))
+    plain = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.when(F.pmod(F.xxhash64(w), F.lit(64)) == k, F.when(F.pmod(F.crc32(w), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
+    made = rows.select(similarity.hashed_embedding(F.col("text")).alias("v"))
+    assert "aggregate(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = rows.select("id", plain.alias("plain"), similarity.hashed_embedding(F.col("text")).alias("made")).filter("text is not null").collect()
+    assert all(r.plain == r.made for r in got) and len(got) == 3
