@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions import scalars as S
 from quillspark.plans.registry import query
+from quillspark.plans.staging import staged
 
 # Least similarities with and without the class, and the words and letters that the last search looks for.
 WITH_GRADE, ANY_GRADE, WORDS, LETTERS = 0.3, 0.35, 6, 30
@@ -41,12 +42,15 @@ def cascade(asked: DataFrame, bank: DataFrame, most: int = 3) -> DataFrame:
     without a vector or a row without one meets in tier 3 only.
     """
     # Requests are users' questions: few at a time.
-    pairs = bank.join(F.broadcast(asked.select("request", F.col("text").alias("said"), F.col("grade").alias("wanted"), "q")))
+    # A text is lowered once, not once a request.
+    pairs = bank.withColumn("low", F.lower("text")).join(F.broadcast(asked.select("request", F.col("text").alias("said"), F.col("grade").alias("wanted"), "q")))
     s = F.when(F.col("v").isNotNull() & F.col("q").isNotNull(), S.cosine(F.col("v"), F.col("q")))
     words = F.slice(F.filter(F.split("said", "\\s+"), lambda w: w != ""), 1, WORDS)
     key = F.substring(F.array_join(words, " "), 1, LETTERS)
     in_grade = F.col("wanted").isNull() | F.col("wanted").eqNullSafe(F.col("grade"))
-    pairs = pairs.select("request", "wanted", "id", "has_steps", s.alias("s"), in_grade.alias("in_grade"), F.lower("text").contains(F.lower(key)).alias("held"))
+    pairs = pairs.select("request", "wanted", "id", "has_steps", s.alias("s"), in_grade.alias("in_grade"), F.col("low").contains(F.lower(key)).alias("held"))
+    # Compared once: what no tier can use is left out, the rest is read by each.
+    pairs = staged(pairs.filter(((F.col("s") >= WITH_GRADE) & F.col("in_grade")) | ((F.col("s") >= ANY_GRADE) & F.col("wanted").isNotNull()) | F.expr("held and in_grade and has_steps")))
     near = F.row_number().over(W.partitionBy("request").orderBy(F.desc("s"), "id"))
     plain = F.row_number().over(W.partitionBy("request").orderBy("id"))
     one = pairs.filter((F.col("s") >= WITH_GRADE) & F.col("in_grade")).select("request", "id", "has_steps", near.alias("pos")).withColumn("tier", F.lit(1))
