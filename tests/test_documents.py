@@ -104,3 +104,31 @@ def test_tables_are_made_and_widened(spark, tmp_path):
     assert [tuple(r) for r in tables.materialised(spark, path, rows, one, dims=2).collect()] == [(1, [3.0, 0.0])]
     again = spark.createDataFrame([(1, "longer"), (4, "four")], rows.schema)
     assert sorted(tuple(r) for r in tables.materialised(spark, path, again, one, dims=2).collect()) == [(1, [3.0, 0.0]), (4, [4.0, 0.0])]
+
+
+def test_papers_are_packed_by_columns_and_share_their_fixed_parts(spark, monkeypatch):
+    """The column form packs what the plain form packs, archives hold three sound parts, and a formula is read once."""
+    import io
+    import zipfile
+
+    from quillspark.functions.omml import omml
+
+    read = []
+    monkeypatch.setattr(docx, "_formula", __import__("functools").lru_cache(8)(lambda x: read.append(x) or omml(x)))
+    rows = [
+        [{"kind": "heading", "text": "A & <b>", "rows": None}, {"kind": "paragraph", "text": "so $x^{1}$\x01￾\nand $x^{1}$", "rows": None}],
+        None, [], [{"kind": "table", "text": None, "rows": [["1", None, ""], [], ["$x^{1}$"]]}, {"kind": "paragraph", "text": None, "rows": None}], [{"kind": "table", "text": None, "rows": None}],
+    ]
+    import pyarrow as pa
+
+    shape = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))]))
+    for part in (pa.array(rows, shape), pa.array([[], None, *rows], shape)[2:]):
+        made = docx.docx_bytes.func(part).to_pylist()
+        assert made == [None if r is None else docx.packed(r) for r in rows]
+    assert read == ["x^{1}"]
+    for content in filter(None, made):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            assert z.testzip() is None and z.namelist() == ["[Content_Types].xml", "_rels/.rels", "word/document.xml"]
+    frame = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], f"id int, blocks {docx.BLOCKS}")
+    got = {r.id: r.text for r in frame.select("id", docx.docx_text(docx.docx_bytes("blocks")).alias("text")).collect()}
+    assert got == {0: "A & <b>\n\nso x1\nand x1", 1: None, 2: "", 3: "1\nx1", 4: ""}
