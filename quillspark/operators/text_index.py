@@ -10,41 +10,72 @@ generation, so no search reads all documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quillspark.functions import scalars as S
 from quillspark.operators.similarity import _PHRASE_SQL, _POSTINGS_SQL, B, K1, tokens
 from quillspark.plans.registry import query
 from quillspark.plans.staging import fresh_path, staged
 
 #: Folders of postings; a search of n words opens n of them at most.
 PARTS = 64
+#: Most files of a folder and generation.
+SLICES = 8
 
 POSTINGS = "term string, id long, len int, positions array<int>, gen int, part int"
 GONE = "id long, before int"
 STATS = "gen int, docs long, words long"
+LENGTHS = "id long, len int, gen int"
 
 
 def _part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, w) -> (term, id, len, positions): all words of a batch are numbered once and sorted by document and number."""
+    for batch in batches:
+        words, sizes = batch.column("w"), pc.list_value_length(batch.column("w")).to_numpy()
+        said = words.flatten().dictionary_encode()
+        if not len(said):
+            continue
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = row * len(said.dictionary) + said.indices.to_numpy()
+        order = np.argsort(key, kind="stable")  # places stay in order within a word
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        row, code = np.divmod(key[first], len(said.dictionary))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
+        yield pa.RecordBatch.from_arrays([said.dictionary.take(pa.array(code)), batch.column("id").take(pa.array(row)), pa.array(sizes[row], pa.int32()), positions], names=["term", "id", "len", "positions"])
+
+
 def positions_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(term, id, len, positions): each word of each document with its places, from 0, and the document's number of words.
 
-    A document's words are grouped inside its row: the one exchange comes when
-    postings are laid out by term.
+    A document's words are grouped inside its batch: the one exchange comes
+    when postings are laid out by term.
     """
-    words = docs.select(F.col(doc_id).cast("long").alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("len", F.size("w"))
-    sorted_ = F.array_sort(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
-    # Equal words stand together now: a run starts where the word differs from the one before.
-    runs = words.select("id", "len", sorted_.alias("s"))
-    starts = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i == 0) | (F.get("s", i)["w"] != F.get("s", i - 1)["w"]))
-    runs = runs.filter("len > 0").withColumn("a", starts)
-    ends = F.transform("a", lambda a, i: F.struct(a.alias("a"), (F.coalesce(F.get("a", i + 1), F.col("len")) - a).alias("n")))
-    return runs.select("id", "len", "s", F.explode(ends).alias("r")).select(F.get("s", F.col("r.a"))["w"].alias("term"), "id", "len", F.transform(F.slice("s", F.col("r.a") + 1, F.col("r.n")), lambda x: x["p"]).alias("positions"))
+    words = docs.select(F.col(doc_id).cast("long").alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    return words.mapInArrow(_placed, "term string, id long, len int, positions array<int>")
+
+
+def n_words(text: Column) -> Column:
+    """How many ``tokens`` a text has, without a list of them."""
+    return F.regexp_count(S.fold(F.lower(F.coalesce(text, F.lit("")))), F.lit("[\\p{L}\\p{N}]+"))
+
+
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """Postings as they are written: a part is sorted by term, in ``SLICES`` files at most; a word of all documents is spread over these."""
+    spread = F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int")
+    return rows.repartition("part", spread).sortWithinPartitions("part", "term", "id")
 
 
 @dataclass
@@ -68,10 +99,10 @@ class TextIndex:
     def _write(self, docs: DataFrame, doc_id: str, text: str, gen: int, removed: tuple[int, int] = (0, 0)) -> None:
         mode = "overwrite" if gen == 0 else "append"
         rows = positions_of(docs, doc_id, text).withColumn("gen", F.lit(gen)).withColumn("part", _part(F.col("term")))
-        rows.repartition("part", "term").sortWithinPartitions("part", "term", "id").write.mode(mode).partitionBy("part").parquet(f"{self.path}/postings")
-        told = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size(tokens(F.coalesce(F.col(text), F.lit(""))))), F.lit(0)).alias("words"))
-        lengths = docs.select(F.col(doc_id).cast("long").alias("id"), F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("len"), F.lit(gen).alias("gen"))
+        _laid_out(rows).write.mode(mode).partitionBy("part").parquet(f"{self.path}/postings")
+        lengths = staged(docs.select(F.col(doc_id).cast("long").alias("id"), n_words(F.col(text)).alias("len"), F.lit(gen).alias("gen")))
         lengths.write.mode(mode).parquet(f"{self.path}/lengths")
+        told = lengths.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
         told.select(F.lit(gen).alias("gen"), (F.col("docs") - removed[0]).cast("long").alias("docs"), (F.col("words") - removed[1]).cast("long").alias("words")).write.mode(mode).parquet(f"{self.path}/stats")
 
     def _alive(self, rows: DataFrame) -> DataFrame:
@@ -89,7 +120,7 @@ class TextIndex:
         if deletes is not None:
             ids = ids.union(deletes.select(F.col(doc_id).cast("long"))).distinct()
         ids = staged(ids)
-        old = self._alive(self._read("lengths", "id long, len int, gen int")).join(ids, "id", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+        old = self._alive(self._read("lengths", LENGTHS)).join(ids, "id", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
         # The mark first: postings of the new generation are untouched by it, so a failure in between loses no text that stays.
         self._write(upserts, doc_id, text, gen, (old[0], old[1]))
         ids.select("id", F.lit(gen).alias("before")).write.mode("append").parquet(f"{self.path}/gone")
@@ -98,8 +129,8 @@ class TextIndex:
         """An index elsewhere with the living postings only, as one base."""
         out = TextIndex(self.spark, path)
         rows = self._alive(self._read("postings", POSTINGS)).withColumn("gen", F.lit(0))
-        rows.select("term", "id", "len", "positions", "gen", "part").repartition("part", "term").sortWithinPartitions("part", "term", "id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-        self._alive(self._read("lengths", "id long, len int, gen int")).withColumn("gen", F.lit(0)).select("id", "len", "gen").write.mode("overwrite").parquet(f"{path}/lengths")
+        _laid_out(rows.select("term", "id", "len", "positions", "gen", "part")).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        self._alive(self._read("lengths", LENGTHS)).withColumn("gen", F.lit(0)).select("id", "len", "gen").write.mode("overwrite").parquet(f"{path}/lengths")
         self._read("stats", STATS).agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).select(F.lit(0).alias("gen"), "docs", "words").write.mode("overwrite").parquet(f"{path}/stats")
         self.spark.createDataFrame([], GONE).write.mode("overwrite").parquet(f"{path}/gone")
         return out
