@@ -157,8 +157,9 @@ def parsed_texts(docs: DataFrame, provider: Callable[[Column], Column], most: in
     replies = staged(pieces.withColumn("reply", provider(F.col("said"))).select("doc", "chunk", "reply"))
     rows = replies.select("doc", "chunk", F.posexplode(F.from_json(json_salvage("reply"), ITEM)).alias("place", "q")).filter("trim(q.question) != ''")
     key = F.substring(F.lower(F.trim(F.regexp_replace("q.question", "\\s+", " "))), 1, 100)
-    first = rows.groupBy("doc", key.alias("key")).agg(F.min_by("q", F.struct("chunk", "place")).alias("q"), F.min(F.struct("chunk", "place")).alias("at"))
-    flat = first.select("doc", F.row_number().over(W.partitionBy("doc").orderBy("at")).alias("pos"), "q.number", "q.question", "q.answer")
+    # Places differ within a document, so the least of them brings its question along.
+    first = rows.groupBy("doc", key.alias("key")).agg(F.min(F.struct("chunk", "place", "q")).alias("x"))
+    flat = first.select("doc", F.row_number().over(W.partitionBy("doc").orderBy("x.chunk", "x.place")).alias("pos"), "x.q.number", "x.q.question", "x.q.answer")
     place = F.row_number().over(W.partitionBy("doc").orderBy("pos"))
     return fill_from_pool(flat).select("doc", place.alias("pos"), "number", "question", "answer")
 

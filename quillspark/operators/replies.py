@@ -102,10 +102,46 @@ def _direct(reply: str) -> list | None:
     return None
 
 
+_DECODER = json.JSONDecoder(strict=False)
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def _unmended(reply: str) -> list | None:
+    """What ``salvage`` finds in a reply whose list holds sound objects up to its end or a cut; null where anything needs mending.
+
+    Objects are read whole by the JSON decoder.  Behind the last sound one no
+    bracket may close: then nothing more can be complete there.
+    """
+    at = reply.find("[") + 1
+    if not at or "\\" in reply or _CONTROL.search(reply):
+        return None
+    items = []
+    while True:
+        at = _BLANK.match(reply, at).end()
+        try:
+            item, end = _DECODER.raw_decode(reply, at)
+        except (ValueError, RecursionError):
+            break
+        if not isinstance(item, dict):
+            break
+        items.append(item)
+        at = _BLANK.match(reply, end).end()
+        if reply.startswith("]", at):
+            return items
+        if not reply.startswith(",", at):
+            break
+        at += 1
+    if reply.find("}", at) >= 0 or reply.find("]", at) >= 0:
+        return None
+    return [DEFAULTS | item for item in items if "question" in item]
+
+
 def salvage(reply: str | None) -> list:
     """Questions of a reply: the list as it is or once mended, else every complete object that says a ``question``, with defaults for what it lacks."""
     reply = (reply or "").strip()
     got = _direct(reply)
+    if got is None:
+        got = _unmended(reply)
     if got is not None:
         return got
     found = scan(reply)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from difflib import SequenceMatcher
@@ -115,16 +116,18 @@ def chunks(text: str, most: int) -> list[str]:
     second half (a blank line, then a line end, then a sentence end; the last
     of equals), or is full.
     """
-    starts = np.array([m.start() for m in _SEGMENT.finditer(text)][1:], np.int64)
-    marked = _SEGMENT.search(text) is not None
-    ends = np.append(starts, len(text)) if marked else None
+    if len(text) <= most:
+        return [text] if text.strip() else []
+    ends = [m.start() for m in _SEGMENT.finditer(text)]
+    marked = bool(ends)
+    ends = [*ends[1:], len(text)]
     places, kinds = (None, None) if marked else _breaks(text)
     cuts = [0]
     while cuts[-1] < len(text):
         at = cuts[-1]
         if marked:
-            k = int(np.searchsorted(ends, at + most, side="right"))  # ends within reach
-            cuts.append(int(ends[k - 1]) if k and ends[k - 1] > at else int(ends[k]))
+            k = bisect.bisect_right(ends, at + most)  # ends within reach
+            cuts.append(ends[k - 1] if k and ends[k - 1] > at else ends[k])
         elif len(text) - at <= most:
             cuts.append(len(text))
         else:
