@@ -119,7 +119,8 @@ DOCUMENT = "quiz struct<name string>, theories array<struct<title string, displa
 
 def imported(documents: DataFrame) -> DataFrame:
     """(quiz, document) -> (quiz, order, type, question_text, points, answer, hint): the questions of each document with the text that their hint points to."""
-    rows = documents.select("quiz", F.from_json("document", DOCUMENT).alias("d")).select("quiz", "d.theories", F.explode("d.questions").alias("q"))
+    # An outer explode: an inner one would read each document once more, to see whether it has questions.
+    rows = documents.select("quiz", F.from_json("document", DOCUMENT).alias("d")).select("quiz", "d.theories", F.posexplode_outer("d.questions").alias("place", "q")).filter("place is not null")
     hint = F.get(F.get("theories", F.col("q.hint_theory_index"))["sections"], F.col("q.hint_section_index"))["content"]
     return rows.select("quiz", "q.order", "q.type", "q.question_text", "q.points", "q.answer", hint.alias("hint"))
 
